@@ -30,34 +30,40 @@ URL_RULES = (
 )
 
 
-def line_fields(line: Column) -> Column:
-    """One struct per line, NULL when any part of the line is invalid."""
-    text = F.regexp_replace(line, r"^\s+|\s+$", "")
+BLANKS = " \t\r\n\f\x0b"
+FIELD_COUNT = 7
+
+
+def line_parts(line: Column) -> Column:
+    """The seven texts of a line in one regex pass; one element when the line does not match.
+
+    A line holds no line break, so a line break can separate the parts.
+    """
+    text = F.btrim(line, F.lit(BLANKS))
+    layout = "\n".join(f"${i}" for i in range(1, FIELD_COUNT + 1))
+    return F.split(F.regexp_replace(text, F.lit(LINE_PATTERN), F.lit(layout)), "\n", -1)
+
+
+def typed_fields(parts: Column) -> Column:
+    """Struct of typed fields, NULL where one cannot be read."""
 
     def part(i: int) -> Column:
-        return F.regexp_extract(text, LINE_PATTERN, i)
+        return F.get(parts, i)
 
-    stamp = part(2)
+    stamp = part(1)
     wall = F.try_to_timestamp(F.regexp_replace(stamp, r"\s+\S+$", ""), F.lit(STAMP_FORMAT)).cast("timestamp_ntz")
-    size = F.when(part(7) == "-", F.lit(0).cast("bigint")).otherwise(part(7).try_cast("bigint"))
-    fields = F.struct(
-        part(1).alias("host"),
+    wall = F.when(stamp.rlike(STAMP_PATTERN), wall)
+    size = F.when(part(6) == "-", F.lit(0).cast("bigint")).otherwise(part(6).try_cast("bigint"))
+    return F.struct(
+        part(0).alias("host"),
         wall.alias("timestamp"),
         F.regexp_extract(stamp, OFFSET_PATTERN, 1).alias("utc_offset"),
-        part(3).alias("method"),
-        part(4).alias("url"),
-        part(5).alias("protocol"),
-        part(6).try_cast("int").alias("status"),
+        part(2).alias("method"),
+        part(3).alias("url"),
+        part(4).alias("protocol"),
+        part(5).try_cast("int").alias("status"),
         size.alias("bytes"),
     )
-    valid = (
-        text.rlike(LINE_PATTERN)
-        & stamp.rlike(STAMP_PATTERN)
-        & wall.isNotNull()
-        & part(6).try_cast("int").isNotNull()
-        & size.isNotNull()
-    )
-    return F.when(valid, fields)
 
 
 def looks_like_log(line: Column) -> Column:

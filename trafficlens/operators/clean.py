@@ -53,9 +53,8 @@ def outlier_bounds(rows: DataFrame, col: str = "bytes", keys: Sequence[str] = ()
 
 def flag_outliers(rows: DataFrame, col: str = "bytes") -> DataFrame:
     """Add ``bytes_outlier``. The fences are a single row, read as a scalar subquery."""
-    bounds = outlier_bounds(rows, col)
-    low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
-    return rows.withColumn(f"{col}_outlier", (F.col(col) < low) | (F.col(col) > high))
+    fences = outlier_bounds(rows, col).select(F.struct("low", "high")).scalar()
+    return rows.withColumn(f"{col}_outlier", (F.col(col) < fences["low"]) | (F.col(col) > fences["high"]))
 
 
 def clean(

@@ -1,0 +1 @@
+"""Query registry: importing ``all_queries`` fills it."""
