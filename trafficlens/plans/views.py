@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.values import floor_time
 from trafficlens.operators import clean as cl
+from trafficlens.operators import features as fe
 from trafficlens.operators.parse import parse_lines
+from trafficlens.operators.scale import halo
 from trafficlens.operators.series import event_counts, fill_grid, zero_fill
 from trafficlens.session import prepare
 
@@ -118,3 +120,41 @@ def calendar(spark: SparkSession) -> DataFrame:
     rows += [(f"2024-01-{d:02d}", 2, f"Campaign Day {d - 14}", "high_traffic") for d in (15, 16, 17)]
     days = spark.createDataFrame(rows, "date string, type int, name string, impact string")
     return days.withColumn("date", F.to_date("date"))
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series with spike and z-score flags."""
+
+    def build(w):
+        return {**fe.spike_columns(w, "y"), **fe.zscore_columns(w, "y")}
+
+    return halo(series(spark, sf_dir), ["series_id"], "timestamp", HOUR, build, back=60)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two simple forecasts of every row of the series: (model, series_id, timestamp, y, yhat)."""
+
+    def build(w):
+        return {"__seasonal": F.lag("y", 24).over(w).cast("double"), "__moving": F.avg("y").over(w.rowsBetween(-12, -1))}
+
+    rows = halo(series(spark, sf_dir), ["series_id"], "timestamp", HOUR, build, back=24)
+    models = F.array(
+        *[F.struct(F.lit(m).alias("model"), F.col(f"__{m}").alias("yhat")) for m in ("seasonal", "moving")]
+    )
+    return rows.select("series_id", "timestamp", "y", F.inline(models)).where(F.col("yhat").isNotNull())
+
+
+FEATURES = ("lag_1", "lag_24", "mean_3", "mean_4", "mean_24", "hour")
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small feature matrix of the series, with gaps at the start."""
+
+    def build(w):
+        return {
+            "lag_1": F.lag("y", 1).over(w), "lag_24": F.lag("y", 24).over(w),
+            "mean_3": F.avg("y").over(w.rowsBetween(-3, -1)), "mean_4": F.avg("y").over(w.rowsBetween(-4, -1)),
+            "mean_24": F.avg("y").over(w.rowsBetween(-24, -1)),
+        }
+
+    return halo(series(spark, sf_dir), ["series_id"], "timestamp", HOUR, build, back=24).withColumn("hour", F.hour("timestamp"))
