@@ -37,8 +37,8 @@ def largest_triangles(
     """Positions (``idx``) kept by the largest-triangle rule, with time and value; join on them to reduce other columns.
 
     For a given earlier pick, the triangle area is a linear function of a point, so its largest value in a bucket lies
-    on a corner of the bucket's convex hull. Hulls are taken in pieces in parallel; only hull corners and bucket means,
-    at most a few per kept point, reach the step that walks the buckets in order.
+    on a corner of the bucket's convex hull. Hulls are taken in pieces of the series in parallel; only hull corners and
+    bucket means reach the step that walks the buckets in order.
     """
     if points < 3:
         raise ValueError("points must be at least 3")
@@ -57,12 +57,15 @@ def largest_triangles(
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        return pdf.iloc[_hull(pdf["idx"].to_numpy(dtype=float), pdf["v"].to_numpy())]
+        x, values = pdf["idx"].to_numpy(dtype=float), pdf["v"].to_numpy()
+        edges = np.flatnonzero(np.diff(pdf["bucket"].to_numpy())) + 1
+        bounds = [0, *edges.tolist(), len(pdf)]
+        kept = [begin + _hull(x[begin:end], values[begin:end]) for begin, end in zip(bounds, bounds[1:])]
+        return pdf.iloc[np.concatenate(kept)]
 
     columns = [*keys, "__lo", "__n", "bucket", "piece", "idx", "v"]
     schema = f"{fields}, `__lo` bigint, `__n` bigint, bucket bigint, piece bigint, idx bigint, v double"
-    small = placed.select(*columns).groupBy(*keys, "bucket", "piece").applyInPandas(corners, schema)
-    small = small.groupBy(*keys, "bucket").applyInPandas(corners, schema)
+    small = placed.select(*columns).groupBy(*keys, "piece").applyInPandas(corners, schema)
     means = placed.groupBy(*keys, "bucket").agg(F.avg("v").alias("mean"))
     joined = small.join(means, on=[*keys, "bucket"])
 

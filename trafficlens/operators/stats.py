@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,46 @@ def two_sample(df: DataFrame, flag: Column, y: str = "y", keys: Sequence[str] =
     )
 
 
+def t_tail(t: float, df: float) -> float:
+    """P(T > t) by the continued fraction of the incomplete beta function."""
+    x = df / (df + t * t)
+    a, b = df / 2.0, 0.5
+    if x >= 1.0:
+        return 0.5
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+
+    def fraction(x: float, a: float, b: float) -> float:
+        c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
+        d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
+        h = d
+        for m in range(1, 500):
+            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1.0 + top * d
+                d = 1.0 / (d if abs(d) > 1e-300 else 1e-300)
+                c = 1.0 + top / c
+                c = c if abs(c) > 1e-300 else 1e-300
+                h *= d * c
+            if abs(d * c - 1.0) < 1e-14:
+                break
+        return h
+
+    if x < (a + 1) / (a + b + 2):
+        two_sided = front * fraction(x, a, b) / a
+    else:
+        two_sided = 1.0 - front * fraction(1 - x, b, a) / b
+    return two_sided / 2 if t >= 0 else 1 - two_sided / 2
+
+
+def with_p_values(tests: DataFrame) -> DataFrame:
+    """One-sided p-value of every t statistic (one row per series)."""
+    import pandas as pd
+
+    def tail(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else t_tail(float(a), float(b)) for a, b in zip(t, df)], dtype="float64")
+
+    return tests.withColumn("p_greater", F.pandas_udf(tail, "double")("t", "df"))
+
+
 def anova(df: DataFrame, group: Column, y: str = "y", keys: Sequence[str] = SID) -> DataFrame:
     """One-way F statistic from the group sums."""
     cells = df.groupBy(*keys, group.alias("__g")).agg(
@@ -235,15 +276,24 @@ def select_top(scores: DataFrame, drops: DataFrame, n: int = 40) -> DataFrame:
     return kept.orderBy(F.desc("combined_score"), "feature").limit(n)
 
 
+# Rules for the kind of a feature, first match wins.
+FEATURE_RULES = (
+    ("Lag", r"lag_|diff_|pct_change"),
+    ("Rolling", r"rolling_|ewm_"),
+    ("Advanced", r"spike|trend|velocity|momentum|bb_|cv|direction"),
+    (
+        "Time",
+        r"^(hour|day_of_week|is_weekend|is_business_hour|is_peak_hour|hour_sin|hour_cos|dow_sin|dow_cos|day|month|minute)$",
+    ),
+)
+
+
 def feature_category(name: Column) -> Column:
-    """Kind of a generated feature name."""
-    return (
-        F.when(name.contains("lag"), "lag")
-        .when(name.contains("rolling"), "rolling")
-        .when(name.contains("ewm"), "ewm")
-        .when(name.rlike("hour|day|week|month|dow|dom|minute|mod|is_weekend|is_peak|is_business"), "time")
-        .otherwise("advanced")
-    )
+    """Kind of a feature by its name."""
+    out = F
+    for label, pattern in FEATURE_RULES:
+        out = out.when(name.rlike(pattern), label)
+    return out.otherwise("Aggregation")
 
 
 def event_impact(df: DataFrame, y: str = "y", keys: Sequence[str] = SID) -> DataFrame:
