@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,8 +92,6 @@ def t_tail(t: float, df: float) -> float:
 
 def with_p_values(tests: DataFrame) -> DataFrame:
     """One-sided p-value of every t statistic (one row per series)."""
-    import pandas as pd
-
     def tail(t: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(a) else t_tail(float(a), float(b)) for a, b in zip(t, df)], dtype="float64")
 
@@ -105,13 +105,13 @@ def anova(df: DataFrame, group: Column, y: str = "y", keys: Sequence[str] = SID)
     )
     # between = sum n m^2 - (sum n m)^2 / N
     sums = cells.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("N"), F.sum(F.col("n") * F.col("v")).alias("within"),
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("v")).alias("within"),
         F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"), F.sum(F.col("n") * F.col("m")).alias("nm"),
     )
-    between = F.col("nmm") - F.col("nm") * F.col("nm") / F.col("N")
-    top, bottom = ratio(between, F.col("k") - 1), ratio(F.col("within"), F.col("N") - F.col("k"))
+    between = F.col("nmm") - F.col("nm") * F.col("nm") / F.col("total")
+    top, bottom = ratio(between, F.col("k") - 1), ratio(F.col("within"), F.col("total") - F.col("k"))
     return sums.select(
-        *keys, ratio(top, bottom).alias("f"), (F.col("k") - 1).alias("df_between"), (F.col("N") - F.col("k")).alias("df_within")
+        *keys, ratio(top, bottom).alias("f"), (F.col("k") - 1).alias("df_between"), (F.col("total") - F.col("k")).alias("df_within")
     )
 
 
@@ -123,14 +123,14 @@ def kruskal(df: DataFrame, group: Column, y: str = "y", keys: Sequence[str] = SI
         *keys, y, "cnt", "total", (F.col("below") + (F.col("cnt") + 1) / 2).alias("rank")
     )
     sums = cells.join(ranks, on=[*keys, y]).groupBy(*keys, "__g").agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"), F.max("total").alias("N")
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"), F.max("total").alias("all")
     )
     raw = sums.groupBy(*keys).agg(
-        F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.max("N").cast("double").alias("N"), F.count(F.lit(1)).alias("k")
+        F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.max("all").cast("double").alias("all"), F.count(F.lit(1)).alias("k")
     )
     cnt = F.col("cnt").cast("double")
     ties = ranks.groupBy(*keys).agg(F.sum(cnt * cnt * cnt - cnt).alias("t"))
-    n = F.col("N")
+    n = F.col("all")
     h = F.lit(12.0) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
     return raw.join(ties, on=keys).select(
         *keys, ratio(h, 1 - F.col("t") / (n * n * n - n)).alias("h"), (F.col("k") - 1).alias("df")
@@ -167,9 +167,6 @@ def difference(df: DataFrame, step_seconds: int, keys: Sequence[str] = SID, y: s
 
 def pacf(correlogram: DataFrame, lags: int, keys: Sequence[str] = SID) -> DataFrame:
     """Partial autocorrelation (Yule-Walker) by the Levinson recursion over the at most ``lags`` + 1 values of a series."""
-    import numpy as np
-    import pandas as pd
-
     keys = list(keys)
 
     def levinson(group):
@@ -225,18 +222,21 @@ def f_scores(df: DataFrame, target: str, cols: Sequence[str], keys: Sequence[str
 
 def mutual_information(df: DataFrame, target: str, cols: Sequence[str], bins: int = 8) -> DataFrame:
     """Plug-in mutual information on quantile bins (for ranking features)."""
-    edges = [i / bins for i in range(1, bins)]
-    binned = df.select(*[F.col(c).cast("double").alias(c) for c in (target, *cols)]).dropna()
-    for c in (target, *cols):
-        cuts = quantiles(binned, (), c, {f"e{i}": p for i, p in enumerate(edges)})
-        place = F.lit(0)
-        for i in range(len(edges)):
-            place = place + (F.col(c) > cuts.select(f"e{i}").scalar()).cast("int")
-        binned = binned.withColumn(f"__b_{c}", place)
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__b_{c}").alias("x")) for c in cols])
+    probs = {f"e{i}": i / bins for i in range(1, bins)}
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in (target, *cols)]).dropna()
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in (target, *cols)])
+    long = rows.select(F.col(target).alias("__t"), F.inline(pairs))
+    cuts = quantiles(long, ["feature"], "x", probs).select("feature", F.array(*probs).alias("__cuts"))
+    goal = cuts.where(F.col("feature") == target).select("__cuts").scalar()
+
+    def place(value: Column, edges: Column) -> Column:
+        return F.size(F.filter(edges, lambda e: value > e))
+
+    # One row of cuts per feature, looked up by name.
     cells = (
-        binned.select(F.col(f"__b_{target}").alias("t"), F.explode(pairs).alias("p"))
-        .groupBy("p.feature", "p.x", "t")
+        long.where(F.col("feature") != target)
+        .join(cuts.withColumn("__goal", goal), "feature")
+        .groupBy("feature", place(F.col("x"), F.col("__cuts")).alias("x"), place(F.col("__t"), F.col("__goal")).alias("t"))
         .agg(F.count(F.lit(1)).cast("double").alias("c"))
     )
     # sum p ln(p / (px pt)) = ln N + (sum c ln c - sum cx ln cx - sum ct ln ct) / N; at most bins^2 cells per feature.
@@ -252,11 +252,9 @@ def mutual_information(df: DataFrame, target: str, cols: Sequence[str], bins: in
 
 def combine_scores(scores: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Min-max normalise every score and average them."""
-    span = scores.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
-    norms = {}
-    for c in cols:
-        lo, hi = span.select(f"lo_{c}").scalar(), span.select(f"hi_{c}").scalar()
-        norms[f"{c}_norm"] = ratio(F.col(c) - lo, hi - lo)
+    ends = [f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]
+    span = scores.agg(*ends).select(F.struct("*")).scalar()
+    norms = {f"{c}_norm": ratio(F.col(c) - span[f"lo_{c}"], span[f"hi_{c}"] - span[f"lo_{c}"]) for c in cols}
     out = scores.withColumns(norms)
     return out.withColumn("combined_score", sum((F.col(f"{c}_norm") for c in cols), F.lit(0.0)) / len(cols))
 
@@ -329,9 +327,6 @@ def unit_root(df: DataFrame, step_seconds: int, lags: int, keys: Sequence[str] =
 
     Every series contributes one small matrix of cross products; the regression is solved per series from that matrix.
     """
-    import numpy as np
-    import pandas as pd
-
     keys = list(keys)
 
     def build(w):
