@@ -19,6 +19,7 @@ from trafficlens.functions.values import epoch_seconds
 from trafficlens.operators.features import lag_columns, rolling_columns
 from trafficlens.operators.forecast import metrics
 from trafficlens.operators.scale import CHUNK, chunk_of, halo
+from trafficlens.session import cut_lineage
 
 SID = ("series_id",)
 LAGS = (1, 2, 3, 24)
@@ -29,7 +30,10 @@ def training_table(
     df: DataFrame, step_seconds: int, lags: Sequence[int] = LAGS, windows: Sequence[int] = WINDOWS,
     keys: Sequence[str] = SID, y: str = "y", ts: str = "timestamp",
 ) -> tuple[DataFrame, list[str]]:
-    """Features known before each row (lags, rolling statistics of earlier rows, calendar), without incomplete rows."""
+    """Features known before each row (lags, rolling statistics of earlier rows, calendar), without incomplete rows.
+
+    Written to the shared folder: tree learners read their input many times, and would redo the windows each time.
+    """
     def build(w):
         return {**lag_columns(w, y, lags), **rolling_columns(w, y, windows)}
 
@@ -37,7 +41,7 @@ def training_table(
     stamps = {**cal.parts(F.col(ts)), **cal.flags(F.col(ts)), **cal.cycles(F.col(ts))}
     names = [c for c in rows.columns if c.startswith(f"{y}_")] + ["hour", "day_of_week", *cal.flags(F.col(ts)), *cal.cycles(F.col(ts))]
     out = rows.withColumns(stamps)
-    return out.dropna(subset=names), names
+    return cut_lineage(df.sparkSession, out.dropna(subset=names), "training"), names
 
 
 def with_place(df: DataFrame, step_seconds: int, keys: Sequence[str] = SID, ts: str = "timestamp") -> DataFrame:
