@@ -269,3 +269,14 @@ def overview(strategies: DataFrame, max_violations: int, keys: Sequence[str] = S
     return best.select(
         *keys, "config_id", "p.strategy", "p.total_cost", ratio(F.col("p.total_cost"), F.col("p.avg_servers")).alias("cost_per_server")
     )
+
+
+def cost_report(replayed: DataFrame, fixed: DataFrame, keys: Sequence[str] = SID) -> DataFrame:
+    """Every run next to the fixed capacities of its configuration, and what it saves against the largest one."""
+    by = [*keys, "config_id"]
+    kinds = ("fixed_min", "fixed_max", "fixed_optimal")
+    wide = fixed.groupBy(*by).agg(*[F.max(F.when(F.col("strategy") == k, F.col("total_cost"))).alias(k) for k in kinds])
+    saved = F.col("fixed_max") - F.col("total_cost")
+    return replayed.join(wide, on=by).withColumns(
+        {"saved_vs_max": saved, "saved_pct": F.coalesce(ratio(saved * 100, F.col("fixed_max")), F.lit(0.0))}
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trafficlens.plans import queries_forecast, queries_logs, queries_series, queries_stats  # noqa: F401
+from trafficlens.plans import queries_capacity, queries_forecast, queries_logs, queries_series, queries_stats, queries_streams  # noqa: F401
 from trafficlens.plans.registry import REGISTRY
 
 

@@ -187,11 +187,15 @@ VIEWS: dict[str, tuple[str, str]] = {
 }
 
 
+def _number(value) -> str:
+    return f"{value!r}::DOUBLE" if isinstance(value, float) else str(value)
+
+
 def config_rows(configs: dict[str, ScalingConfig], extra: str = "") -> str:
     """Configurations as a VALUES table: config_id, the twelve fields, capacity."""
     names = ["config_id", *ScalingConfig().to_dict(), "capacity"]
     rows = ", ".join(
-        "(" + ", ".join([f"'{n}'", *[repr(v) for v in c.to_dict().values()], str(c.capacity_per_server)]) + ")"
+        "(" + ", ".join([f"'{n}'", *[_number(v) for v in c.to_dict().values()], str(c.capacity_per_server)]) + ")"
         for n, c in configs.items()
     )
     return f"SELECT * FROM (VALUES {rows}) t({', '.join(names)}){extra}"
@@ -214,3 +218,94 @@ def with_views(names) -> str:
         return ""
     recursive = "RECURSIVE " if any(VIEWS[n][1].lstrip().startswith("/* recursive */") for n in order) else ""
     return f"WITH {recursive}" + ", ".join(f"{n} AS ({VIEWS[n][1].strip()})" for n in order) + " "
+
+
+def run_rows(configs: dict[str, ScalingConfig]) -> str:
+    """(config_id, policy) with the parameters each policy changes, and whether it follows the trend."""
+    return f"""
+        SELECT config_id, 'balanced' AS policy, false AS trend, c.* EXCLUDE (config_id) FROM ({config_rows(configs)}) c
+        UNION ALL SELECT config_id, 'reactive', false, c.* EXCLUDE (config_id) REPLACE (1 AS scale_out_consecutive, 2 AS scale_in_consecutive, 3 AS cooldown_minutes) FROM ({config_rows(configs)}) c
+        UNION ALL SELECT config_id, 'predictive', true, c.* EXCLUDE (config_id) REPLACE (0.75::DOUBLE AS scale_out_threshold, 2 AS scale_out_consecutive) FROM ({config_rows(configs)}) c"""
+
+
+# The rule row by row: one step of the recursion per period, all runs side by side.
+DECIDED = """/* recursive */
+    SELECT l.series_id, r.config_id, r.policy, CAST(-1 AS BIGINT) AS place, CAST(NULL AS TIMESTAMP) AS ts, 0.0::DOUBLE AS load, CAST(r.min_servers AS BIGINT) AS servers,
+      CAST(NULL AS TIMESTAMP) AS acted_at, CAST(0 AS BIGINT) AS high, CAST(0 AS BIGINT) AS low, 'hold' AS action, CAST(0 AS BIGINT) AS current_servers,
+      0.0::DOUBLE AS utilization, '' AS reason, 1.0::DOUBLE AS after, 0.0::DOUBLE AS cost
+    FROM (SELECT DISTINCT series_id FROM signals) l CROSS JOIN runs r
+    UNION ALL
+    SELECT series_id, config_id, policy, place, ts, load, target, CASE WHEN target <> servers THEN ts ELSE acted_at END,
+      CASE WHEN target <> servers THEN 0 ELSE h END, CASE WHEN target <> servers THEN 0 ELSE w END,
+      CASE WHEN target > servers THEN 'scale_out' WHEN target < servers THEN 'scale_in' ELSE 'hold' END, servers, used,
+      CASE WHEN jump THEN 'predictive_pre_scale_trend_' || printf('%.2f', ratio) WHEN cooling THEN 'cooldown_active'
+        WHEN is_high AND target > servers THEN 'high_utilization_' || h || '_periods' WHEN is_high THEN 'waiting_scale_out_' || h || '/' || scale_out_consecutive
+        WHEN is_low AND target < servers THEN 'low_utilization_' || w || '_periods' WHEN is_low THEN 'waiting_scale_in_' || w || '/' || scale_in_consecutive
+        ELSE 'normal_utilization' END,
+      load / (target * capacity), target * cost_per_server_per_hour * time_window_minutes / 60
+    FROM (
+      SELECT *, CASE WHEN jump THEN need
+          WHEN is_high AND h >= scale_out_consecutive AND least(servers + scale_out_increment, max_servers) > servers THEN least(servers + scale_out_increment, max_servers)
+          WHEN is_low AND w >= scale_in_consecutive AND greatest(servers - scale_in_decrement, min_servers) < servers THEN greatest(servers - scale_in_decrement, min_servers)
+          ELSE servers END AS target
+      FROM (
+        SELECT *, CASE WHEN is_high THEN high + 1 WHEN cooling THEN high ELSE 0 END AS h, CASE WHEN is_low THEN low + 1 WHEN cooling THEN low ELSE 0 END AS w
+        FROM (
+          SELECT *, NOT cooling AND NOT jump AND used > scale_out_threshold AS is_high, NOT cooling AND NOT jump AND used < scale_in_threshold AS is_low
+          FROM (
+            SELECT *, trend AND ratio > 1.05 AND NOT cooling AND need > servers AS jump
+            FROM (
+              SELECT d.series_id, d.config_id, d.policy, s.place, s.ts, s.load, s.ratio, d.servers, d.acted_at, d.high, d.low, r.* EXCLUDE (config_id, policy),
+                d.acted_at IS NOT NULL AND s.ts < d.acted_at + r.cooldown_minutes * INTERVAL 1 MINUTE AS cooling, s.load / (d.servers * r.capacity) AS used,
+                CASE WHEN s.load * s.ratio * 1.15::DOUBLE <= 0 THEN r.min_servers ELSE
+                  greatest(r.min_servers, least(r.max_servers, CAST(floor(s.load * s.ratio * 1.15::DOUBLE / (r.capacity * 0.7::DOUBLE)) AS BIGINT) + 1)) END AS need
+              FROM decided d JOIN signals s ON s.series_id = d.series_id AND s.place = d.place + 1 JOIN runs r ON r.config_id = d.config_id AND r.policy = d.policy)))))"""
+
+VIEWS["signals"] = (
+    "loads",
+    """
+    SELECT series_id, ts, load, place, CASE WHEN place >= 11 AND older > 0 THEN recent / older ELSE 1.0::DOUBLE END AS ratio FROM (
+      SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS place,
+        avg(load) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS recent,
+        avg(load) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 11 PRECEDING AND 6 PRECEDING) AS older FROM loads)""",
+)
+
+
+def register_configs(configs: dict[str, ScalingConfig], grid: dict[str, ScalingConfig]) -> None:
+    """Views that depend on the configurations in use."""
+    summary = """sum(cost) AS total_cost, sum(cost) / sum(hours) AS avg_cost_per_hour, avg(servers) AS avg_servers, max(servers) AS max_servers, min(servers) AS min_servers,
+        avg(used) AS avg_utilization, max(used) AS max_utilization, count(*) FILTER (used > 1) AS sla_violations, count(*) FILTER (used > 1) / count(*) AS sla_violation_rate,
+        count(*) FILTER (used < 0.3) AS wasted_periods"""
+    VIEWS["configs"] = ("", config_rows(configs))
+    VIEWS["runs"] = ("", run_rows(configs))
+    VIEWS["decided"] = ("signals runs", DECIDED)
+    VIEWS["replayed"] = (
+        "decided",
+        f"""SELECT series_id, config_id, policy, config_id || '/' || policy AS run_id, {summary}, count(*) FILTER (action = 'scale_out') AS scale_out_events,
+          count(*) FILTER (action = 'scale_in') AS scale_in_events, count(*) FILTER (action <> 'hold') AS scaling_events
+        FROM (SELECT *, after AS used, 1 AS hours FROM decided WHERE place >= 0) GROUP BY 1, 2, 3""",
+    )
+    VIEWS["optimal"] = (
+        "loads configs",
+        """SELECT series_id, config_id, CASE WHEN m <= 0 THEN min_servers ELSE greatest(min_servers, least(max_servers, CAST(floor(m / (capacity * 0.7::DOUBLE)) AS BIGINT) + 1)) END AS n
+        FROM (SELECT series_id, avg(load) AS m FROM loads GROUP BY 1) l CROSS JOIN configs""",
+    )
+    VIEWS["fixed_runs"] = (
+        "loads configs optimal",
+        f"""SELECT series_id, config_id, strategy, {summary} FROM (
+          SELECT l.series_id, c.config_id, strategy, servers, load / (servers * capacity) AS used, servers * cost_per_server_per_hour * time_window_minutes / 60 AS cost, time_window_minutes / 60 AS hours
+          FROM loads l CROSS JOIN configs c JOIN (
+            SELECT o.series_id, o.config_id, unnest(['fixed_min', 'fixed_max', 'fixed_optimal', 'fixed_8']) AS strategy, unnest([min_servers, max_servers, n, 8]) AS servers
+            FROM optimal o JOIN configs c ON c.config_id = o.config_id) s ON s.series_id = l.series_id AND s.config_id = c.config_id) GROUP BY 1, 2, 3""",
+    )
+    VIEWS["strategies"] = (
+        "replayed fixed_runs",
+        """SELECT series_id, config_id, 'autoscale_' || policy AS strategy, total_cost, avg_cost_per_hour, avg_servers, avg_utilization, sla_violations, sla_violation_rate, wasted_periods, scaling_events FROM replayed
+        UNION ALL SELECT series_id, config_id, strategy, total_cost, avg_cost_per_hour, avg_servers, avg_utilization, sla_violations, sla_violation_rate, wasted_periods, 0 FROM fixed_runs""",
+    )
+    VIEWS["results"] = (
+        "fixed_runs",
+        """SELECT series_id || '/' || config_id || '/' || strategy AS id, 'Run ' || series_id || ' ' || config_id AS name, CASE WHEN strategy = 'fixed_8' THEN 'eight servers' END AS description,
+          TIMESTAMP '2024-02-01 00:00:00' + CAST(avg_servers AS BIGINT) * INTERVAL 1 HOUR AS created_at, config_id AS config_preset, strategy AS policy_type,
+          total_cost, avg_servers, sla_violations, sla_violation_rate FROM fixed_runs""",
+    )
