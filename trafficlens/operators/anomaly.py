@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.operators.scale import quantiles
@@ -103,15 +103,26 @@ class IsolationForest:
     contamination: float = 0.01
     seed: int = 42
 
+    def _pool(self, base: DataFrame) -> DataFrame:
+        """The rows with the smallest hashes. On large inputs a hash threshold first leaves a few times as many rows as
+        wanted, so that the final pick does not meet a full set from every task; the picked rows are the same.
+        """
+        wanted = self.trees * self.samples
+        hashed = base.withColumn("__hash", F.xxhash64(*self.id_cols, F.lit(self.seed)))
+        total = base.count()
+        if total > 8 * wanted:
+            few = hashed.where(F.col("__hash") < F.lit(int(-(2**63) + 2**64 * (4 * wanted / total))))
+            if few.count() >= wanted:
+                hashed = few
+        return hashed.orderBy("__hash", *self.id_cols).limit(wanted).drop("__hash")
+
     def fit(self, df: DataFrame) -> ForestModel:
         """Every tree sees up to ``samples`` rows, picked by a hash of the row's id and the seed."""
         cols, seed = list(self.cols), self.seed
         base = df.select(*self.id_cols, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-        pool = base.orderBy(F.xxhash64(*self.id_cols, F.lit(seed)), *self.id_cols).limit(self.trees * self.samples)
+        pool = self._pool(base)
         copies = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
         chance = F.xxhash64(*self.id_cols, F.col("tree"), F.lit(seed + 1))
-        from pyspark.sql import Window
-
         nth = F.row_number().over(Window.partitionBy("tree").orderBy(chance, *self.id_cols))
         picked = copies.withColumn("__nth", nth).where(F.col("__nth") <= self.samples)
         limit = math.ceil(math.log2(max(self.samples, 2)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trafficlens.functions import logfields as lf
 from trafficlens.functions.values import epoch_micros, ratio_or_zero
 from trafficlens.operators.scale import quantiles
+from trafficlens.session import cut_lineage
 
 DEDUP_KEYS = ("host", "timestamp", "url", "method")
 
@@ -58,11 +59,18 @@ def flag_outliers(rows: DataFrame, col: str = "bytes") -> DataFrame:
 
 
 def clean(
-    rows: DataFrame, remove_duplicates: bool = True, validate_status: bool = True, order: str = "line_no"
+    rows: DataFrame, remove_duplicates: bool = True, validate_status: bool = True, order: str = "line_no", keep: bool = False
 ) -> DataFrame:
-    """Deduplicate, fix, flag and derive. Output order is left to the caller (sort only when it is needed)."""
+    """Deduplicate, fix, flag and derive. Output order is left to the caller (sort only when it is needed).
+
+    The outlier fences need a look at all rows before any row can be flagged. With ``keep`` the deduplicated rows are
+    written to the shared folder, so that parsing and deduplication run once and the fences read one column.
+    """
     kept = drop_duplicates(rows, order=order) if remove_duplicates else rows
-    return with_derived(flag_outliers(fix_values(kept, validate_status)))
+    kept = with_derived(fix_values(kept, validate_status))
+    if keep:
+        kept = cut_lineage(rows.sparkSession, kept, "cleaned")
+    return flag_outliers(kept)
 
 
 def find_gaps(rows: DataFrame, ts: str = "timestamp", threshold_seconds: int = 3600, keys: Sequence[str] = ()) -> DataFrame:
@@ -82,29 +90,27 @@ def find_gaps(rows: DataFrame, ts: str = "timestamp", threshold_seconds: int = 3
     return out.select(*keys, "gap_start", "gap_end", (length / 1e6).alias("gap_seconds"))
 
 
-def cleaning_report(parsed: DataFrame, cleaned: DataFrame, deduplicated: DataFrame) -> DataFrame:
-    """One row of counts; ``deduplicated`` is the frame before bytes are fixed."""
-    before = parsed.agg(F.count(F.lit(1)).alias("original_rows"))
-    fixed = deduplicated.agg(
+def cleaning_report(parsed: DataFrame, order: str = "line_no") -> DataFrame:
+    """One row of counts of what cleaning finds and changes.
+
+    Parsed and deduplicated rows are each written once to the shared folder; every count then reads a column or two.
+    """
+    spark = parsed.sparkSession
+    rows = cut_lineage(spark, parsed, "parsed")
+    unique = cut_lineage(spark, drop_duplicates(rows, order=order), "unique")
+    fences = outlier_bounds(fix_values(unique)).select(F.struct("low", "high")).scalar()
+    size = F.greatest(F.col("bytes"), F.lit(0).cast("bigint"))
+    before = rows.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    gaps = find_gaps(unique).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    after = unique.select("status", "bytes", ((size < fences["low"]) | (size > fences["high"])).alias("outlier")).agg(
+        F.count(F.lit(1)).alias("final_rows"),
         F.count_if(~lf.status_is_valid(F.col("status"))).alias("invalid_status"),
         F.count_if(F.col("bytes") < 0).alias("negative_bytes_fixed"),
+        F.count_if(F.col("outlier")).alias("outliers_detected"),
     )
-    after = cleaned.agg(
-        F.count(F.lit(1)).alias("final_rows"), F.count_if(F.col("bytes_outlier")).alias("outliers_detected")
-    )
-    gaps = find_gaps(cleaned).agg(F.count(F.lit(1)).alias("missing_periods"))
-
-    def one(frame: DataFrame, name: str):
-        return frame.select(name).scalar()
-
-    return before.select(
-        "original_rows",
-        one(after, "final_rows").alias("final_rows"),
-        (F.col("original_rows") - one(after, "final_rows")).alias("duplicates_removed"),
-        one(fixed, "invalid_status").alias("invalid_status"),
-        one(fixed, "negative_bytes_fixed").alias("negative_bytes_fixed"),
-        one(gaps, "missing_periods").alias("missing_periods"),
-        one(after, "outliers_detected").alias("outliers_detected"),
+    return after.select(
+        before.alias("original_rows"), "final_rows", (before - F.col("final_rows")).alias("duplicates_removed"),
+        "invalid_status", "negative_bytes_fixed", gaps.alias("missing_periods"), "outliers_detected",
     )
 
 

@@ -358,7 +358,7 @@ def q4_fences(spark, d):
     "parsed cleaned",
 )
 def q5(spark, d):
-    return cl.cleaning_report(v.parsed(spark, d), v.cleaned(spark, d), v.deduplicated(spark, d))
+    return cl.cleaning_report(v.parsed(spark, d))
 
 
 @query(

@@ -9,7 +9,7 @@ from trafficlens.functions.values import floor_time
 from trafficlens.operators import clean as cl
 from trafficlens.operators import features as fe
 from trafficlens.operators.parse import parse_lines
-from trafficlens.operators.scale import halo
+from trafficlens.operators.scale import halo, use_all_cores
 from trafficlens.operators.series import event_counts, fill_grid, zero_fill
 from trafficlens.session import prepare
 
@@ -63,7 +63,7 @@ def lines_of(events: DataFrame) -> DataFrame:
 
 
 def reqlog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(table(spark, sf_dir, "events")).drop("ts")
+    return lines_of(use_all_cores(table(spark, sf_dir, "events"))).drop("ts")
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cl.clean(parsed(spark, sf_dir))
+    return cl.clean(parsed(spark, sf_dir), keep=True)
 
 
 def series(spark: SparkSession, sf_dir: str, step: int = HOUR) -> DataFrame:
