@@ -130,7 +130,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM (SELECT event_type AS series_id,
                 unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, min(ts)), time_bucket(INTERVAL 15 MINUTE, max(ts)), INTERVAL 15 MINUTE)) AS ts
               FROM events GROUP BY 1) g
-        LEFT JOIN (SELECT event_type AS series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, count(*) AS n, max(value) AS x FROM events GROUP BY 1, 2) c
+        LEFT JOIN (SELECT event_type AS series_id, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, count(*) AS n, max(value) / 7.0::DOUBLE AS x FROM events GROUP BY 1, 2) c
         ON c.series_id = g.series_id AND c.ts = g.ts""",
     ),
     "loads": ("series", "SELECT series_id, ts, CAST(y * 100 AS DOUBLE) AS load FROM series"),
