@@ -12,6 +12,7 @@ The row-bounded form takes a regular grid: one row per step and series.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -71,6 +72,20 @@ def halo(
     return out.where(F.col(CHUNK) == own).drop(CHUNK)
 
 
+def with_known(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows whose keys are all known: the others belong to no series."""
+    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
+
+
+def whole_rows(df: DataFrame) -> DataFrame:
+    """The same rows, read with all their columns.
+
+    Where a frame feeds both sides of a join, pruning the columns of one side (or null filters on one side only) would
+    make the two plans differ and run everything below twice. With equal needs the planner reuses the shuffle.
+    """
+    return df.where(F.xxhash64(*df.columns) <= F.lit(2**63 - 1))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -85,7 +100,8 @@ def running(
     ``next`` for the first value at or after the row. Nulls are skipped.
     """
     keys = list(keys)
-    rows = df.withColumn(CHUNK, chunk_of(F.col(ts), step_seconds, chunk_rows)).repartition(*keys, CHUNK)
+    chunked = df.withColumn(CHUNK, chunk_of(F.col(ts), step_seconds, chunk_rows))
+    rows = with_known(chunked, [*keys, CHUNK]).repartition(*keys, CHUNK)
 
     def summary(kind: str, col: str) -> Column:
         if kind == "sum":
@@ -97,7 +113,7 @@ def running(
         stamp = F.when(F.col(col).isNotNull(), F.col(ts))
         return F.max_by(col, stamp) if kind == "last" else F.min_by(col, stamp)
 
-    totals = rows.groupBy(*keys, CHUNK).agg(*[summary(kind, col).alias(name) for name, (kind, col) in columns.items()])
+    totals = whole_rows(rows).groupBy(*keys, CHUNK).agg(*[summary(kind, col).alias(name) for name, (kind, col) in columns.items()])
     chunks = Window.partitionBy(*keys).orderBy(CHUNK)
     before, after = chunks.rowsBetween(Window.unboundedPreceding, -1), chunks.rowsBetween(1, Window.unboundedFollowing)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.values import epoch_seconds, floor_time, from_epoch, ratio_or_zero
-from trafficlens.operators.scale import running
+from trafficlens.operators.scale import running, whole_rows, with_known
 
 COUNTS = ("request_count", "unique_hosts", "error_count", "bytes_total")
 AVERAGES = ("error_rate", "success_rate", "bytes_avg", "bytes_max")
@@ -68,10 +68,10 @@ def time_grid(df: DataFrame, keys: Sequence[str], step_seconds: int | Column, ts
     return blocks.select(*keys, F.explode(steps).alias("__at")).select(*keys, from_epoch(F.col("__at")).alias(ts))
 
 
-def fill_grid(df: DataFrame, keys: Sequence[str], step_seconds: int, ts: str = "timestamp") -> DataFrame:
-    """Left join of the measures to the full grid."""
-    grid = time_grid(df, keys, step_seconds, ts)
-    return grid.join(df, on=[*keys, ts], how="left")
+def fill_grid(df: DataFrame, keys: Sequence[str], step_seconds: int | Column, ts: str = "timestamp") -> DataFrame:
+    """Left join of the measures to the full grid. Rows without a key or a time belong to no series."""
+    known = with_known(df, [*keys, ts])
+    return time_grid(whole_rows(known), keys, step_seconds, ts).join(known, on=[*keys, ts], how="left")
 
 
 def zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -169,8 +169,7 @@ def multi_series(rows: DataFrame, steps: Sequence[int] = (60, 300, 900), spec: S
         measures += [F.sum("__sum").alias("bytes_total"), (F.sum("__sum") / n).alias("bytes_avg"), F.max("__max").alias("bytes_max")]
     by = [*keys, "granularity"]
     counted = spread.groupBy(*by, start.alias("timestamp")).agg(*measures)
-    grid = time_grid(counted, by, length)
-    filled = grid.join(counted, on=[*by, "timestamp"], how="left")
+    filled = fill_grid(counted, by, length)
     filled = zero_fill(filled, [c for c in COUNTS if c in filled.columns])
     soft = [c for c in AVERAGES if c in filled.columns]
     if spec.fill == "zero":

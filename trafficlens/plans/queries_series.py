@@ -184,31 +184,31 @@ def f1(spark, d):
     return v.sparse(spark, d)
 
 
-@query("f2_zero_fill", f"{AT} x:d", f"SELECT {HEAD}, coalesce(x, 0) AS x FROM sparse", "sparse")
+@query("f2_zero_fill", f"{AT} n:i x:d", f"SELECT {HEAD}, n, coalesce(x, 0) AS x FROM sparse", "sparse")
 def f2(spark, d):
     return se.zero_fill(v.sparse(spark, d), ["x"])
 
 
-@query("f3_ffill", f"{AT} x:d", f"SELECT {HEAD}, last_value(x IGNORE NULLS) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS x FROM sparse", "sparse")
+@query("f3_ffill", f"{AT} n:i x:d", f"SELECT {HEAD}, n, last_value(x IGNORE NULLS) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS x FROM sparse", "sparse")
 def f3(spark, d):
     return se.forward_fill(v.sparse(spark, d), SID, ["x"], 900)
 
 
 INTERPOLATED = """
-    SELECT series_id, ts, coalesce(x, px + coalesce((nx - px) * (epoch(ts) - epoch(pt)) / nullif(epoch(nt) - epoch(pt), 0), 0)) AS x FROM (
-      SELECT series_id, ts, x, last_value(x IGNORE NULLS) OVER p AS px, last_value(CASE WHEN x IS NOT NULL THEN ts END IGNORE NULLS) OVER p AS pt,
-        first_value(x IGNORE NULLS) OVER n AS nx, first_value(CASE WHEN x IS NOT NULL THEN ts END IGNORE NULLS) OVER n AS nt
+    SELECT series_id, ts, n, coalesce(x, px + coalesce((nx - px) * (epoch(ts) - epoch(pt)) / nullif(epoch(nt) - epoch(pt), 0), 0)) AS x FROM (
+      SELECT series_id, ts, n, x, last_value(x IGNORE NULLS) OVER p AS px, last_value(CASE WHEN x IS NOT NULL THEN ts END IGNORE NULLS) OVER p AS pt,
+        first_value(x IGNORE NULLS) OVER f AS nx, first_value(CASE WHEN x IS NOT NULL THEN ts END IGNORE NULLS) OVER f AS nt
       FROM sparse
       WINDOW p AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-             n AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+             f AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
-@query("f4_interpolate", f"{AT} x:d", f"SELECT {HEAD}, x FROM ({INTERPOLATED})", "sparse")
+@query("f4_interpolate", f"{AT} n:i x:d", f"SELECT {HEAD}, n, x FROM ({INTERPOLATED})", "sparse")
 def f4(spark, d):
     return se.interpolate(v.sparse(spark, d), SID, ["x"], 900)
 
 
-@query("f5_bfill", f"{AT} x:d", f"SELECT {HEAD}, first_value(x IGNORE NULLS) OVER ({BY} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x FROM sparse", "sparse")
+@query("f5_bfill", f"{AT} n:i x:d", f"SELECT {HEAD}, n, first_value(x IGNORE NULLS) OVER ({BY} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x FROM sparse", "sparse")
 def f5(spark, d):
     return se.backward_fill(v.sparse(spark, d), SID, ["x"], 900)
 
