@@ -29,7 +29,13 @@ CONFIGS = {
 GRID = cp.threshold_grid(CONFIGS["balanced"])
 POLICIES = ("balanced", "reactive", "predictive")
 FIXED = {"fixed_min": "min", "fixed_max": "max", "fixed_optimal": "optimal", "fixed_8": 8}
-sqlviews.register_configs(CONFIGS, GRID)
+SWEEP = {
+    f"cool{c}_out{o}_in{i}": replace(CONFIGS["balanced"], cooldown_minutes=c, scale_out_consecutive=o, scale_in_consecutive=i)
+    for c, o, i in product((0, 60, 120, 240), (1, 2, 3), (2, 3, 6, 10))
+}
+sqlviews.register_configs(CONFIGS)
+sqlviews.register_sweep("grid", GRID)
+sqlviews.register_sweep("sweep", SWEEP)
 
 LC = "loads l CROSS JOIN configs c"
 RUN = "series_id:s config_id:s policy:s"
@@ -188,7 +194,7 @@ def c14(spark, d):
 GRID_COLUMNS = "series_id:s config_id:s total_cost:d4 avg_utilization:d sla_violations:i sla_violation_rate:d scaling_events:i avg_servers:d"
 
 
-@query("c15_threshold_grid", GRID_COLUMNS)
+@query("c15_threshold_grid", GRID_COLUMNS, "SELECT * FROM grid_report", "grid_report")
 def c15(spark, d):
     return rp.replay_report(_decided(spark, d, GRID, ("balanced",)), MINUTES)
 
@@ -204,14 +210,9 @@ def c16(spark, d):
     return rp.best_under(rows, 0.05, label="run_id")
 
 
-@query("c17_joint_sweep", "series_id:s config_id:s total_cost:d4 sla_violations:i scaling_events:i")
+@query("c17_joint_sweep", GRID_COLUMNS, "SELECT * FROM sweep_report", "sweep_report")
 def c17(spark, d):
-    base = CONFIGS["balanced"]
-    configs = {
-        f"cool{c}_out{o}_in{i}": replace(base, cooldown_minutes=c, scale_out_consecutive=o, scale_in_consecutive=i)
-        for c, o, i in product((0, 60, 120, 240), (1, 2, 3), (2, 3, 6, 10))
-    }
-    return rp.replay_report(_decided(spark, d, configs, ("balanced",)), MINUTES)
+    return rp.replay_report(_decided(spark, d, SWEEP, ("balanced",)), MINUTES)
 
 
 @query(

@@ -271,7 +271,19 @@ VIEWS["signals"] = (
 )
 
 
-def register_configs(configs: dict[str, ScalingConfig], grid: dict[str, ScalingConfig]) -> None:
+def register_sweep(name: str, configs: dict[str, ScalingConfig]) -> None:
+    """The plain rule under many configurations, as view ``name``, and its report as ``name_report``."""
+    VIEWS[f"{name}_runs"] = ("", f"SELECT config_id, 'balanced' AS policy, false AS trend, c.* EXCLUDE (config_id) FROM ({config_rows(configs)}) c")
+    VIEWS[name] = (f"signals {name}_runs", DECIDED.replace("FROM decided d", f"FROM {name} d").replace("JOIN runs r", f"JOIN {name}_runs r"))
+    VIEWS[f"{name}_report"] = (
+        name,
+        f"""SELECT series_id, config_id, sum(cost) AS total_cost, avg(after) AS avg_utilization, count(*) FILTER (after > 1) AS sla_violations,
+          count(*) FILTER (after > 1) / count(*) AS sla_violation_rate, count(*) FILTER (action <> 'hold') AS scaling_events, avg(servers) AS avg_servers
+        FROM {name} WHERE place >= 0 GROUP BY 1, 2""",
+    )
+
+
+def register_configs(configs: dict[str, ScalingConfig]) -> None:
     """Views that depend on the configurations in use."""
     summary = """sum(cost) AS total_cost, sum(cost) / sum(hours) AS avg_cost_per_hour, avg(servers) AS avg_servers, max(servers) AS max_servers, min(servers) AS min_servers,
         avg(used) AS avg_utilization, max(used) AS max_utilization, count(*) FILTER (used > 1) AS sla_violations, count(*) FILTER (used > 1) / count(*) AS sla_violation_rate,
