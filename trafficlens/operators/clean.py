@@ -114,14 +114,20 @@ def cleaning_report(parsed: DataFrame, order: str = "line_no") -> DataFrame:
     )
 
 
-def log_statistics(rows: DataFrame) -> DataFrame:
-    return rows.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_distinct("host").alias("unique_hosts"),
-        F.min("timestamp").alias("first_time"),
-        F.max("timestamp").alias("last_time"),
-        F.sum("bytes").alias("total_bytes"),
-        F.avg("bytes").alias("avg_bytes"),
+def log_statistics(marked: DataFrame) -> DataFrame:
+    """One row over marked lines: valid rows, hosts, time range, bytes, and the lines that do not parse."""
+
+    def of_valid(name: str):
+        return F.when(F.col("valid"), F.col(name))
+
+    return marked.agg(
+        F.count_if("valid").alias("total_records"),
+        F.count_distinct(of_valid("host")).alias("unique_hosts"),
+        F.min(of_valid("timestamp")).alias("first_time"),
+        F.max(of_valid("timestamp")).alias("last_time"),
+        F.sum(of_valid("bytes")).alias("total_bytes"),
+        F.avg(of_valid("bytes")).alias("avg_bytes"),
+        F.count_if(~F.col("valid")).alias("parse_errors"),
     )
 
 
@@ -140,9 +146,17 @@ def value_counts(rows: DataFrame, *cols: str) -> DataFrame:
     )
 
 
-def top_values(rows: DataFrame, col: str, n: int) -> DataFrame:
-    counts = rows.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), F.asc(col)).limit(n)
+def top_values(counts: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The most frequent items of each field of ``value_counts``; fields without a limit stay whole."""
+    window = Window.partitionBy("field").orderBy(F.desc("n"), "item")
+    limited = counts.where(F.col("field").isin(*limits))
+    place = F.row_number().over(window)
+    allowed = F.col("__nth") <= max(limits.values())
+    fits = F.lit(False)
+    for field, n in limits.items():
+        fits = fits | ((F.col("field") == field) & (F.col("__nth") <= n))
+    top = limited.withColumn("__nth", place).where(allowed).where(fits).drop("__nth")
+    return top.unionByName(counts.where(~F.col("field").isin(*limits)))
 
 
 def infer_interval(rows: DataFrame, ts: str = "timestamp", keys: Sequence[str] = ()) -> DataFrame:

@@ -38,3 +38,8 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 def rejected_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Lines that do not parse, as they came."""
     return _fields(lines, value).where(~_valid()).select(*lines.columns)
+
+
+def mark_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """All lines with their typed fields and ``valid``, for reports that count both kinds in one pass."""
+    return _fields(lines, value).withColumn("valid", _valid()).drop(PARTS)

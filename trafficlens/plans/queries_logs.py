@@ -9,7 +9,7 @@ from trafficlens.functions import logfields as lf
 from trafficlens.functions import values as val
 from trafficlens.operators import clean as cl
 from trafficlens.operators import features as fe
-from trafficlens.operators.parse import parse_lines, rejected_lines
+from trafficlens.operators.parse import mark_lines, rejected_lines
 from trafficlens.operators.series import SeriesSpec, multi_series
 from trafficlens.plans import views as v
 from trafficlens.plans.registry import query
@@ -368,9 +368,7 @@ def q5(spark, d):
     "lines parsed",
 )
 def q6(spark, d):
-    lines = v.reqlog_lines(spark, d)
-    bad = rejected_lines(lines).agg(F.count(F.lit(1)).alias("n"))
-    return cl.log_statistics(parse_lines(lines)).withColumn("parse_errors", bad.select("n").scalar())
+    return cl.log_statistics(mark_lines(v.reqlog_lines(spark, d)))
 
 
 @query(
@@ -391,12 +389,8 @@ def q6_counts(spark, d):
     "fixed",
 )
 def q7(spark, d):
-    rows = v.fixed(spark, d)
-    out = cl.value_counts(rows, "url_category")
-    for col, n in (("extension", 15), ("status", 10)):
-        top = cl.top_values(rows.withColumn(col, F.col(col).cast("string")), col, n)
-        out = out.unionByName(top.select(F.lit(col).alias("field"), F.col(col).alias("item"), "n"))
-    return out
+    counts = cl.value_counts(v.fixed(spark, d), "url_category", "extension", "status")
+    return cl.top_values(counts, {"extension": 15, "status": 10})
 
 
 @query(
