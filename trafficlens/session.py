@@ -35,23 +35,33 @@ def local_session(cpus: int | str = "*", app: str = "trafficlens", memory: str =
     return spark
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local master, where driver and executors share one disk, may fall back to a temporary folder.
+    Only a local master, where driver and executors share one disk, may fall back to a temporary folder. The setting
+    is static, so the fallback is kept here and not written back to the session.
     """
     base = spark.conf.get(CHECKPOINT_KEY, None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_KEY, base)
-    return base
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+    return _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path under this application's part of the shared folder."""
+    return os.path.join(shared_dir(spark), spark.sparkContext.applicationId, f"{label}-{uuid.uuid4().hex}")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete everything this application wrote under the shared folder; call it once its results are saved."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), spark.sparkContext.applicationId))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(spark: SparkSession, df, label: str):
