@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import ring_shards, stream_dedup, winnow
+from trafficlens.llm import mixing, packing, ring_shards, stream_dedup, token_files, winnow
 from trafficlens.llm.common import documents
+from trafficlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +28,12 @@ def llm_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+@query
+def op4_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = mixing.schedule(documents(spark, sf_dir), ["doc_id"], mixing.word_count(F.col("text")), "source")
+    return rows
+
+
 @query
 def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
@@ -37,6 +44,11 @@ def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def hex_text(hashes: Column) -> Column:
     return F.concat_ws(" ", F.transform(hashes, lambda h: F.lower(F.hex(h))))
 
@@ -71,3 +83,10 @@ WITH t AS (
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(n) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY n)
 """
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_tokens(documents(spark, sf_dir), path)
+    return token_files.token_index(spark, path)

@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from trafficlens.llm.common import saved
 from trafficlens.session import scratch_path
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # no space set aside in advance: there is a store for each shuffle partition, and many of them are small
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -51,8 +54,9 @@ def update_state(
     """Run the stream over what is new in ``path`` and return the whole state: (digest, keeper, group_size)."""
     # a path that ends in a pattern may be a folder or one file; both then have the same form
     pattern = f"{path[:-1]}[{path[-1]}]"
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
         seen = located(arriving, id_col, text_col, digest).groupBy("digest")
@@ -71,7 +75,8 @@ def update_state(
         )
         return saved(rows, "dedup-state")
     finally:
-        spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def dedup(
