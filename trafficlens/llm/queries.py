@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import mixing, packing, ring_shards, stream_dedup, token_files, winnow
-from trafficlens.llm.common import documents
+from trafficlens.llm import chosen_path, language, mixing, packing, ring_shards, stream_dedup, token_files, winnow
+from trafficlens.llm.common import documents, hold_out
 from trafficlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,12 +28,29 @@ def llm_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+@query
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = hold_out("doc_id", 3, 1)
+    model = language.train(docs.where(~held))
+    return language.predict(docs, model, keep={"doc_id": F.col("doc_id"), "held_out": held})
+
+
 @query
 def op4_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = mixing.schedule(documents(spark, sf_dir), ["doc_id"], mixing.word_count(F.col("text")), "source")
     return rows
 
 
+@query
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chosen_path.similarity_classes(documents(spark, sf_dir))
+    return rows.select(
+        F.col("id.doc_id").alias("doc_id"), F.col("class_id.doc_id").alias("class_id"), F.col("representative.doc_id").alias("representative"),
+        "copies", "text_links", "links",
+    )
+
+
 @query
 def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
