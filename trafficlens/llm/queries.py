@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import chosen_path, language, mixing, packing, ring_shards, stream_dedup, token_files, winnow
+from trafficlens.llm import chosen_path, language, mixing, packing, ring_shards, stream_dedup, token_files, toxicity, winnow
 from trafficlens.llm.common import documents, hold_out
 from trafficlens.session import scratch_path
 
@@ -28,6 +28,15 @@ def llm_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+@query
+def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    rows = toxicity.score(docs, labels, ~hold_out("doc_id", 5, 0))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return rows.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "score", predicted, "posterior", "votes")
+
+
 @query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
