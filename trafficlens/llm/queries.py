@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import chosen_path, language, mixing, packing, ring_shards, stream_dedup, token_files, toxicity, winnow
+import corpus_pipeline
+from trafficlens.llm import chosen_path, language, mixing, packing, ring_shards, stream_dedup, surrogates, token_files, toxicity, winnow
 from trafficlens.llm.common import documents, hold_out
 from trafficlens.session import scratch_path
 
@@ -28,6 +29,17 @@ def llm_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return surrogates.replace(docs, b"documents")
+
+
 @query
 def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

@@ -109,7 +109,7 @@ def dedup(
         per_text = shared.groupBy("digest", "text").agg(F.max("spot").alias("keeper"), F.count(F.lit(1)).alias("group_size"))
         split = shared.select("digest", "text", "spot").join(per_text, ["digest", "text"]).select("digest", "spot", "keeper", "group_size")
         verdict = verdict.join(collided, "digest", "left_anti").unionByName(split)
-    return verdict.withColumn("kept", F.col("spot") == F.col("keeper"))
+    return verdict.withColumn("kept", F.col("spot").eqNullSafe(F.col("keeper")))
 
 
 def dedup_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,0 +1,326 @@
+"""Surrogates for personal data: keyed, consistent replacements of the same kind, script, gender and format.
+
+Entities are found by patterns with checks: e-mail addresses, telephone numbers, IPv4 addresses, payment cards and
+other long account numbers, IBANs, social-security numbers, and names of persons (a title, or a known given name with
+a surname). The surrogate of an entity depends on a key and on the entity alone, so one entity has one surrogate in
+all documents (coreference), and a surname standing alone after a title follows the surname's surrogate.
+
+Numbers and addresses keep their length, grouping and check digits: their free digits and letters go through a keyed
+permutation of all values of that form, so two entities never share a surrogate. Names are drawn from pools of their
+script and gender by a keyed hash; different names drawn to one pool name are told apart by their rank among them,
+spelled out as further name parts. That collision check runs on the table of distinct names, a row each, however
+often one occurs; :func:`collisions` checks all kinds at once.
+
+Secrets such as keys and passwords identify no person and are left alone.
+
+Defined results: a null text stays null and an empty one empty; texts without entities come back unchanged to the
+byte; repeated rows get equal results; an empty table gives no rows; extra columns are kept, clashing ones included,
+because only ``text`` is replaced and two columns are added under given names.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from trafficlens.llm.common import saved
+
+# Name pools by script and gender: common given names and surnames.
+GIVEN = {
+    ("latin", "f"): "Anna Maria Laura Julia Sofia Emma Clara Elena Sarah Lucia Alice Nina Eva Marta Irene Paula Helen Ruth Diana Carla".split(),
+    ("latin", "m"): "Peter Paul Martin Thomas David Daniel Lucas Simon Robert Victor Anton Hugo Felix Oscar Julian Walter Henry Mark Leon Adam".split(),
+    ("cyrillic", "f"): "Анна Мария Елена Ольга Ирина Наталья Татьяна Светлана Екатерина Юлия Вера Нина".split(),
+    ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Андрей Николай Михаил Павел Виктор Олег Юрий".split(),
+    ("greek", "f"): "Μαρία Ελένη Σοφία Άννα Κατερίνα Δήμητρα Ιωάννα Βασιλική".split(),
+    ("greek", "m"): "Γιώργος Νίκος Κώστας Δημήτρης Γιάννης Παύλος Ανδρέας Πέτρος".split(),
+}
+SURNAMES = {
+    "latin": (
+        "Miller Carter Bennett Foster Hughes Morgan Parker Reed Sanders Turner Walsh Young Becker Fischer Hoffmann Keller Lehmann Richter Vogel Winter "
+        "Bernard Dubois Fournier Girard Lambert Mercier Rousseau Vidal Alvarez Castillo Dominguez Herrera Moreno Navarro Ortega Vargas"
+    ).split(),
+    "cyrillic": "Иваненко Петренко Коваленко Шевченко Бондаренко Ткаченко Кравченко Мельник Бойко Лысенко Савченко Гончар".split(),
+    "greek": "Παπαδάκης Γεωργίου Νικολάου Δημητρίου Ιωάννου Κωνσταντίνου Αντωνίου Χριστοδούλου".split(),
+}
+TITLES = {
+    "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Господин": "m", "Κύριος": "m",
+    "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Госпожа": "f", "Κυρία": "f",
+}
+GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
+
+CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ][\w’'-]*[a-zß-öø-ÿа-яёα-ωά-ώ]"
+PATTERNS = {
+    "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w@])"),
+    "iban": re.compile(r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"),
+    "ip": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"),
+    "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
+    "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
+    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w])|(?<![\w.])\+\d{8,15}(?!\w)"),
+    "person": re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?P<after>{CAPITAL}(?: {CAPITAL})?)|(?P<given>{'|'.join(GENDER)}) (?P<family>{CAPITAL}))(?!\w)"),
+}
+
+
+def luhn(digits: str) -> bool:
+    total = sum(int(d) if i % 2 == 0 else (2 * int(d) - 9 * (int(d) > 4)) for i, d in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def luhn_digit(body: str) -> str:
+    return next(d for d in "0123456789" if luhn(body + d))
+
+
+def iban_number(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text))
+
+
+def valid_iban(text: str) -> bool:
+    t = text.replace(" ", "")
+    return 15 <= len(t) <= 34 and iban_number(t[4:] + t[:4]) % 97 == 1
+
+
+def script_of(text: str) -> str:
+    first = next((c for c in text if c.isalpha()), "a")
+    return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
+
+
+def keyed(key: bytes, *parts: object) -> int:
+    return int.from_bytes(hmac.new(key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest()[:16], "big")
+
+
+def permuted(key: bytes, label: str, value: int, size: int) -> int:
+    """A keyed permutation of 0 .. size - 1: four or more rounds of alternating modular addition, walked into range."""
+    if size < 2:
+        return value
+    a = 1 << ((size - 1).bit_length() + 1) // 2
+    b = 1 << ((size - 1).bit_length()) // 2
+    while True:
+        left, right = divmod(value, b)
+        for r in range(8):
+            if r % 2:
+                left = (left + keyed(key, label, size, r, right)) % a
+            else:
+                right = (right + keyed(key, label, size, r, left)) % b
+        value = left * b + right
+        if value < size:
+            return value
+
+
+def permuted_digits(key: bytes, label: str, digits: str) -> str:
+    """Another number of the same length; lengths of one digit change too."""
+    size = 10 ** len(digits)
+    value = permuted(key, label, int(digits), size)
+    return str(value).zfill(len(digits))
+
+
+def refilled(shape: str, digits: str) -> str:
+    """``shape`` with its digits replaced in turn."""
+    rest = iter(digits)
+    return "".join(next(rest) if c.isdigit() else c for c in shape)
+
+
+def formed_surrogate(key: bytes, kind: str, entity: str) -> str:
+    """Surrogate of an entity with a form: a permutation on all entities of that form."""
+    digits = "".join(c for c in entity if c.isdigit())
+    if kind == "card":
+        if luhn(digits):
+            body = digits[0] + permuted_digits(key, f"card{digits[0]}", digits[1:-1])
+            return refilled(entity, body + luhn_digit(body))
+        return refilled(entity, digits[0] + unlike(key, f"account{digits[0]}", digits[0], digits[1:]))
+    if kind == "ip":
+        return ip_surrogate(key, entity)
+    if kind == "email":
+        name, _, host = entity.rpartition("@")
+        labels, _, top = host.rpartition(".")
+        return f"{reshaped(key, 'mail', name)}@{reshaped(key, 'host', labels)}.{top}"
+    if kind == "iban":
+        t = entity.replace(" ", "")
+        body = reshaped(key, f"iban{t[:2]}", t[4:])
+        check = f"{98 - iban_number(body + t[:2] + '00') % 97:02d}"
+        new = iter(t[:2] + check + body)
+        return "".join(c if c == " " else next(new) for c in entity)
+    if kind == "phone":
+        keep = len(re.match(r"\+?\d{1,3}(?=[ .(-])|", entity).group().lstrip("+")) if entity.startswith("+") else 0
+        return refilled(entity, digits[:keep] + permuted_digits(key, f"phone{digits[:keep]}", digits[keep:]))
+    return refilled(entity, permuted_digits(key, kind, digits))
+
+
+def unlike(key: bytes, label: str, head: str, digits: str) -> str:
+    """The permutation restricted to numbers that fail the card check, so that a failing number stays one."""
+    new = permuted_digits(key, label, digits)
+    while luhn(head + new):
+        new = permuted_digits(key, label, new)
+    return new
+
+
+def ip_surrogate(key: bytes, entity: str) -> str:
+    """Another address of the same kind (private stays private, public public); parts stay within 0 .. 255."""
+    import ipaddress
+
+    def private(v: int) -> bool:
+        return ipaddress.IPv4Address(v).is_private
+
+    value = int(ipaddress.IPv4Address(".".join(str(int(p)) for p in entity.split("."))))
+    was = private(value)
+    new = permuted(key, "ip", value, 1 << 32)
+    while private(new) != was:
+        new = permuted(key, "ip", new, 1 << 32)
+    return str(ipaddress.IPv4Address(new))
+
+
+def permuted_letters(key: bytes, label: str, letters: str) -> str:
+    """Another string of as many letters A-Z."""
+    number = 0
+    for c in letters:
+        number = number * 26 + ord(c) - 65
+    number = permuted(key, f"{label}/{len(letters)}", number, 26 ** len(letters))
+    out = []
+    for _ in letters:
+        number, r = divmod(number, 26)
+        out.append(chr(65 + r))
+    return "".join(reversed(out))
+
+
+def reshaped(key: bytes, label: str, text: str) -> str:
+    """Letters to letters and digits to digits, as permutations over all texts of the same shape; case stays."""
+    plain = text.upper()
+    shape = "".join("A" if "A" <= c <= "Z" else "0" if c.isdigit() else c for c in plain)
+    letters = "".join(c for c, k in zip(plain, shape, strict=True) if k == "A")
+    digits = "".join(c for c, k in zip(plain, shape, strict=True) if k == "0")
+    new_letters = iter(permuted_letters(key, f"{label}/{shape}", letters))
+    new_digits = iter(permuted_digits(key, f"{label}/{shape}", digits) if digits else "")
+    out = [next(new_letters) if k == "A" else next(new_digits) if k == "0" else c for c, k in zip(plain, shape, strict=True)]
+    return "".join(n.lower() if c.islower() else n for c, n in zip(text, out, strict=True))
+
+
+def found(text: str | None) -> list[tuple[int, int, str, str]]:
+    """Entities of a text as (start, end, kind, entity), left to right without overlaps; earlier kinds win."""
+    if not text:
+        return []
+    has_digit = any(c.isdigit() for c in text)
+    spans: list[tuple[int, int, str, str]] = []
+    for kind, pattern in PATTERNS.items():
+        if kind != "person" and not has_digit and kind != "email" or kind == "email" and "@" not in text:
+            continue
+        for m in pattern.finditer(text):
+            entity, a, b = m.group(), m.start(), m.end()
+            if kind == "person":
+                group = "after" if m["title"] else "given"
+                a = m.start(group)
+                entity = text[a:b]
+            if kind == "ip" and any(int(p) > 255 for p in entity.split(".")):
+                continue
+            if kind == "iban" and not valid_iban(entity):
+                continue
+            if kind == "card" and not 13 <= sum(map(str.isdigit, entity)) <= 19:
+                continue
+            if any(x < b and a < y for x, y, _, _ in spans):
+                continue
+            gender = ("title" in m.groupdict() and m["title"] and TITLES[m["title"]]) or GENDER.get(entity.split(" ")[0], "") if kind == "person" else ""
+            spans.append((a, b, kind if not gender else f"person-{gender}", entity))
+    return sorted(spans)
+
+
+def parts_of(kind: str, entity: str) -> list[tuple[str, str]]:
+    """The names of a person as (pool, name), each with its own surrogate, so that a surname alone follows."""
+    names, gender = entity.split(" "), kind.rpartition("-")[2] if "-" in kind else "m"
+    script = script_of(entity)
+    if len(names) == 1 and names[0] not in GENDER:
+        return [(f"surname-{script}", names[0])]
+    rest = [(f"surname-{script}", names[-1])] if len(names) > 1 else []
+    return [(f"given-{script}-{GENDER.get(names[0], gender)}", names[0]), *rest]
+
+
+def pool_of(pool: str) -> list[str]:
+    kind, *rest = pool.split("-")
+    return SURNAMES[rest[0]] if kind == "surname" else GIVEN[tuple(rest)]
+
+
+def spelled(pool: str, at: int, rank: int) -> str:
+    """Pool name ``at``; for the ``rank``-th further name drawn to it, the rank spelled out as more parts."""
+    words = pool_of(pool)
+    parts = [words[at % len(words)]]
+    while rank:
+        rank, r = divmod(rank - 1, len(words))
+        parts.append(words[r])
+    return "-".join(parts)
+
+
+def rewritten(text: str | None, names: dict[tuple[str, str], tuple[int, int]], key: bytes) -> tuple[str | None, list[str]]:
+    """The text with surrogates, and the kinds of its entities in order."""
+    spans = found(text)
+    if not spans:
+        return text, []
+    out, last = [], 0
+    for a, b, kind, entity in spans:
+        if kind.startswith("person"):
+            new = " ".join(spelled(p[0], *names[p]) for p in parts_of(kind, entity))
+        else:
+            new = formed_surrogate(key, kind, entity)
+        out += [text[last:a], new]
+        last = b
+    return "".join([*out, text[last:]]), [kind.partition("-")[0] for _, _, kind, _ in spans]
+
+
+def mentioned(docs: DataFrame, text_col: str, id_col: str, key: bytes) -> DataFrame:
+    """(id, h, pool, name, at, draw): the names in each document, each with its pool name and a keyed order."""
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for i, h, t in zip(frame["id"], frame["h"], frame["text"], strict=True):
+                for pool, n in sorted({p for _, _, kind, e in found(t) if kind.startswith("person") for p in parts_of(kind, e)}):
+                    out.append((i, h, pool, n, keyed(key, pool, n) % len(pool_of(pool)), f"{keyed(key, 'order', pool, n):032x}"))
+            yield pd.DataFrame(out, columns=["id", "h", "pool", "name", "at", "draw"])
+
+    plain = docs.select(F.xxhash64(text_col).alias("h"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    found_ = plain.mapInPandas(look, "id string, h long, pool string, name string, at long, draw string")
+    return saved(found_.distinct(), "surrogate-mentions")
+
+
+def replace(docs: DataFrame, key: bytes, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with ``text_col`` rewritten, ``n_entities`` and ``kinds`` (of the entities, in order of place) added.
+
+    Texts without names of persons are rewritten where they lie. Those with names fetch the draws of their names: the
+    names of a document travel to it by a join on the name, in rows of (document, name).
+    """
+    met = mentioned(docs, text_col, id_col, key)
+    # one row per distinct name: which of the names drawn to one pool name it is
+    order = Window.partitionBy("pool", "at").orderBy("draw", "name")
+    distinct = met.select("pool", "name", "at", "draw").distinct()
+    names = distinct.select("pool", "name", (F.row_number().over(order).cast("long") - 1).alias("rank"))
+    drawn = F.collect_list(F.struct("pool", "name", "at", "rank")).alias("__names")
+    by_doc = met.join(names, ["pool", "name"]).groupBy("id", "h").agg(drawn)
+    keyed_docs = docs.withColumns({"__id": F.col(id_col).cast("string"), "__h": F.xxhash64(text_col)})
+    joined = keyed_docs.join(by_doc, keyed_docs["__id"].eqNullSafe(by_doc["id"]) & (keyed_docs["__h"] == by_doc["h"]), "left").select(
+        *[keyed_docs[c] for c in docs.columns], "__names"
+    )
+
+    @F.pandas_udf("struct<text: string, kinds: array<string>>")
+    def rewrite(text: pd.Series, drawn: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, ns in zip(text, drawn, strict=True):
+            known = {(n["pool"], n["name"]): (n["at"], n["rank"]) for n in ns} if ns is not None else {}
+            out.append(rewritten(t, known, key))
+        return pd.DataFrame(out, columns=["text", "kinds"])
+
+    done = joined.withColumn("__done", rewrite(text_col, "__names"))
+    columns = [F.col("__done.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_entities", "kinds")]
+    return done.select(*columns, F.size("__done.kinds").alias("n_entities"), F.col("__done.kinds").alias("kinds"))
+
+
+def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """(kind, surrogate, entities) of surrogates shared by several entities with a form: empty, as they are permutations."""
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            seen = {(kind, e.lower() if kind == "email" else e) for t in frame["text"] for _, _, kind, e in found(t) if not kind.startswith("person")}
+            yield pd.DataFrame([(k, e, formed_surrogate(key, k, e)) for k, e in sorted(seen)], columns=["kind", "entity", "surrogate"])
+
+    pairs = docs.select(F.col(text_col).alias("text")).mapInPandas(look, "kind string, entity string, surrogate string").distinct()
+    return pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("entities")).where("entities > 1")
