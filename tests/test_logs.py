@@ -12,6 +12,7 @@ from trafficlens.operators.parse import parse_lines, rejected_lines
 from trafficlens.sources import loads as ld
 from trafficlens.sources import logs as lg
 from trafficlens.sources import tables as tb
+from trafficlens.streaming import live
 
 GOOD = '199.72.81.55 - - [01/Jul/1995:00:00:01 -0400] "GET /history/apollo/ HTTP/1.0" 200 6245'
 LINES = [
@@ -173,3 +174,31 @@ def test_unknown_format(spark, tmp_path):
 def test_sample_loads_follow_the_wave(spark):
     rows = ld.sample_loads(ld.sample_grid(spark, 2880)).agg(F.min("load").alias("lo"), F.avg("load").alias("m"), F.count("*").alias("n")).first()
     assert rows.lo >= 10 and 40 < rows.m < 80 and rows.n == 2880
+
+
+LINE = '{} - - [01/Jul/1995:00:00:{:02d} -0400] "GET {} HTTP/1.0" {} 10'
+
+
+def test_files_of_unequal_size_keep_their_order(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/a.log").write_text(LINE.format("h", 1, "/x", 200) + "\n")
+    (tmp_path / "log/b.log").write_text("\n".join([LINE.format("h", 1, "/x", 404), *[LINE.format("g", i % 60, f"/y{i}", 200) for i in range(50)]]))
+    rows = cl.drop_duplicates(lg.read_log(spark, str(tmp_path / "log")))
+    assert [r.status for r in rows.where("host = 'h'").collect()] == [200] and rows.count() == 51
+
+
+def test_control_bytes_and_latin_letters_survive(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/a.log").write_bytes(LINE.format("h", 1, "/a\x01b/\xe9", 200).encode("latin-1") + b"\n")
+    assert [r.url for r in lg.read_log(spark, str(tmp_path / "log")).collect()] == ["/a\x01b/\xe9"]
+    stream = lg.stream_lines(spark, str(tmp_path / "log"))
+    assert [r.value[-20:-18] for r in live.run_available(spark, stream, "lines").collect()] == [LINE.format("h", 1, "/a\x01b/\xe9", 200)[-20:-18]]
+
+
+def test_csv_periods_are_dense_over_several_files(spark, tmp_path):
+    (tmp_path / "loads").mkdir()
+    for i in range(3):
+        (tmp_path / f"loads/p{i}.csv").write_text("load\n" + "\n".join(str(100 * i + k) for k in range(5 - i)) + "\n")
+    rows = ld.read_csv_loads(spark, str(tmp_path / "loads")).orderBy("period").collect()
+    assert [r.period for r in rows] == list(range(12))
+    assert [r.load for r in rows] == [100.0 * i + k for i in range(3) for k in range(5 - i)]

@@ -15,13 +15,13 @@ from trafficlens.session import cut_lineage
 DEDUP_KEYS = ("host", "timestamp", "url", "method")
 
 
-def drop_duplicates(rows: DataFrame, keys: Sequence[str] = DEDUP_KEYS, order: str | Sequence[str] = "line_no") -> DataFrame:
-    """Keep the first row in file order of every key.
+def drop_duplicates(rows: DataFrame, keys: Sequence[str] = DEDUP_KEYS, order: str | Sequence[str] | None = None) -> DataFrame:
+    """Keep the first row of every key in ``order``, by default the order of file, place in the file and line.
 
     The planner turns ``row_number() = 1`` into a group limit on both sides of the shuffle, so a key that fills the
     table leaves each map task as one row.
     """
-    by = [order] if isinstance(order, str) else list(order)
+    by = [c for c in ("file", "block", "line_no") if c in rows.columns] if order is None else [order] if isinstance(order, str) else list(order)
     window = Window.partitionBy(*keys).orderBy(*by)
     return rows.withColumn("__nth", F.row_number().over(window)).where(F.col("__nth") == 1).drop("__nth")
 
@@ -59,7 +59,7 @@ def flag_outliers(rows: DataFrame, col: str = "bytes") -> DataFrame:
 
 
 def clean(
-    rows: DataFrame, remove_duplicates: bool = True, validate_status: bool = True, order: str = "line_no", keep: bool = False
+    rows: DataFrame, remove_duplicates: bool = True, validate_status: bool = True, order: str | Sequence[str] | None = None, keep: bool = False
 ) -> DataFrame:
     """Deduplicate, fix, flag and derive. Output order is left to the caller (sort only when it is needed).
 
@@ -90,7 +90,7 @@ def find_gaps(rows: DataFrame, ts: str = "timestamp", threshold_seconds: int = 3
     return out.select(*keys, "gap_start", "gap_end", (length / 1e6).alias("gap_seconds"))
 
 
-def cleaning_report(parsed: DataFrame, order: str = "line_no") -> DataFrame:
+def cleaning_report(parsed: DataFrame, order: str | Sequence[str] | None = None) -> DataFrame:
     """One row of counts of what cleaning finds and changes.
 
     Parsed and deduplicated rows are each written once to the shared folder; every count then reads a column or two.

@@ -24,15 +24,6 @@ CHUNK_ROWS = 4096
 VALUE_BINS = 1024
 
 
-def use_all_cores(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores; a large input is left as it is.
-
-    Worth its small shuffle only before heavy per-row work such as parsing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def chunk_of(ts: Column, step_seconds: int, rows: int = CHUNK_ROWS) -> Column:
     """Chunk number: whole chunks of ``rows`` grid steps since 1970."""
     return F.floor(epoch_seconds(ts) / F.lit(step_seconds * rows))

@@ -329,13 +329,13 @@ def q2(spark, d):
 
 
 @query(
-    "q3_gaps", "gap_start:t gap_end:t gap_seconds:d",
-    """SELECT * FROM (SELECT lag(ts) OVER (ORDER BY ts, line_no) AS gap_start, ts AS gap_end, epoch(ts) - epoch(lag(ts) OVER (ORDER BY ts, line_no)) AS gap_seconds FROM dedup)
-    WHERE gap_seconds > 3600""",
+    "q3_gaps", "host:s gap_start:t gap_end:t gap_seconds:d",
+    """SELECT * FROM (SELECT host, lag(ts) OVER h AS gap_start, ts AS gap_end, epoch(ts) - epoch(lag(ts) OVER h) AS gap_seconds FROM dedup
+      WINDOW h AS (PARTITION BY host ORDER BY ts, line_no)) WHERE gap_seconds > 3600""",
     "dedup",
 )
 def q3(spark, d):
-    return cl.find_gaps(v.deduplicated(spark, d))
+    return cl.find_gaps(v.deduplicated(spark, d), keys=["host"])
 
 
 @query("q4_outliers", f"{KEY} bytes:i bytes_outlier:b", "SELECT line_no, bytes, bytes_outlier FROM cleaned", "cleaned")

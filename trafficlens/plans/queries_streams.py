@@ -74,13 +74,13 @@ def g4_same(spark, d):
 
 
 @query(
-    "g5_live_gaps", "method:s gap_start:t gap_end:t",
-    """SELECT method, s AS gap_start, ts AS gap_end FROM (SELECT method, ts, lag(ts) OVER (PARTITION BY method ORDER BY ts, line_no) AS s FROM parsed)
+    "g5_live_gaps", "host:s gap_start:t gap_end:t",
+    """SELECT host, s AS gap_start, ts AS gap_end FROM (SELECT host, ts, lag(ts) OVER (PARTITION BY host ORDER BY ts, line_no) AS s FROM parsed)
     WHERE epoch(ts) - epoch(s) > 3600 AND time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM parsed) - INTERVAL 1 HOUR""",
     "parsed",
 )
 def g5(spark, d):
-    return live.run_available(spark, live.live_gaps(_rows(spark, d), "method"), "live-gaps")
+    return live.run_available(spark, live.live_gaps(_rows(spark, d), "host"), "live-gaps")
 
 
 @query("g6_live_series_sink", f"granularity:i {COUNTS}", CLOSED.replace("SELECT ts", "SELECT 60 AS granularity, ts", 1), "parsed")

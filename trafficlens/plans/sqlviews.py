@@ -51,7 +51,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         FROM (
           SELECT *, CAST(regexp_extract(props, '(\\d+)', 1) AS INTEGER) AS k,
             unnest(CASE WHEN event_id % 50 = 0 THEN [0, 1] ELSE [0] END) AS copy
-          FROM events WHERE NOT (ts >= TIMESTAMP '2024-01-10 14:52:00' AND ts < TIMESTAMP '2024-01-12 04:36:00')
+          FROM events
         )""",
     ),
     "parsed": (

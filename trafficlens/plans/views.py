@@ -9,7 +9,7 @@ from trafficlens.functions.values import floor_time
 from trafficlens.operators import clean as cl
 from trafficlens.operators import features as fe
 from trafficlens.operators.parse import parse_lines
-from trafficlens.operators.scale import halo, use_all_cores
+from trafficlens.operators.scale import halo
 from trafficlens.operators.series import event_counts, fill_grid, zero_fill
 from trafficlens.session import prepare
 
@@ -26,9 +26,6 @@ def lines_of(events: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     kind = F.col("event_type")
     stamp = F.date_trunc("second", "ts")
-    outage = (F.col("ts") >= F.lit("2024-01-10 14:52:00").cast("timestamp_ntz")) & (
-        F.col("ts") < F.lit("2024-01-12 04:36:00").cast("timestamp_ntz")
-    )
     url = (
         F.when(kind == "view", F.concat(F.lit("/images/i"), k, F.lit(".GIF")))
         .when(kind == "click", F.concat(F.lit("/shuttle/p"), k, F.lit(".html?x="), k))
@@ -59,11 +56,11 @@ def lines_of(events: DataFrame) -> DataFrame:
         return F.struct((F.col("event_id") * 2 + copy).alias("line_no"), value.alias("value"))
 
     rows = F.when(F.col("event_id") % 50 == 0, F.array(row(0), row(1))).otherwise(F.array(row(0)))
-    return events.where(~outage).select("ts", F.inline(rows)).select("line_no", "value", "ts")
+    return events.select("ts", F.inline(rows)).select("line_no", "value", "ts")
 
 
 def reqlog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(use_all_cores(table(spark, sf_dir, "events"))).drop("ts")
+    return lines_of(table(spark, sf_dir, "events")).drop("ts")
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

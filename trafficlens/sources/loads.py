@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trafficlens.functions.values import clean_load, epoch_seconds
@@ -14,6 +14,22 @@ LOAD_COLUMNS = ("load", "request_count")
 DEFAULT_START = "1995-07-01 00:00:00"
 
 
+def dense_numbers(lines: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: 0, 1, 2, ... over a file read, by file name and place.
+
+    Lines of one split are numbered in a row; how many stand in the splits before comes from one row per split.
+    """
+    spot = ["__file", "__block"]
+    numbered = lines.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__id"),
+    )
+    before = Window.orderBy(*spot).rowsBetween(Window.unboundedPreceding, -1)
+    splits = numbered.groupBy(*spot).agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    splits = splits.select(*spot, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return numbered.join(splits, spot).withColumn(name, F.col("__before") + F.col("__id") - F.col("__first")).drop(*spot, "__id", "__first", "__before")
+
+
 def read_csv_loads(spark: SparkSession, path: str, load: str | None = None, ts: str | None = None) -> DataFrame:
     """Loads of a CSV file with a header; the load column is the given one, ``load`` or ``request_count``."""
     raw = spark.read.option("header", True).csv(path)
@@ -24,8 +40,8 @@ def read_csv_loads(spark: SparkSession, path: str, load: str | None = None, ts:
         raise ValueError(f"no load column; the file has {raw.columns}")
     ts = ts or ("timestamp" if "timestamp" in raw.columns else None)
     stamp = F.try_to_timestamp(F.col(ts)).cast("timestamp_ntz") if ts else F.lit(None).cast("timestamp_ntz")
-    return raw.select(
-        F.monotonically_increasing_id().alias("period"), stamp.alias("timestamp"),
+    return dense_numbers(raw, "period").select(
+        "period", stamp.alias("timestamp"),
         clean_load(F.col(chosen).try_cast("double")).alias("load"),
     )
 
@@ -41,8 +57,7 @@ def parse_text_loads(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_text_loads(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    return parse_text_loads(lines)
+    return parse_text_loads(dense_numbers(spark.read.text(path), "line_no"))
 
 
 def with_timestamps(df: DataFrame, interval_minutes: float, start: str = DEFAULT_START, period: str = "period") -> DataFrame:

@@ -9,36 +9,38 @@ from trafficlens.functions.logfields import looks_like_log
 from trafficlens.operators.parse import not_blank, parse_lines
 from trafficlens.operators.series import SeriesSpec, traffic_series
 
-# Readers for each encoding family.
+# Names under which the text source's own encoding goes.
 PLAIN = ("utf-8", "utf8", "ascii", "us-ascii")
-LINE_SCHEMA = "value string"
+FILE_ORDER = ("file", "block", "line_no")
+
+
+def decoded(lines: DataFrame, encoding: str) -> DataFrame:
+    """The text source takes bytes as they are; other encodings than UTF-8 are decoded from them."""
+    if encoding.lower() in PLAIN:
+        return lines
+    return lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", numbered: bool = False) -> DataFrame:
-    """Lines of text files. The text source knows UTF-8 only; other encodings are read as one-column CSV.
+    """Lines of text files, every byte kept.
 
-    ``numbered`` adds ``file`` and ``line_no``; numbers grow in file order and are not dense.
+    ``numbered`` adds the columns of ``FILE_ORDER``: sorted by them, lines stand in order of file name and place.
+    ``line_no`` alone has no order across files, which are read largest first.
     """
-    if encoding.lower() in PLAIN:
-        lines = spark.read.text(path)
-    else:
-        lines = (
-            spark.read.schema(LINE_SCHEMA)
-            .option("sep", "\u0001").option("quote", "").option("escape", "").option("encoding", encoding)
-            .option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-            .option("maxCharsPerColumn", -1)
-            .csv(path)
-        )
+    lines = spark.read.text(path)
     if numbered:
-        lines = lines.select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"))
-    return not_blank(lines)
+        lines = lines.select(
+            "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line_no"),
+        )
+    return not_blank(decoded(lines, encoding))
 
 
-def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def stream_lines(spark: SparkSession, path: str, max_files: int | None = None, encoding: str = "ISO-8859-1") -> DataFrame:
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return not_blank(reader.load(path))
+    return not_blank(decoded(reader.load(path), encoding))
 
 
 def read_log(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
@@ -50,11 +52,7 @@ def is_log(lines: DataFrame, value: str = "value", rows: int = 10) -> DataFrame:
     return lines.limit(rows).agg(F.coalesce(F.max(looks_like_log(F.col(value))), F.lit(False)).alias("is_log"))
 
 
-def log_counts(lines: DataFrame, step_seconds: int = 300, max_rows: int = 10_000_000, coarse_seconds: int = 900) -> DataFrame:
-    """Lines to zero-filled request counts per window; a span above ``max_rows`` windows is counted coarser."""
-    rows = parse_lines(lines)
-    seconds = F.unix_seconds(F.col("timestamp").cast("timestamp"))
-    span = rows.agg(((F.max(seconds) - F.min(seconds)) / F.lit(step_seconds)).alias("n")).first()["n"]
-    step = coarse_seconds if span is not None and span > max_rows else step_seconds
-    spec = SeriesSpec(step, hosts=False, errors=False, sizes=False)
-    return traffic_series(rows, spec).select("timestamp", "request_count")
+def log_counts(lines: DataFrame, step_seconds: int = 300) -> DataFrame:
+    """Lines to zero-filled request counts per window."""
+    spec = SeriesSpec(step_seconds, hosts=False, errors=False, sizes=False)
+    return traffic_series(parse_lines(lines), spec).select("timestamp", "request_count")
