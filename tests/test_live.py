@@ -99,6 +99,17 @@ def test_saved_runs(spark, tmp_path):
     assert (empty.total_results, empty.avg_cost, empty.avg_sla_violation_rate) == (0, 0.0, 0.0)
 
 
+def test_deleting_is_safe_for_any_preset(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    table = runs(spark)
+    preset = F.when(F.col("id") == "r0", "a/b").when(F.col("id") == "r1", "a/b").when(F.col("id") == "r2", "007").when(F.col("id") == "r3", "x=y")
+    rs.save_runs(table.withColumn("config_preset", preset), path)
+    for gone in ("r1", "r2", "r5"):
+        assert rs.delete_run(spark, path, gone)
+    left = {r.id: r.config_preset for r in rs.load_runs(spark, path).collect()}
+    assert left == {"r0": "a/b", "r3": "x=y", "r4": None}
+
+
 def test_hash_depends_on_values_and_order(spark):
     rows = [("a", START, 1.0), ("a", START + timedelta(hours=1), 2.0), ("b", START, 2.0), ("b", START + timedelta(hours=1), 1.0)]
     loads = spark.createDataFrame(rows, "series_id string, timestamp timestamp_ntz, load double")

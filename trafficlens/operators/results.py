@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 HASH_ROWS = 4096
 
@@ -29,8 +30,23 @@ def save_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").partitionBy("config_preset").parquet(path)
 
 
+DELETED = "_deleted"
+
+
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The saved runs without the deleted ones. Presets are text, whatever they look like."""
+    # the folder names of the partitions would otherwise be typed by their look
+    stored = spark.read.schema(StructType([*spark.read.parquet(path).drop("config_preset").schema, StructField("config_preset", StringType())])).parquet(path)
+    gone = deleted_runs(spark, path)
+    return stored if gone is None else stored.join(gone, "id", "left_anti")
+
+
+def deleted_runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """Identifiers of deleted runs, or None if there are none. The folder's name keeps it out of the table itself."""
+    marks = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{DELETED}")
+    if not marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marks):
+        return None
+    return spark.read.schema("id string").parquet(f"{path}/{DELETED}").distinct()
 
 
 def get_run(runs: DataFrame, run_id: str) -> DataFrame:
@@ -53,19 +69,13 @@ def list_runs(
 
 
 def delete_run(spark: SparkSession, path: str, run_id: str) -> bool:
-    """Rewrite the partition that holds the run without it. Returns whether it was there.
+    """Mark a run as deleted. Returns whether it was there.
 
-    The rest of the partition is first written next to the table, so a failure never loses rows.
+    Nothing stored is rewritten: the mark is one appended row, so no crash and no preset name can lose other runs.
     """
-    from trafficlens.session import cut_lineage
-
-    runs = load_runs(spark, path)
-    found = [r["config_preset"] for r in runs.where(F.col("id") == run_id).select("config_preset").distinct().take(1)]
-    if not found:
+    if load_runs(spark, path).where(F.col("id") == run_id).isEmpty():
         return False
-    rest = cut_lineage(spark, runs.where((F.col("config_preset") == found[0]) & (F.col("id") != run_id)).drop("config_preset"), "runs")
-    rest.write.mode("overwrite").parquet(f"{path}/config_preset={found[0]}")
-    spark.catalog.refreshByPath(path)
+    spark.createDataFrame([(run_id,)], "id string").write.mode("append").parquet(f"{path}/{DELETED}")
     return True
 
 
