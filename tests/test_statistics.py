@@ -123,7 +123,8 @@ def test_metrics_skip_zero_actuals(spark):
 
 def test_moving_average_limits(spark):
     with pytest.raises(ValueError):
-        fc.moving_average(frame(spark, [1, 2, 3]), 289, 3600)
+        fc.moving_average(frame(spark, [1, 2, 3]), 0, 3600)
+    assert fc.moving_average(frame(spark, [1, 2, 3]), 4032, 300).count() == 4032
     assert fc.moving_average(frame(spark, [1, 2]), 5, 3600).count() == 0
     assert fc.moving_average(frame(spark, [1, 2, 3]), 5, 3600).count() == 5
 
@@ -153,9 +154,19 @@ def test_forest_repeats(spark, blobs):
     assert scores() == scores()
 
 
-def test_forest_pool_is_the_same_behind_the_threshold(spark):
+def test_every_tree_draws_from_all_rows(spark):
     rows = spark.range(5000).withColumn("a", F.col("id").cast("double"))
-    forest = an.IsolationForest(["a"], ["id"], trees=4, samples=16)
-    picked = {r.id for r in forest._pool(rows).collect()}
-    plain = rows.orderBy(F.xxhash64("id", F.lit(42)), "id").limit(64)
-    assert picked == {r.id for r in plain.collect()} and len(picked) == 64
+    draws = an.IsolationForest(["a"], ["id"], trees=20, samples=64)._draws(rows).collect()
+    per_tree = {}
+    for r in draws:
+        per_tree.setdefault(r.tree, set()).add(r.id)
+    assert len(per_tree) == 20 and {len(x) for x in per_tree.values()} == {64}
+    assert len(set.union(*per_tree.values())) > 900  # of 20 x 64 draws with few repeats
+    few = an.IsolationForest(["a"], ["id"], trees=3, samples=64)._draws(rows.where("id < 10"))
+    assert few.count() == 30
+
+
+def test_unknown_interval_levels_are_refused(spark):
+    with pytest.raises(ValueError):
+        fc.interval_factor(0.5)
+    assert fc.interval_factor(0.99) == 2.576

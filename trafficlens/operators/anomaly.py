@@ -103,28 +103,25 @@ class IsolationForest:
     contamination: float = 0.01
     seed: int = 42
 
-    def _pool(self, base: DataFrame) -> DataFrame:
-        """The rows with the smallest hashes. On large inputs a hash threshold first leaves a few times as many rows as
-        wanted, so that the final pick does not meet a full set from every task; the picked rows are the same.
+    def _draws(self, base: DataFrame) -> DataFrame:
+        """(tree, rows): up to ``samples`` rows for every tree, drawn from all rows by a hash of row and tree.
+
+        A row is offered to a tree with a chance of a few times what the tree needs, so few rows are sorted however
+        many there are; a small input is offered whole.
         """
-        wanted = self.trees * self.samples
-        hashed = base.withColumn("__hash", F.xxhash64(*self.id_cols, F.lit(self.seed)))
-        total = base.count()
-        if total > 8 * wanted:
-            few = hashed.where(F.col("__hash") < F.lit(int(-(2**63) + 2**64 * (4 * wanted / total))))
-            if few.count() >= wanted:
-                hashed = few
-        return hashed.orderBy("__hash", *self.id_cols).limit(wanted).drop("__hash")
+        chance = min(1.0, 4 * self.samples / max(base.count(), 1))
+        limit = F.lit(min(2**63 - 1, int(-(2**63) + 2**64 * chance)))
+        trees = F.filter(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.xxhash64(*self.id_cols, t, F.lit(self.seed)) <= limit)
+        offered = base.withColumn("tree", F.explode(trees))
+        draw = F.xxhash64(*self.id_cols, F.col("tree"), F.lit(self.seed))
+        nth = F.row_number().over(Window.partitionBy("tree").orderBy(draw, *self.id_cols))
+        return offered.withColumn("__nth", nth).where(F.col("__nth") <= self.samples)
 
     def fit(self, df: DataFrame) -> ForestModel:
         """Every tree sees up to ``samples`` rows, picked by a hash of the row's id and the seed."""
         cols, seed = list(self.cols), self.seed
         base = df.select(*self.id_cols, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-        pool = self._pool(base)
-        copies = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
-        chance = F.xxhash64(*self.id_cols, F.col("tree"), F.lit(seed + 1))
-        nth = F.row_number().over(Window.partitionBy("tree").orderBy(chance, *self.id_cols))
-        picked = copies.withColumn("__nth", nth).where(F.col("__nth") <= self.samples)
+        picked = self._draws(base)
         limit = math.ceil(math.log2(max(self.samples, 2)))
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:

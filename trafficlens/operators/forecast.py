@@ -13,11 +13,17 @@ from trafficlens.operators.scale import quantiles
 SID = ("series_id",)
 # Interval factors per confidence level, and the baseline's shape.
 Z = {0.80: 1.28, 0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
-BASE_ROWS, BASE_CYCLE, BASE_TREND, BASE_SWING, BASE_MIN_ROWS, BASE_MAX_HORIZON = 12, 12, 0.01, 0.1, 3, 288
+BASE_ROWS, BASE_CYCLE, BASE_TREND, BASE_SWING, BASE_MIN_ROWS = 12, 12, 0.01, 0.1, 3
 TAIL_LAGS = (1, 2, 3, 6, 12, 24, 48, 288)
 TAIL_WINDOWS = (6, 12, 24)
 
 
+def interval_factor(level: float) -> float:
+    if level not in Z:
+        raise ValueError(f"no interval for level {level}; known are {sorted(Z)}")
+    return Z[level]
+
+
 def last_rows(df: DataFrame, n: int, keys: Sequence[str] = SID, ts: str = "timestamp") -> DataFrame:
     """The last n rows per series with ``back`` = 1 for the latest. The group limit works before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(F.desc(ts))
@@ -33,8 +39,8 @@ def future_grid(df: DataFrame, horizon: int, step_seconds: int, keys: Sequence[s
 
 def moving_average(df: DataFrame, horizon: int, step_seconds: int, keys: Sequence[str] = SID, y: str = "y", ts: str = "timestamp") -> DataFrame:
     """Mean of the last 12 rows with a small trend and cycle; series below three rows are left out."""
-    if not 1 <= horizon <= BASE_MAX_HORIZON:
-        raise ValueError(f"horizon must be between 1 and {BASE_MAX_HORIZON}")
+    if horizon < 1:
+        raise ValueError("horizon must be at least 1")
     recent = last_rows(df, BASE_ROWS, keys, ts).groupBy(*keys).agg(
         F.avg(y).alias("m"), F.stddev_pop(y).alias("s"), F.count(y).alias("n")
     ).where(F.col("n") >= BASE_MIN_ROWS)
@@ -72,7 +78,7 @@ def with_interval(forecast: DataFrame, history: DataFrame, level: float = 0.95,
     spread = last_rows(history, rows, keys, ts).groupBy(*keys).agg(F.stddev_pop(y).alias("__s"))
     level_mean = forecast.groupBy(*keys).agg(F.avg(F.greatest(F.col("yhat"), F.lit(0.0))).alias("__m"))
     yhat = F.greatest(F.col("yhat"), F.lit(0.0))
-    width = F.lit(Z.get(level, 1.96)) * F.col("__s") * F.sqrt(yhat / (F.col("__m") + 1e-6))
+    width = F.lit(interval_factor(level)) * F.col("__s") * F.sqrt(yhat / (F.col("__m") + 1e-6))
     out = forecast.join(spread, on=keys).join(level_mean, on=keys)
     return out.withColumns({"yhat": yhat, "lo": F.greatest(yhat - width, F.lit(0.0)), "hi": yhat + width}).drop("__s", "__m")
 
@@ -84,7 +90,7 @@ def ensemble(forecasts: DataFrame, history: DataFrame, level: float = 0.95, rows
     both = forecasts.groupBy(*keys, ts).agg(
         F.avg("yhat").alias("yhat"), F.stddev_pop("yhat").alias("__m"), F.count(F.lit(1)).alias("models")
     ).where(F.col("models") >= 2)
-    width = F.lit(1.96 if level == 0.95 else 1.28) * F.sqrt(F.col("__m") * F.col("__m") + F.col("__s") * F.col("__s"))
+    width = F.lit(interval_factor(level)) * F.sqrt(F.col("__m") * F.col("__m") + F.col("__s") * F.col("__s"))
     out = both.join(spread, on=keys)
     return out.withColumns({"lo": F.greatest(F.col("yhat") - width, F.lit(0.0)), "hi": F.col("yhat") + width}).drop("__m", "__s")
 
@@ -134,7 +140,7 @@ def future_features(
     for span in spans:
         import math
 
-        n = min(span * 2, 48)
+        n = span * 2
         raw = [math.exp(-i / span) for i in range(n)]
         total = sum(raw)
         folded = [sum(raw[j] for j in range(i, n, 24)) / total for i in range(min(n, 24))]

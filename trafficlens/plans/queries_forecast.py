@@ -68,16 +68,16 @@ def m4(spark, d):
 
 
 @query(
-    "m5_future_features", f"{AT} estimate:d lag_1:d lag_12:d diff_1:d pct_change_1:d rolling_mean_3:d rolling_std_3:d rolling_max_3:d rolling_mean_60:d",
+    "m5_future_features", f"{AT} estimate:d lag_1:d lag_12:d diff_1:d pct_change_1:d rolling_mean_3:d rolling_std_3:d rolling_max_3:d rolling_mean_60:d ewm_mean_30:d",
     f"""WITH h AS (SELECT series_id, hour(ts) AS hour, quantile_cont(CAST(y AS DOUBLE), 0.5) AS m FROM series GROUP BY 1, 2)
     SELECT f.series_id, f.ts AS "timestamp", 0.7 * h0.m + 0.3 * r.m AS estimate, h1.m AS lag_1, h12.m AS lag_12, 0.7 * h0.m + 0.3 * r.m - h1.m AS diff_1,
-      coalesce((0.7 * h0.m + 0.3 * r.m - h1.m) / nullif(h1.m, 0), 0) AS pct_change_1, w.mean3 AS rolling_mean_3, w.std3 AS rolling_std_3, w.max3 AS rolling_max_3, w.mean60 AS rolling_mean_60
+      coalesce((0.7 * h0.m + 0.3 * r.m - h1.m) / nullif(h1.m, 0), 0) AS pct_change_1, w.mean3 AS rolling_mean_3, w.std3 AS rolling_std_3, w.max3 AS rolling_max_3, w.mean60 AS rolling_mean_60, w.ewm30 AS ewm_mean_30
     FROM ({FUTURE}) f
     JOIN (SELECT series_id, avg(y) AS m FROM numbered WHERE back <= 12 GROUP BY 1) r ON r.series_id = f.series_id
     JOIN h h0 ON h0.series_id = f.series_id AND h0.hour = hour(f.ts)
     JOIN h h1 ON h1.series_id = f.series_id AND h1.hour = (hour(f.ts) + 23) % 24
     JOIN h h12 ON h12.series_id = f.series_id AND h12.hour = (hour(f.ts) + 12) % 24
-    JOIN (SELECT a.series_id, a.hour, avg(b.m) FILTER (i < 3) AS mean3, stddev_pop(b.m) FILTER (i < 3) AS std3, max(b.m) FILTER (i < 3) AS max3, avg(b.m) AS mean60
+    JOIN (SELECT a.series_id, a.hour, avg(b.m) FILTER (i < 3) AS mean3, stddev_pop(b.m) FILTER (i < 3) AS std3, max(b.m) FILTER (i < 3) AS max3, avg(b.m) AS mean60, sum(b.m * exp(-i / 30.0)) / sum(exp(-i / 30.0)) AS ewm30
       FROM h a CROSS JOIN (SELECT unnest(range(60)) AS i) k JOIN h b ON b.series_id = a.series_id AND b.hour = (a.hour - i + 72) % 24 GROUP BY 1, 2) w
       ON w.series_id = f.series_id AND w.hour = hour(f.ts)""",
     "numbered",
