@@ -74,12 +74,12 @@ def shingles(text: str | None, n: int, words: Words) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The min-hash tokens of a set, a byte each."""
+    """The min-hash tokens of a set: 32 bits each, so that chance does not fill buckets; comparing needs one byte of each."""
     low = np.full(TOKENS, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(hashes), 4096):
             np.minimum(low, (hashes[i : i + 4096] * MULTIPLY[:, None] + ADD[:, None]).min(axis=1), out=low)
-    return (mix(low) >> np.uint64(56)).astype(np.uint8)
+    return (mix(low) >> np.uint64(32)).astype(np.uint32)
 
 
 def digest(hashes: np.ndarray) -> tuple[int, int]:
@@ -122,7 +122,10 @@ def lowest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the pairs (a, b) connect: in each component a binary tree over its sorted members."""
+    """Edges that connect what the pairs (a, b) connect: every other member of a component to its least id.
+
+    The same group met in many buckets mostly gives the same edges.
+    """
     nodes = np.unique(np.concatenate([a, b]))
     if not len(nodes):
         return ids[:0], ids[:0]
@@ -130,9 +133,8 @@ def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     order = np.lexsort((ids[nodes], root))
     nodes, root = nodes[order], root[order]
     first = np.searchsorted(root, root)
-    place = np.arange(len(nodes)) - first
-    child = place > 0
-    return ids[nodes[child]], ids[nodes[(first + (place - 1) // 2)[child]]]
+    child = first < np.arange(len(nodes))
+    return ids[nodes[child]], ids[nodes[first[child]]]
 
 
 def alike(tokens: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -220,25 +222,27 @@ def dealt(rows: DataFrame, key: str) -> DataFrame:
 
 
 def describe(docs: DataFrame, key: Sequence[str], text_col: str, n: int) -> DataFrame:
-    """(id, text_hash, d1, d2, size, tokens) of every row: what is needed without the text."""
+    """(id, text_hash, d1, d2, size, tokens, brief) of every row: what is needed without the text."""
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for frame in frames:
             sets = [shingles(t, n, words) for t in frame.pop("text")]
             d = [digest(s) for s in sets]
+            tokens = [sketch(s) for s in sets]
             yield frame.assign(
-                d1=[x[0] for x in d], d2=[x[1] for x in d], size=[len(s) for s in sets], tokens=[sketch(s).tobytes() for s in sets]
+                d1=[x[0] for x in d], d2=[x[1] for x in d], size=[len(s) for s in sets],
+                tokens=[t.tobytes() for t in tokens], brief=[t.astype(np.uint8).tobytes() for t in tokens],
             )
 
     rows = docs.select(*key, F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    made = rows.mapInPandas(make, f"{kept}, d1 long, d2 long, size int, tokens binary")
-    return saved(made.select(F.struct(*key).alias("id"), "text_hash", "d1", "d2", "size", "tokens"), "path-rows")
+    made = rows.mapInPandas(make, f"{kept}, d1 long, d2 long, size int, tokens binary, brief binary")
+    return saved(made.select(F.struct(*key).alias("id"), "text_hash", "d1", "d2", "size", "tokens", "brief"), "path-rows")
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), TOKENS)
+def matrix(column: pd.Series, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=kind).reshape(len(column), TOKENS)
 
 
 def candidates(texts: DataFrame, threshold: float, recall: float, depth: int, bucket: int) -> DataFrame:
@@ -267,7 +271,7 @@ def candidates(texts: DataFrame, threshold: float, recall: float, depth: int, bu
             own = part["own"].to_numpy()
             left, right = np.flatnonzero(own == g), np.flatnonzero(own == h)
             ids = part["node"].to_numpy()
-            found.append(forest(ids, *alike(matrix(part["tokens"]), part["size"].to_numpy(), left, right, threshold)))
+            found.append(forest(ids, *alike(matrix(part["brief"], np.uint8), part["size"].to_numpy(), left, right, threshold)))
             rows += len(found[-1][0])
             if rows > 50_000:
                 yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([x for _, x in found])})
@@ -275,8 +279,9 @@ def candidates(texts: DataFrame, threshold: float, recall: float, depth: int, bu
         if rows:
             yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([x for _, x in found])})
 
-    known = texts.select("node", "size", "tokens")
-    rows = known.select("node", "tokens").mapInPandas(start, "key long, node long")
+    known = texts.select("node", "size", "brief")
+    tokens = texts.select("node", "tokens")
+    rows = tokens.mapInPandas(start, "key long, node long")
     edges = []
     for level in range(1, depth + 1):
         rows = saved(rows, "path-keys")
@@ -289,7 +294,7 @@ def candidates(texts: DataFrame, threshold: float, recall: float, depth: int, bu
             large = shared.where(F.col("n") > bucket)
             if large.isEmpty():
                 break
-            rows = large.select("key", "node", "tokens").mapInPandas(split, "key long, node long")
+            rows = large.select("key", "node").join(tokens, "node").select("key", "node", "tokens").mapInPandas(split, "key long, node long")
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
@@ -358,10 +363,10 @@ def similarity_classes(
     counts the other shingle sets at or above the threshold, ``links`` the documents that have them, copies included.
     """
     rows = describe(docs, key, text_col, n)
-    equal = rows.groupBy("d1", "d2", "size", "tokens").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    equal = rows.groupBy("d1", "d2", "size", "tokens", "brief").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"))
     texts = saved(
         equal.select(
-            F.monotonically_increasing_id().alias("node"), "d1", "d2", "size", "tokens", "copies",
+            F.monotonically_increasing_id().alias("node"), "d1", "d2", "size", "tokens", "brief", "copies",
             F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"),
         ),
         "path-texts",
