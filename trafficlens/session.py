@@ -35,6 +35,16 @@ def local_session(cpus: int | str = "*", app: str = "trafficlens", memory: str =
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to executors that do not have it installed. Once per application, before the first Python task."""
+    import shutil
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-")
+    zipped = shutil.make_archive(os.path.join(folder, "trafficlens"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(zipped)
+
+
 _FALLBACK: dict[str, str] = {}
 
 
