@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trafficlens.functions.values import epoch_seconds, ratio
-from trafficlens.operators.scale import CHUNK, halo, run_starts, running
+from trafficlens.operators.scale import CHUNK, CHUNK_ROWS, halo, run_starts, running
 
 # Default lags and windows per granularity in minutes.
 LAGS = {1: (1, 5, 10, 30, 60, 1440), 5: (1, 3, 6, 12, 60, 288), 15: (1, 2, 4, 8, 24, 96)}
@@ -143,22 +143,26 @@ def agreement(df: DataFrame) -> DataFrame:
     return df.withColumn("anomaly_agreement", both.cast("int"))
 
 
-def streaks(df: DataFrame, keys: Sequence[str], step_seconds: int, y: str = "y", ts: str = "timestamp", name: str | None = None) -> DataFrame:
+def streaks(
+    df: DataFrame, keys: Sequence[str], step_seconds: int, y: str = "y", ts: str = "timestamp", name: str | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Signed length of the current run of rises or falls; 0 in flat runs."""
     name = name or y
     moved = halo(
         df, keys, ts, step_seconds,
-        lambda w: {"__dir": F.signum((F.col(y) - F.lag(y, 1).over(w)).cast("double"))}, back=1,
+        lambda w: {"__dir": F.signum((F.col(y) - F.lag(y, 1).over(w)).cast("double"))}, back=1, chunk_rows=chunk_rows,
     )
-    marked = run_starts(moved, keys, ts, step_seconds, "__dir")
+    marked = run_starts(moved, keys, ts, step_seconds, "__dir", chunk_rows)
     length = (epoch_seconds(F.col(ts)) - F.col("run_start")) / F.lit(step_seconds) + 1
     return marked.withColumn(f"{name}_streak", F.col("__dir") * length).drop("__dir", "run_start")
 
 
-def pct_of_max(df: DataFrame, keys: Sequence[str], step_seconds: int, y: str = "y", ts: str = "timestamp", name: str | None = None) -> DataFrame:
+def pct_of_max(
+    df: DataFrame, keys: Sequence[str], step_seconds: int, y: str = "y", ts: str = "timestamp", name: str | None = None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Share of the highest earlier value."""
     name = name or y
-    seen = running(df, keys, ts, step_seconds, {"__peak": ("max_before", y)})
+    seen = running(df, keys, ts, step_seconds, {"__peak": ("max_before", y)}, chunk_rows)
     return seen.withColumn(f"{name}_pct_of_max", F.coalesce(ratio(F.col(y), F.col("__peak")), F.lit(0.0))).drop("__peak")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.functions.values import epoch_seconds, floor_time, ratio
 from trafficlens.operators.capacity import ScalingConfig, period_cost, required_servers, utilization, with_configs
-from trafficlens.operators.scale import prefix_min, run_starts
+from trafficlens.operators.scale import CHUNK_ROWS, prefix_min, run_starts, running
 
 SID = ("series_id",)
 RUN = ("config_id", "policy")
@@ -249,10 +249,10 @@ def pareto(points: DataFrame, by: Sequence[str] = SID, cost: str = "total_cost",
     return joined.withColumn("pareto_optimal", ~beaten).drop("least_before", "least_here")
 
 
-def running_cost(rows: DataFrame, step_seconds: int, keys: Sequence[str], cost: str = "cost", ts: str = "timestamp") -> DataFrame:
-    from trafficlens.operators.scale import running
-
-    return running(rows, keys, ts, step_seconds, {"cumulative_cost": ("sum", cost)})
+def running_cost(
+    rows: DataFrame, step_seconds: int, keys: Sequence[str], cost: str = "cost", ts: str = "timestamp", chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    return running(rows, keys, ts, step_seconds, {"cumulative_cost": ("sum", cost)}, chunk_rows)
 
 
 def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

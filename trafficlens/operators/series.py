@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.values import epoch_seconds, floor_time, from_epoch, ratio_or_zero
-from trafficlens.operators.scale import running, whole_rows, with_known
+from trafficlens.operators.scale import CHUNK_ROWS, running, whole_rows, with_known
 
 COUNTS = ("request_count", "unique_hosts", "error_count", "bytes_total")
 AVERAGES = ("error_rate", "success_rate", "bytes_avg", "bytes_max")
@@ -78,18 +78,18 @@ def zero_fill(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in cols})
 
 
-def forward_fill(df: DataFrame, keys: Sequence[str], cols: Sequence[str], step_seconds: int, ts: str = "timestamp") -> DataFrame:
-    filled = running(df, keys, ts, step_seconds, {f"__f_{c}": ("last", c) for c in cols})
+def forward_fill(df: DataFrame, keys: Sequence[str], cols: Sequence[str], step_seconds: int, ts: str = "timestamp", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    filled = running(df, keys, ts, step_seconds, {f"__f_{c}": ("last", c) for c in cols}, chunk_rows)
     return filled.withColumns({c: F.col(f"__f_{c}") for c in cols}).drop(*[f"__f_{c}" for c in cols])
 
 
-def backward_fill(df: DataFrame, keys: Sequence[str], cols: Sequence[str], step_seconds: int, ts: str = "timestamp") -> DataFrame:
+def backward_fill(df: DataFrame, keys: Sequence[str], cols: Sequence[str], step_seconds: int, ts: str = "timestamp", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Takes values from later rows: not for training data."""
-    filled = running(df, keys, ts, step_seconds, {f"__f_{c}": ("next", c) for c in cols})
+    filled = running(df, keys, ts, step_seconds, {f"__f_{c}": ("next", c) for c in cols}, chunk_rows)
     return filled.withColumns({c: F.col(f"__f_{c}") for c in cols}).drop(*[f"__f_{c}" for c in cols])
 
 
-def interpolate(df: DataFrame, keys: Sequence[str], cols: Sequence[str], step_seconds: int, ts: str = "timestamp") -> DataFrame:
+def interpolate(df: DataFrame, keys: Sequence[str], cols: Sequence[str], step_seconds: int, ts: str = "timestamp", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Linear between known values; the tail keeps the last one, the head stays null."""
     known = {f"__p_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("double").alias("v"), epoch_seconds(F.col(ts)).alias("t"))) for c in cols}
     marks = df.withColumns(known)
@@ -97,7 +97,7 @@ def interpolate(df: DataFrame, keys: Sequence[str], cols: Sequence[str], step_se
     for c in cols:
         wanted[f"__l_{c}"] = ("last", f"__p_{c}")
         wanted[f"__n_{c}"] = ("next", f"__p_{c}")
-    near = running(marks, keys, ts, step_seconds, wanted)
+    near = running(marks, keys, ts, step_seconds, wanted, chunk_rows)
     now = epoch_seconds(F.col(ts))
     out = {}
     for c in cols:

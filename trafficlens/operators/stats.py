@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.values import epoch_seconds, ratio
-from trafficlens.operators.scale import halo, quantiles, value_ranks
+from trafficlens.operators.scale import CHUNK_ROWS, halo, quantiles, value_ranks
 
 SID = ("series_id",)
 
@@ -144,13 +144,15 @@ def groups_above_mean(df: DataFrame, group: Column, name: str, y: str = "y", key
     return both.where(F.col("mean") > F.col("overall_mean")).select(*keys, name, "mean", "overall_mean")
 
 
-def acf(df: DataFrame, step_seconds: int, lags: int = 50, keys: Sequence[str] = SID, y: str = "y", ts: str = "timestamp") -> DataFrame:
+def acf(
+    df: DataFrame, step_seconds: int, lags: int = 50, keys: Sequence[str] = SID, y: str = "y", ts: str = "timestamp", chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Autocorrelation for lags 0..n: all lagged products in one pass over a chunked window."""
     keys = list(keys)
     mean = df.groupBy(*keys).agg(F.avg(y).alias("__m"))
     centered = df.join(mean, on=keys).withColumn("__c", F.col(y) - F.col("__m")).drop("__m")
     rows = halo(
-        centered, keys, ts, step_seconds, lambda w: {f"__l{k}": F.lag("__c", k).over(w) for k in range(1, lags + 1)}, back=lags
+        centered, keys, ts, step_seconds, lambda w: {f"__l{k}": F.lag("__c", k).over(w) for k in range(1, lags + 1)}, back=lags, chunk_rows=chunk_rows
     )
     sums = rows.groupBy(*keys).agg(
         F.sum(F.col("__c") * F.col("__c")).alias("c0"),
@@ -160,8 +162,10 @@ def acf(df: DataFrame, step_seconds: int, lags: int = 50, keys: Sequence[str] =
     return sums.select(*keys, F.posexplode(values).alias("lag", "acf"))
 
 
-def difference(df: DataFrame, step_seconds: int, keys: Sequence[str] = SID, y: str = "y", ts: str = "timestamp") -> DataFrame:
-    rows = halo(df, keys, ts, step_seconds, lambda w: {"__d": F.col(y) - F.lag(y, 1).over(w)}, back=1)
+def difference(
+    df: DataFrame, step_seconds: int, keys: Sequence[str] = SID, y: str = "y", ts: str = "timestamp", chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    rows = halo(df, keys, ts, step_seconds, lambda w: {"__d": F.col(y) - F.lag(y, 1).over(w)}, back=1, chunk_rows=chunk_rows)
     return rows.where(F.col("__d").isNotNull()).withColumn(y, F.col("__d")).drop("__d")
 
 
@@ -187,7 +191,9 @@ def pacf(correlogram: DataFrame, lags: int, keys: Sequence[str] = SID) -> DataFr
     return correlogram.where(F.col("lag") <= lags).groupBy(*keys).applyInPandas(levinson, f"{fields}, lag int, pacf double")
 
 
-def decompose(df: DataFrame, step_seconds: int, period: int, keys: Sequence[str] = SID, y: str = "y", ts: str = "timestamp") -> DataFrame:
+def decompose(
+    df: DataFrame, step_seconds: int, period: int, keys: Sequence[str] = SID, y: str = "y", ts: str = "timestamp", chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Additive trend (centred moving average), seasonal (phase means about zero) and residual."""
     keys = list(keys)
     half = period // 2
@@ -202,7 +208,7 @@ def decompose(df: DataFrame, step_seconds: int, period: int, keys: Sequence[str]
             value = (F.sum(y).over(inner) - ends / 2) / period
         return {"trend": F.when(full, value)}
 
-    rows = halo(df, keys, ts, step_seconds, centred, back=half, ahead=half)
+    rows = halo(df, keys, ts, step_seconds, centred, back=half, ahead=half, chunk_rows=chunk_rows)
     start = df.groupBy(*keys).agg(F.min(epoch_seconds(F.col(ts))).alias("__t0"))
     place = (epoch_seconds(F.col(ts)) - F.col("__t0")) / F.lit(step_seconds)
     rows = rows.join(start, on=keys).withColumn("phase", (place % period).cast("int")).drop("__t0")

@@ -191,7 +191,7 @@ def f2(spark, d):
 
 @query("f3_ffill", f"{AT} n:i x:d", f"SELECT {HEAD}, n, last_value(x IGNORE NULLS) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS x FROM sparse", "sparse")
 def f3(spark, d):
-    return se.forward_fill(v.sparse(spark, d), SID, ["x"], 900)
+    return se.forward_fill(v.sparse(spark, d), SID, ["x"], 900, chunk_rows=v.SHORT_CHUNK)
 
 
 INTERPOLATED = """
@@ -205,12 +205,12 @@ INTERPOLATED = """
 
 @query("f4_interpolate", f"{AT} n:i x:d", f"SELECT {HEAD}, n, x FROM ({INTERPOLATED})", "sparse")
 def f4(spark, d):
-    return se.interpolate(v.sparse(spark, d), SID, ["x"], 900)
+    return se.interpolate(v.sparse(spark, d), SID, ["x"], 900, chunk_rows=v.SHORT_CHUNK)
 
 
 @query("f5_bfill", f"{AT} n:i x:d", f"SELECT {HEAD}, n, first_value(x IGNORE NULLS) OVER ({BY} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x FROM sparse", "sparse")
 def f5(spark, d):
-    return se.backward_fill(v.sparse(spark, d), SID, ["x"], 900)
+    return se.backward_fill(v.sparse(spark, d), SID, ["x"], 900, chunk_rows=v.SHORT_CHUNK)
 
 
 @query(
@@ -241,7 +241,7 @@ def f7(spark, d):
 
 
 def _windowed(spark, d, build, back, then=None):
-    return halo(v.series(spark, d), SID, "timestamp", v.HOUR, build, back=back, then=then)
+    return halo(v.series(spark, d), SID, "timestamp", v.HOUR, build, back=back, chunk_rows=v.SHORT_CHUNK, then=then)
 
 
 LAGS = (1, 3, 6, 12, 60, 288)
@@ -353,7 +353,7 @@ def w11(spark, d):
     "series",
 )
 def w12(spark, d):
-    return fe.streaks(v.series(spark, d), SID, v.HOUR)
+    return fe.streaks(v.series(spark, d), SID, v.HOUR, chunk_rows=v.SHORT_CHUNK)
 
 
 @query(
@@ -386,7 +386,7 @@ def w15(spark, d):
     f"SELECT {HEAD}, coalesce(y / nullif(max(y) OVER ({BY} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS y_pct_of_max FROM series", "series",
 )
 def w16(spark, d):
-    return fe.pct_of_max(v.series(spark, d), SID, v.HOUR)
+    return fe.pct_of_max(v.series(spark, d), SID, v.HOUR, chunk_rows=v.SHORT_CHUNK)
 
 
 @query(
@@ -409,7 +409,7 @@ def w18(spark, d):
 @query("w19_cumulative_cost", f"{AT} cumulative_cost:d", f"SELECT {HEAD}, sum(load * 0.85) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS cumulative_cost FROM loads", "loads")
 def w19(spark, d):
     rows = v.loads(spark, d).withColumn("cost", F.col("load") * 0.85)
-    return running_cost(rows, v.HOUR, SID)
+    return running_cost(rows, v.HOUR, SID, chunk_rows=v.SHORT_CHUNK)
 
 
 @query(
@@ -472,4 +472,4 @@ def feature_table(spark, d):
 
 @query("f3_running_max", f"{AT} peak:d", f"SELECT {HEAD}, max(x) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS peak FROM sparse", "sparse")
 def f3_max(spark, d):
-    return running(v.sparse(spark, d), SID, "timestamp", 900, {"peak": ("max", "x")})
+    return running(v.sparse(spark, d), SID, "timestamp", 900, {"peak": ("max", "x")}, v.SHORT_CHUNK)

@@ -230,7 +230,7 @@ def _acf_sql(source: str) -> str:
 
 @query("t8_acf", "series_id:s lag:i acf:d", _acf_sql("numbered"), "numbered")
 def t8(spark, d):
-    return st.acf(v.series(spark, d), v.HOUR, 50)
+    return st.acf(v.series(spark, d), v.HOUR, 50, chunk_rows=v.SHORT_CHUNK)
 
 
 DIFFS = "(SELECT series_id, place, y - lag(y) OVER (PARTITION BY series_id ORDER BY place) AS y FROM numbered QUALIFY place > 0)"
@@ -238,12 +238,12 @@ DIFFS = "(SELECT series_id, place, y - lag(y) OVER (PARTITION BY series_id ORDER
 
 @query("t8_acf_differenced", "series_id:s lag:i acf:d", _acf_sql(DIFFS), "numbered")
 def t8_diff(spark, d):
-    return st.acf(st.difference(v.series(spark, d), v.HOUR), v.HOUR, 50)
+    return st.acf(st.difference(v.series(spark, d), v.HOUR, chunk_rows=v.SHORT_CHUNK), v.HOUR, 50, chunk_rows=v.SHORT_CHUNK)
 
 
 @query("t9_pacf", "series_id:s lag:i pacf:d")
 def t9(spark, d):
-    return st.pacf(st.acf(v.series(spark, d), v.HOUR, 50), 50)
+    return st.pacf(st.acf(v.series(spark, d), v.HOUR, 50, chunk_rows=v.SHORT_CHUNK), 50)
 
 
 @query(
@@ -260,7 +260,7 @@ def t9(spark, d):
     "numbered",
 )
 def t10(spark, d):
-    return st.decompose(v.series(spark, d), v.HOUR, 24)
+    return st.decompose(v.series(spark, d), v.HOUR, 24, chunk_rows=v.SHORT_CHUNK)
 
 
 @query("t11_f_scores", "feature:s f_score:d4", FSCORE, "features")

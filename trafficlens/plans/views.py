@@ -14,6 +14,8 @@ from trafficlens.operators.series import event_counts, fill_grid, zero_fill
 from trafficlens.session import prepare
 
 HOUR, DAY = 3600, 86400
+# The series of the given tables are short: with chunks of this many rows the checks cross chunk borders.
+SHORT_CHUNK = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,7 +131,7 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build(w):
         return {**fe.spike_columns(w, "y"), **fe.zscore_columns(w, "y")}
 
-    return halo(series(spark, sf_dir), ["series_id"], "timestamp", HOUR, build, back=60)
+    return halo(series(spark, sf_dir), ["series_id"], "timestamp", HOUR, build, back=60, chunk_rows=SHORT_CHUNK)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +140,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build(w):
         return {"__seasonal": F.lag("y", 24).over(w).cast("double"), "__moving": F.avg("y").over(w.rowsBetween(-12, -1))}
 
-    rows = halo(series(spark, sf_dir), ["series_id"], "timestamp", HOUR, build, back=24)
+    rows = halo(series(spark, sf_dir), ["series_id"], "timestamp", HOUR, build, back=24, chunk_rows=SHORT_CHUNK)
     models = F.array(
         *[F.struct(F.lit(m).alias("model"), F.col(f"__{m}").alias("yhat")) for m in ("seasonal", "moving")]
     )
@@ -158,4 +160,4 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
             "mean_24": F.avg("y").over(w.rowsBetween(-24, -1)),
         }
 
-    return halo(series(spark, sf_dir), ["series_id"], "timestamp", HOUR, build, back=24).withColumn("hour", F.hour("timestamp"))
+    return halo(series(spark, sf_dir), ["series_id"], "timestamp", HOUR, build, back=24, chunk_rows=SHORT_CHUNK).withColumn("hour", F.hour("timestamp"))
