@@ -358,7 +358,12 @@ def s16(spark, d):
     return _saved(spark, d)[0]
 
 
-@query("s16_load_hash", "series_id:s data_hash:s")
+@query(
+    "s16_load_hash", "series_id:s data_hash:s",
+    """SELECT series_id, sha256(string_agg(h, ',' ORDER BY b)) AS data_hash FROM (
+      SELECT series_id, floor(epoch(ts) / (3600 * 4096)) AS b, sha256(string_agg(CAST(load AS VARCHAR), ',' ORDER BY ts)) AS h FROM loads GROUP BY 1, 2) GROUP BY 1""",
+    "loads",
+)
 def s16_hash(spark, d):
     return rs.load_hash(v.loads(spark, d), SID)
 
