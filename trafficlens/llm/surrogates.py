@@ -295,7 +295,8 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", id_col: str = "
     distinct = met.select("pool", "name", "at", "draw").distinct()
     names = distinct.select("pool", "name", (F.row_number().over(order).cast("long") - 1).alias("rank"))
     drawn = F.collect_list(F.struct("pool", "name", "at", "rank")).alias("__names")
-    by_doc = met.join(names, ["pool", "name"]).groupBy("id", "h").agg(drawn)
+    # saved, so that its size is known: where few documents hold names, the texts need not be dealt for this join
+    by_doc = saved(met.join(names, ["pool", "name"]).groupBy("id", "h").agg(drawn), "surrogate-draws")
     keyed_docs = docs.withColumns({"__id": F.col(id_col).cast("string"), "__h": F.xxhash64(text_col)})
     joined = keyed_docs.join(by_doc, keyed_docs["__id"].eqNullSafe(by_doc["id"]) & (keyed_docs["__h"] == by_doc["h"]), "left").select(
         *[keyed_docs[c] for c in docs.columns], "__names"
