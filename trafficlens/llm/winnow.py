@@ -138,19 +138,23 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document is followed by the first). Texts are dealt once, by id and content hash, and that exchange serves the
     fetching of a neighbour's opening as well as the final join; only a quarter of the text travels a second time.
     """
-    pairs = neighbours(docs, id_col, text_col)
+    # plain keys, so that the dealing by them for the first row of each key is also the one the joins need
+    key = ["unnamed", "name", "h"]
+
+    def keyed(id_: str, h: str, tag: str = "") -> list[Column]:
+        return [F.col(id_).isNull().alias(f"{tag}unnamed"), F.coalesce(F.col(id_), F.lit(0)).alias(f"{tag}name"), F.col(h).alias(f"{tag}h")]
+
+    pairs = neighbours(docs, id_col, text_col).select(*keyed("id", "h", "of_"), F.col("share").alias("of_share"), *keyed("next_id", "next_h"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    first = Window.partitionBy("id", "h").orderBy("h")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).select(*keyed("id", "hash"), "text")
+    first = Window.partitionBy(*key).orderBy("h")
     texts = rows.withColumn("copy", F.row_number().over(first)).where("copy = 1").drop("copy")
-    wanted = pairs.select(*[F.col(c).alias(f"of_{c}") for c in ("id", "h", "share")], F.col("next_id").alias("id"), F.col("next_h").alias("h"))
-    same = lambda a, b: (a["id"].eqNullSafe(b["id"])) & (a["h"] == b["h"])
-    opening = texts.join(wanted, same(texts, wanted)).select(
-        F.col("of_id").alias("id"), F.col("of_h").alias("h"), "of_share",
+    opening = texts.join(pairs, key).select(
+        *[F.col(f"of_{c}").alias(c) for c in key], "of_share",
         F.left("text", F.col("of_share")).alias("opening"), hashes_of(chosen(F.col("text"), k, window)).alias("next_hashes"),
     )
-    own = texts.join(opening, same(texts, opening)).select(
-        texts["id"], "text", F.concat(F.left("text", F.char_length("text") - F.col("of_share")), "opening").alias("edited"), "next_hashes"
+    own = texts.join(opening, key).select(
+        F.when(~F.col("unnamed"), F.col("name")).alias("id"), "text", F.concat(F.left("text", F.char_length("text") - F.col("of_share")), "opening").alias("edited"), "next_hashes"
     )
 
     def result(entries: Column, other: Column) -> Column:
