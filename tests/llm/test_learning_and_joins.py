@@ -1,5 +1,6 @@
 """Language identification, similarity join, toxicity, surrogates and the pipeline against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -162,6 +163,28 @@ def test_toxicity_learns_words_no_lexicon_has(spark, frame):
     assert len(got) == len(rows) and len(wrong) <= 0.01 * len(rows), wrong
 
 
+def test_a_toxic_text_of_many_copies_hides_no_word(spark, frame):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(300)]
+    long = " ".join("".join(rnd.choices("klmnopqrst", k=8)) for _ in range(1500))
+    texts = [(0, rnd.choices(words, k=20)) for _ in range(500)] + [(1, [*rnd.choices(words, k=12), "zorba"]) for _ in range(45)]
+    rows = [(i, " ".join(rnd.sample(t, len(t))), y) for i, (y, t) in enumerate(texts)] + [(1000 + i, long, 1) for i in range(400)]
+    _, docs = frame([r[:2] for r in rows])
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "id long, toxic int")
+    assert toxicity.learned_units(docs, labels, "doc_id", "text", 20_000) == ["zorba$"]
+
+
+def test_every_word_over_the_thresholds_is_learned(spark, frame):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(300)]
+    bad = ["".join(x) for x in itertools.islice(itertools.product("klmnopqrst", repeat=3), 600)]
+    rows = [(i, " ".join(rnd.choices(words, k=20)), 0) for i in range(1800)]
+    rows += [(2000 + i, " ".join([*rnd.choices(words, k=5), *rnd.sample(bad, 150)]), 1) for i in range(200)]
+    _, docs = frame([r[:2] for r in rows])
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "id long, toxic int")
+    assert set(toxicity.learned_units(docs, labels, "doc_id", "text", 20_000)) == {w + "$" for w in bad}
+
+
 def test_toxicity_of_odd_rows(spark, frame, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     for name, rows in (("odd", odd), ("none", [])):

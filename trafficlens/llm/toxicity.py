@@ -8,7 +8,8 @@ correlate within a class; correlated voters share their weight. Its posterior is
 over votes, hit counts and hit density, which then scores every document.
 
 Bounds: words and stems are learned from at most about ``label_rows`` labelled rows and the classifier is fitted on at most
-about ``fit_rows`` rows, both drawn by hash; votes, their statistics and scores cover all documents.
+about ``fit_rows`` rows, both drawn by hash; votes, their statistics and scores cover all documents. Of the drawn rows every
+word and stem that passes the thresholds is learned, counted after copies are folded.
 
 Defined results: null and empty texts get the votes of a text without hits and so a low score; a document without an
 identifier has no label; repeated labels of one document count as toxic if any is; no labels at all leave the voters
@@ -21,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -49,6 +51,8 @@ VOTERS = [*LEXICONS, "phrase", "addressed", "repeated", "several", "shouting", "
 FEATURES = len(LEXICONS) + 4
 LEAST_USES, LEAST_Z, LEAST_SHARE = 15, 10.0, 0.8
 WORD_LIMIT = 1_000_000
+DOCUMENT = ""
+PLACES_HELD = 200_000
 
 
 STEMS = range(3, 7)
@@ -104,57 +108,76 @@ def vote(text: str | None, learned: Learned) -> tuple[str, list[float]]:
     return signs, [*counts, math.log1p(density), math.log1p(len(n))]
 
 
-def learned_units(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_rows: int) -> list[str]:
-    """Words and stems far more frequent in toxic than in clean training documents. ``labels``: (id, toxic), one row per document."""
-    total = labels.count()
-    share = min(1.0, label_rows / max(total, 1))
-    drawn = labels.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+def often_toxic() -> Column:
+    return F.col("toxic") >= F.greatest(F.lit(LEAST_USES), LEAST_SHARE * (F.col("toxic") + F.col("clean")))
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            toxic, clean = Counter(), Counter()
-            for t, y in zip(frame["text"], frame["toxic"], strict=True):
-                (toxic if y else clean).update({u for w in set(WORD.findall((t or "").lower())) for u in units(w)})
-            words = list(toxic.keys() | clean.keys())
-            yield pd.DataFrame({"word": words, "toxic": [toxic[w] for w in words], "clean": [clean[w] for w in words]})
-
-    sums = rows.select("text", "toxic").mapInPandas(count, "word string, toxic long, clean long")
-    counts = sums.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    sides = {r[0]: r[1] for r in drawn.groupBy("toxic").count().collect()}
-    base = min(max(sides.get(1, 0) / max(sum(sides.values()), 1), 1e-3), 0.5)
-
-    def strongest(table: DataFrame, n: int) -> list[str]:
-        """Units whose toxic share is far above the base share, by the binomial deviation; of equals the longest first."""
-        seen = F.col("toxic") + F.col("clean")
-        z = (F.col("toxic") - seen * base) / F.sqrt(seen * base * (1 - base))
-        return [r[0] for r in table.where((F.col("toxic") >= F.greatest(F.lit(LEAST_USES), LEAST_SHARE * seen)) & (z > LEAST_Z)).orderBy(F.desc(F.round(z, 6)), F.desc(F.length("word")), "word").limit(n).collect()]
-
-    # Copies of one toxic document share all their rare words: a document counts by one place of the word, its least,
-    # and equal places count once.
-    first = set(strongest(counts, 5000))
+
+def folded(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+    """(word, toxic, clean): in how many places a unit stands, by class. ``rows``: (text, toxic, whole).
+
+    A place is a word with its neighbours. A document counts by one place of each unit, its least, and equal places
+    count once, so copies and near copies count as one document. Only ``wanted`` units count; if None, all units of
+    the ``whole`` rows, and the unit DOCUMENT: one place of every row, the least by checksum.
+    """
 
     def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, str, int]] = set()
         for frame in frames:
-            seen = set()
-            for t, y in zip(frame["text"], frame["toxic"], strict=True):
+            for t, y, whole in zip(frame["text"], frame["toxic"], frame["whole"], strict=True):
                 words = ["", *WORD.findall((t or "").lower()), ""]
+                around = [" ".join(w) for w in zip(words, words[1:], words[2:], strict=False)]
+                if wanted is None and around:
+                    seen.add((DOCUMENT, min(around, key=lambda p: crc32(p.encode())), y))
+                by_word: dict[str, str] = {}
+                for w, place in zip(words[1:] if whole else [], around, strict=False):
+                    by_word[w] = min(by_word.get(w, place), place)
                 least: dict[str, str] = {}
-                for i in range(1, len(words) - 1):
-                    for u in units(words[i]):
-                        if u in first:
-                            place = f"{words[i - 1]} {words[i]} {words[i + 1]}"
+                for w, place in by_word.items():
+                    for u in units(w):
+                        if wanted is None or u in wanted:
                             least[u] = min(least.get(u, place), place)
                 seen |= {(u, place, y) for u, place in least.items()}
-            yield pd.DataFrame(list(seen), columns=["word", "place", "y"])
-
-    used = rows.select("text", "toxic").mapInPandas(places, "word string, place string, y int").distinct()
-    toxic, clean = (F.sum((F.col("y") == y).cast("int")) for y in (1, 0))
-    out: list[str] = []
-    for unit in strongest(used.groupBy("word").agg(toxic.alias("toxic"), clean.alias("clean")), 2000):
-        if not any(unit.startswith(u) or u.startswith(unit) for u in out):
-            out.append(unit)
-    return out[:500]
+                if len(seen) > PLACES_HELD:
+                    yield pd.DataFrame(list(seen), columns=["word", "place", "y"])
+                    seen = set()
+        yield pd.DataFrame(list(seen), columns=["word", "place", "y"])
+
+    used = rows.select("text", "toxic", "whole").mapInPandas(places, "word string, place string, y int")
+    toxic, clean = (F.sum((F.col("y") == y).cast("long")).alias(name) for y, name in ((1, "toxic"), (0, "clean")))
+    return used.select("word", F.xxhash64("place").alias("place"), "y").distinct().groupBy("word").agg(toxic, clean)
+
+
+def learned_units(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_rows: int) -> list[str]:
+    """Words and stems far more frequent in toxic than in clean training documents. ``labels``: (id, toxic), one row per document.
+
+    Copies of a document share all their rare words. So both a unit's counts and the base share are counts of places.
+    """
+    total = labels.count()
+    share = min(1.0, label_rows / max(total, 1))
+    drawn = labels.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+
+    # Before all clean documents are counted, a sixteenth of them is: further documents only add clean places, so a unit
+    # whose toxic share is too low by then stays below it and is not looked up again.
+    some = rows.withColumn("whole", (F.col("toxic") == 1) | (F.pmod(F.xxhash64("id", F.lit("first")), F.lit(16)) == 0))
+    first = {r["word"]: r for r in folded(some, None).where((F.col("word") == DOCUMENT) | often_toxic()).collect()}
+    sides = first.pop(DOCUMENT, {"toxic": 0, "clean": 1})
+    base = min(max(sides["toxic"] / max(sides["toxic"] + sides["clean"], 1), 1e-3), 0.5)
+    if not first:
+        return []
+
+    # Toxic share far above the base share, by the binomial deviation; of equals the longest first.
+    seen = F.col("toxic") + F.col("clean")
+    z = (F.col("toxic") - seen * base) / F.sqrt(seen * base * (1 - base))
+    strong = folded(rows.withColumn("whole", F.lit(True)), frozenset(first)).where(often_toxic() & (z > LEAST_Z))
+    out: dict[str, None] = {}
+    begun: set[str] = set()  # what is chosen, and its beginnings
+    for (unit,) in strong.orderBy(F.desc(F.round(z, 6)), F.desc(F.length("word")), "word").select("word").collect():
+        starts = {unit, *(unit[:k] for k in STEMS if k < len(unit))}
+        if unit not in begun and not any(u in out for u in starts):
+            out[unit] = None
+            begun |= starts
+    return list(out)
 
 
 class LabelModel:
