@@ -208,6 +208,34 @@ def test_surrogates_keep_form_and_stay_distinct():
     assert len({surrogates.spelled("given-latin-f", 3, r) for r in range(900)}) == 900
 
 
+@pytest.mark.parametrize(
+    "number",
+    "+49 30 1234567|+33 6 12 34 56 78|+44 20 7946 0958|+34 912 34 56 78|06 12 34 56 78|030 1234567|06.12.34.56.78|030/1234567|(030) 1234567|+49 (0)30 1234567|"
+    "0049 30 1234|020 7946 0958|912 34 56 78|612 345 678|0612345678|+49 151 23456789|+4915123456789|+1 (988) 555-2485|988-555-2485".split("|"),
+)
+def test_telephone_numbers_of_several_countries(number):
+    assert [x[2:] for x in surrogates.found(f"Tel {number}, bis 5")] == [("phone", number)]
+    new = surrogates.formed_surrogate(KEY, "phone", number)
+    assert new != number and [x[2:] for x in surrogates.found(f"Tel {new}, bis 5")] == [("phone", new)]
+    assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", number)
+
+
+def test_what_is_no_telephone_number():
+    for text in ("am 01.02.2024 10 Uhr", "2024-05-06", "09.30-10.30", "05 06 07 08", "3.1415926", "+5 Punkte", "1 000 000", "v01.2"):
+        assert surrogates.found(text) == [], text
+    assert [x[3] for x in surrogates.found("+49 30 1234567 030 7654321")] == ["+49 30 1234567", "030 7654321"]
+    assert [x[3] for x in surrogates.found("06 12 34 56 78 06 12 34 56 79")] == ["06 12 34 56 78", "06 12 34 56 79"]
+
+
+@pytest.mark.parametrize(
+    "text,name",
+    [("gestern Hans Mueller da", "Hans Mueller"), ("con Juan Garcia aquí", "Juan Garcia"), ("Dr. Xaver Huber", "Xaver Huber"), ("Herr Prof. Dr. Huber kam", "Huber"), ("avec Jean-Pierre Dupont", "Jean-Pierre Dupont"), ("met Mary Jane Smith", "Mary Jane Smith")],
+)
+def test_names_beyond_the_pools(text, name):
+    assert [x[3] for x in surrogates.found(text)] == [name]
+    assert len(surrogates.GENDER) > 8 * sum(map(len, surrogates.GIVEN.values()))
+
+
 def test_surrogates_in_documents(spark, frame, odd):
     text = "Mr. John Smith wrote to Anna Lindqvist; Mr. Smith (a.b@c.org, +1 (988) 555-2485) answered A.B@c.org. Госпожа Анна Петрова."
     names = [(100 + i, f"Frau {chr(65 + i % 26)}{'abcdefghij'[i // 26]}son") for i in range(200)]

@@ -1,8 +1,9 @@
 """Surrogates for personal data: keyed, consistent replacements of the same kind, script, gender and format.
 
-Entities are found by patterns with checks: e-mail addresses, telephone numbers, IPv4 addresses, payment cards and
-other long account numbers, IBANs, social-security numbers, and names of persons (a title, or a known given name with
-a surname). The surrogate of an entity depends on a key and on the entity alone, so one entity has one surrogate in
+Entities are found by patterns with checks: e-mail addresses, telephone numbers (international, and national ones with a
+trunk zero, in North American or in Spanish groups), IPv4 addresses, payment cards and
+other long account numbers, IBANs, social-security numbers, and names of persons (a title, or a given
+name out of about 850 known ones with a surname). The surrogate of an entity depends on a key and on the entity alone, so one entity has one surrogate in
 all documents (coreference), and a surname standing alone after a title follows the surname's surrogate.
 
 Numbers and addresses keep their length, grouping and check digits: their free digits and letters go through a keyed
@@ -51,18 +52,69 @@ SURNAMES = {
 TITLES = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Господин": "m", "Κύριος": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Госпожа": "f", "Κυρία": "f",
+    "Dr": "", "Doctor": "", "Doktor": "", "Docteur": "", "Doctora": "f", "Prof": "", "Professor": "", "Professorin": "f", "Professeur": "", "Profesor": "m", "Profesora": "f",
 }
-GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
+# Given names that are recognised; apart from the pools, from which surrogates are drawn.
+KNOWN = {
+    "f": (
+        "Abigail Adele Adelheid Adriana Agathe Agnes Aimée Alba Alejandra Alexandra Alicia Alina Alison Amalia Amanda Amber Amelia Amélie Amy Ana Andrea Angela Angelika Angélique Anita Anja "
+        "Anke Anne Annette Annie Antje Antonia Ariane Ashley Astrid Audrey Aurélie Aurora Ava Barbara Beate Beatrice Beatriz Béatrice Begoña Belén Bettina Betty Birgit Blanca Brenda Brigitte "
+        "Britta Camila Camille Candela Carina Carla Carmen Carol Carolina Caroline Catherine Cécile Céline Chantal Charlotte Chloe Chloé Christa Christelle Christiane Christina Christine Cindy "
+        "Claire Clara Claudia Claudine Colette Concepción Constanze Consuelo Corinna Corinne Cornelia Cristina Cynthia Dagmar Daniela Danielle Deborah Delphine Denise Diane Dolores Donna Dora "
+        "Doris Dorothea Dorothy Edith Eileen Elena Elfriede Élodie Élise Elisa Elisabeth Elizabeth Elke Ella Ellen Elsa Elvira Emilia Emily Émilie Emmanuelle Encarnación Erika Esperanza Esther "
+        "Eugénie Eva Évelyne Evelyn Fabienne Fatima Florence Franziska Françoise Frieda Gabriela Gabriele Gabrielle Geneviève Gerda Gertrud Ghislaine Gisela Gisèle Gloria Greta Gudrun Guadalupe Hannah "
+        "Hanna Heather Heidi Heike Helena Helga Hélène Henriette Hilde Hildegard Ida Ilse Inés Inès Inge Ingeborg Ingrid Irina Irma Isabel Isabella Isabelle Jacqueline Jana Jane Janet Janice Jasmin "
+        "Jeanne Jennifer Jenny Jessica Jimena Joan Joanna Johanna Josefa Josefina Josephine Joséphine Juana Judith Julie Juliette Jutta Karen Karin Karla Katarina Katharina Katherine Kathleen Kathrin "
+        "Katja Katrin Kelly Kerstin Kimberly Kirsten Klara Kristin Lara Laetitia Laure Lauren Laurence Lea Léa Leonie Leonor Leticia Lina Linda Lisa Lola Lorena Louise Lourdes Lucía Lucie Luise Luisa Luz "
+        "Lydia Lydie Madeleine Magali Magdalena Maite Manon Manuela Mareike Margaret Margarethe Margarita Margot Marguerite María Mariana Marianne Marie Marina Marion Marisol Marlene Martha Martina Martine "
+        "Mary Mathilde Matilda Maureen Megan Melanie Mélanie Melissa Mercedes Mia Michaela Michelle Michèle Mireille Miriam Mona Monica Mónica Monika Monique Montserrat Muriel Nadia Nadine Nancy Natalia "
+        "Natalie Nathalie Nicola Nicole Noelia Nora Nuria Odette Odile Olga Olivia Pamela Pascale Patricia Paulina Pauline Petra Pia Pilar Priscilla Rachel Raquel Rebecca Regina Regine Renate Renée Rita "
+        "Roberta Rocío Rosa Rosalía Rosario Rosemarie Roswitha Sabine Sabrina Samantha Sandra Sandrine Sara Sharon Shirley Sibylle Sigrid Silke Silvia Simone Solange Sonia Sonja Sophia Sophie Stefanie "
+        "Stephanie Stéphanie Susan Susana Susanna Susanne Suzanne Svenja Sylvia Sylvie Tamara Tanja Tatiana Teresa Thérèse Theresa Tina Ulrike Ursula Ute Valentina Valérie Vanessa Vera Verena Verónica "
+        "Veronica Véronique Victoria Viktoria Violeta Virginia Virginie Viviane Waltraud Wendy Wilma Ximena Yolanda Yvette Yvonne Zoe Zoé"
+    ).split(),
+    "m": (
+        "Aaron Adolf Adrián Adrian Adrien Agustín Alain Alan Albert Alberto Albrecht Alejandro Alex Alexander Alexandre Alexis Alfonso Alfred Alfredo Álvaro Andreas Andrés André Andrew Ángel Anthony Antoine "
+        "Antonio Armando Armin Arnaud Arthur Arturo Arnold Aurélien Axel Baptiste Bastien Benedikt Benito Benjamin Benjamín Benoît Bernardo Bernd Bernhard Bertrand Bobby Boris Brandon Brian Bruce Bruno Bryan Carl "
+        "Carlos Cédric César Charles Christian Christoph Christophe Christopher Claude Clemens Clément Craig Cristian Cyril Damián Damien Daniele Dean Denis Dennis Detlef Didier Diego Dieter Dietmar Dirk Domingo Dominik "
+        "Dominique Donald Douglas Dylan Eberhard Eckhard Edgar Édouard Eduard Eduardo Edward Edwin Elias Emil Émile Emilio Emmanuel Enrique Eric Éric Erich Erik Ernesto Erwin Esteban Étienne Eugen Eugène Eugenio Ethan Fabian Fabián Fabien "
+        "Fabio Federico Felipe Ferdinand Fernand Fernando Florian Francis Francisco François Frank Franz Fred Frédéric Frederick Friedrich Fritz Gabriel Gary Gaston Georg George Georges Gérard Gerald Gerardo Gerd Gerhard Germán Gilbert Gilles "
+        "Gonzalo Gregor Gregory Grégory Guido Guillaume Guillermo Günter Günther Gustav Gustavo Guy Hannes Hans Harald Harold Harry Hartmut Hector Héctor Heinrich Heinz Helmut Henri Hermann Herbert Holger Horst Howard Hubert Ian Ignacio "
+        "Ingo Isaac Ismael Iván Jack Jacob Jacques Jaime Jakob James Jan Jason Javier Jean Jeffrey Jens Jeremy Jérémy Jérôme Jerry Jesse Jesús Jim Joachim Joaquín Jochen Joe Joël Johann Johannes John Johnny Jonas Jonathan Jörg Jordi Jorge José "
+        "Josef Joseph Joshua Juan Jules Julien Julio Jürgen Justin Kai Karl Karsten Keith Kenneth Kevin Klaus Konrad Kurt Kyle Larry Lars Laurent Lawrence Leonard Leonardo Leopold Lionel Lorenzo Lothar Louis Loïc Lorenz Luc Luca Lucien Ludovic Ludwig Luis Lukas Lutz "
+        "Manfred Manuel Marc Marcel Marcelo Marco Marcos Mariano Mario Marius Markus Marvin Mateo Mathias Mathieu Mathis Matthew Matthias Matthieu Maurice Mauricio Max Maxime Maximilian Michael Michel Miguel Moritz Nathan Nicholas Nicolas Nicolás Niklas Nils Noah Norbert Norman "
+        "Olaf Oliver Olivier Omar Óscar Oskar Oswald Otto Pablo Pascal Patrice Patrick Paulo Pedro Philip Philipp Philippe Pierre Quentin Rafael Rainer Ralf Ralph Ramón Randy Raoul Raphael Raphaël Raúl Raymond Reiner Reinhard Reinhold Rémi Rémy René Ricardo Richard Roberto Rodolfo Rodrigo "
+        "Roger Roland Rolf Roman Romain Ronald Ruben Rubén Rudolf Rüdiger Russell Ryan Salvador Samuel Santiago Scott Sean Sébastien Sebastian Sebastián Sergio Serge Siegfried Sigmund Stanley Stefan Stephan Stéphane Stephen Steven Steve Sven Sylvain Terry Théo Theodor Thibault Thierry Thilo "
+        "Thorsten Till Tim Timothy Tobias Tomás Torsten Tristan Tyler Udo Ulrich Uwe Valentin Vicente Vincent Volker Walther Werner Wilfried Wilhelm William Wolfgang Xavier Yann Yannick Yves Zachary"
+    ).split(),
+}
+GENDER = {n: g for g, names in KNOWN.items() for n in names} | {n: g for (_, g), names in GIVEN.items() for n in names}
 
 CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ][\w’'-]*[a-zß-öø-ÿа-яёα-ωά-ώ]"
+ANY_TITLE = "|".join(TITLES)
+ANY_GIVEN = rf"(?:{'|'.join(GENDER)})(?:-{CAPITAL})?"
+DATE = r"\d{1,2}[./-]\d{1,2}[./-]\d{4}(?!\d)"
+NEXT = r"(?! 0(?:\d{1,4}[ /-]\d{5}|[1-9](?: \d\d){4}))"  # another number begins here
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![\w@])"),
     "iban": re.compile(r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"),
     "ip": re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"),
     "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w])|(?<![\w.])\+\d{8,15}(?!\w)"),
-    "person": re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? (?P<after>{CAPITAL}(?: {CAPITAL})?)|(?P<given>{'|'.join(GENDER)}) (?P<family>{CAPITAL}))(?!\w)"),
+    "phone": re.compile(
+        r"(?<![\w.])(?:"
+        r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\d{3}[ .-]\d{3}[ .-]\d{4})"
+        r"|\+\d{8,15}"
+        rf"|(?:\+|00)[1-9]\d{{0,2}}(?:[ ./-]?\(\d{{1,5}}\)[ ./-]?\d{{1,8}}|[ ./-]\d{{1,8}})(?:{NEXT}[ ./-]\d{{1,8}}){{0,6}}"  # country code and groups
+        rf"|(?!{DATE})(?:\(0[1-9]\d{{0,4}}\)[ ./-]?|0[1-9]\d{{0,4}}[ ./-])\d{{2,8}}(?:{NEXT}[ .-]\d{{2,4}}){{0,5}}"  # trunk zero and groups
+        r"|00?[1-9]\d{8,12}"
+        r"|[6-9]\d{2}(?:(?:[ .-]\d{2}){3}|(?:[ -]\d{3}){2})"  # Spanish, which have no trunk zero
+        r")(?!\w)"
+    ),
+    "person": re.compile(
+        rf"(?<!\w)(?=[^\W\d_a-z])(?:(?P<title>{ANY_TITLE})(?:\.? (?:{ANY_TITLE})(?=[. ]))*\.? (?P<after>(?:{ANY_GIVEN} )*{CAPITAL}(?: {CAPITAL})?)"
+        rf"|(?P<given>{ANY_GIVEN})(?: {ANY_GIVEN}(?= {CAPITAL}))* (?P<family>{CAPITAL}))(?!\w)"
+    ),
 }
 
 
@@ -84,6 +136,38 @@ def valid_iban(text: str) -> bool:
     return 15 <= len(t) <= 34 and iban_number(t[4:] + t[:4]) % 97 == 1
 
 
+def telephone(text: str) -> str:
+    """The part of a match that is a telephone number: whole groups up to 15 digits; empty if that is no number.
+
+    Seven digits at least, and ten where no group has more than two, as in times and in lists of numbers.
+    """
+    groups = list(re.finditer(r"\d+", text))
+    while sum(len(g.group()) for g in groups) > 15:
+        groups.pop()
+    longest = max((len(g.group()) for g in groups), default=0)
+    least = 10 if longest <= 2 and not text.startswith("+") else 7
+    return text[: groups[-1].end()] if sum(len(g.group()) for g in groups) >= least else ""
+
+
+def dialled(text: str, at: int, entity: str) -> bool:
+    """Whether what looks like an account number is a telephone number: after a plus, or in groups with a trunk zero."""
+    if text[at - 1 : at] == "+":
+        return PATTERNS["phone"].match(text, at - 1) is not None
+    m = None if entity.isdigit() or entity[0] != "0" else PATTERNS["phone"].match(text, at)
+    return m is not None and telephone(m.group()) == m.group()
+
+
+def kept_digits(entity: str, digits: str) -> int:
+    """How many leading digits of a telephone number stay: the country code, or trunk zeros and the digit after them."""
+    if entity.startswith("+"):
+        return len(re.match(r"\+?\d{1,3}(?=[ ./(-])|", entity).group().lstrip("+"))
+    if re.match(r"00[1-9]\d{0,2}[ ./(-]", entity):
+        return len(re.match(r"\d+", entity).group())
+    if digits.startswith("0"):
+        return len(digits) - len(digits.lstrip("0")) + 1
+    return 0 if re.fullmatch(r"\d{3}[ .-]\d{3}[ .-]\d{4}", entity) or entity.startswith("(") else 1
+
+
 def script_of(text: str) -> str:
     first = next((c for c in text if c.isalpha()), "a")
     return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
@@ -145,7 +229,7 @@ def formed_surrogate(key: bytes, kind: str, entity: str) -> str:
         new = iter(t[:2] + check + body)
         return "".join(c if c == " " else next(new) for c in entity)
     if kind == "phone":
-        keep = len(re.match(r"\+?\d{1,3}(?=[ .(-])|", entity).group().lstrip("+")) if entity.startswith("+") else 0
+        keep = kept_digits(entity, digits)
         return refilled(entity, digits[:keep] + permuted_digits(key, f"phone{digits[:keep]}", digits[keep:]))
     return refilled(entity, permuted_digits(key, kind, digits))
 
@@ -207,8 +291,15 @@ def found(text: str | None) -> list[tuple[int, int, str, str]]:
     for kind, pattern in PATTERNS.items():
         if kind != "person" and not has_digit and kind != "email" or kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
+        at = 0
+        while m := pattern.search(text, at):
             entity, a, b = m.group(), m.start(), m.end()
+            at = b
+            if kind == "phone":
+                entity = telephone(entity)
+                if not entity:
+                    continue
+                at = b = a + len(entity)
             if kind == "person":
                 group = "after" if m["title"] else "given"
                 a = m.start(group)
@@ -217,11 +308,13 @@ def found(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "iban" and not valid_iban(entity):
                 continue
+            if kind == "card" and dialled(text, a, entity):
+                continue
             if kind == "card" and not 13 <= sum(map(str.isdigit, entity)) <= 19:
                 continue
             if any(x < b and a < y for x, y, _, _ in spans):
                 continue
-            gender = ("title" in m.groupdict() and m["title"] and TITLES[m["title"]]) or GENDER.get(entity.split(" ")[0], "") if kind == "person" else ""
+            gender = ("title" in m.groupdict() and m["title"] and TITLES[m["title"]]) or GENDER.get(re.split("[ -]", entity)[0], "") if kind == "person" else ""
             spans.append((a, b, kind if not gender else f"person-{gender}", entity))
     return sorted(spans)
 
@@ -233,7 +326,8 @@ def parts_of(kind: str, entity: str) -> list[tuple[str, str]]:
     if len(names) == 1 and names[0] not in GENDER:
         return [(f"surname-{script}", names[0])]
     rest = [(f"surname-{script}", names[-1])] if len(names) > 1 else []
-    return [(f"given-{script}-{GENDER.get(names[0], gender)}", names[0]), *rest]
+    given = names[:-1] or names
+    return [*[(f"given-{script}-{GENDER.get(n.partition('-')[0], gender)}", n) for n in given], *rest]
 
 
 def pool_of(pool: str) -> list[str]:
