@@ -1,8 +1,10 @@
 """Streaming deduplication, ring shards and winnowing against plain Python."""
 
 import hashlib
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from trafficlens.llm import ring_shards, stream_dedup, winnow
@@ -151,3 +153,23 @@ def test_edited_texts(spark, frame, odd):
 def test_edited_of_an_empty_table(spark, frame):
     _, docs = frame([])
     assert winnow.with_edited(docs).count() == 0
+
+
+def test_a_later_call_reads_files_with_old_times(spark, frame, tmp_path):
+    path, docs = frame([(1, "a b"), (2, "c")])
+    checkpoint = str(tmp_path / "checkpoint")
+    assert stream_dedup.dedup(spark, path, checkpoint=checkpoint).count() == 2
+    before = set(os.listdir(path))
+    spark.createDataFrame([(3, "A b", None, None, 3), (4, "new", None, None, 3)], docs.schema).coalesce(1).write.mode("append").parquet(path)
+    for name in set(os.listdir(path)) - before:
+        os.utime(os.path.join(path, name), (1_000_000_000, 1_000_000_000))
+    got = {r.spot.doc_id: (r.keeper.doc_id, r.group_size) for r in stream_dedup.dedup(spark, path, checkpoint=checkpoint).collect()}
+    assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
+
+
+def test_rows_without_state_are_an_error(spark, frame, monkeypatch):
+    path, _ = frame([(1, "a b"), (2, "c")])
+    update = stream_dedup.update_state
+    monkeypatch.setattr(stream_dedup, "update_state", lambda *a: update(*a).where("keeper.doc_id = 1"))
+    with pytest.raises(ValueError, match="1 of 2 rows"):
+        stream_dedup.dedup(spark, path)

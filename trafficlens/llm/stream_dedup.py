@@ -3,7 +3,7 @@
 The stream reads a folder of Parquet files and keeps, for every text digest ever seen, one state row: how often it
 came, and of its best document the stable identifier and the locator of the content (file and row in the file). The
 state lives on disk in the RocksDB state store under the checkpoint folder, has no watermark and never expires; a
-later call with the same checkpoint reads only new files and continues. The state is read back as a table, so no
+later call with the same checkpoint reads only new files, whatever their times, and continues; rows without state are an error. The state is read back as a table, so no
 sink has to hold every update. Digests that came more than once are hits: their documents' full bytes are then
 compared, and a digest shared by different texts is split by its texts.
 
@@ -27,6 +27,8 @@ STORE = {
     # no space set aside in advance: there is a store for each shuffle partition, and many of them are small
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+# A file may arrive with an old time; the source passes over files older than this against the newest it has seen.
+MAX_FILE_AGE = "36500d"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -58,7 +60,7 @@ def update_state(
     for k, v in STORE.items():
         spark.conf.set(k, v)
     try:
-        arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+        arriving = spark.readStream.option("maxFileAge", MAX_FILE_AGE).schema(spark.read.parquet(path).schema).parquet(pattern)
         seen = located(arriving, id_col, text_col, digest).groupBy("digest")
         query = (
             seen.agg(F.max("spot").alias("keeper"), F.count(F.lit(1)).alias("n"))
@@ -91,10 +93,14 @@ def dedup(
 
     ``spot`` and ``keeper`` are locators (doc_id, file, row) of the row and of the row that stays.
     """
-    state = update_state(spark, path, checkpoint or scratch_path(spark, "dedup-checkpoint"), id_col, text_col, digest)
+    checkpoint = checkpoint or scratch_path(spark, "dedup-checkpoint")
+    state = update_state(spark, path, checkpoint, id_col, text_col, digest)
     rows = located(spark.read.parquet(path), id_col, text_col, digest)
     # A digest with a third of all rows: the planner splits the large side of this join.
     verdict = saved(rows.select("digest", "spot").join(state, "digest"), "dedup-rows")
+    read, joined = spark.read.parquet(path).count(), verdict.count()
+    if joined < read:
+        raise ValueError(f"{read - joined} of {read} rows in {path} have no state in {checkpoint}: the stream has not read their files")
 
     # Full bytes of hits. Fetching by locator spreads a large group over all tasks; grouping by digest and text
     # then leaves one row per text and task before the shuffle.
