@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trafficlens.llm import chosen_path, language, mixing, packing, ring_shards, stream_dedup, surrogates, token_files, toxicity, winnow
+from trafficlens.llm import (
+    chosen_path, collocations, language, mixing, packing, ring_shards, stream_dedup, surrogates, token_files, toxicity, whitening, winnow,
+)
 from trafficlens.llm.common import documents, hold_out
-from trafficlens.session import scratch_path
+from trafficlens.session import prepare, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,3 +130,59 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_tokens(documents(spark, sf_dir), path)
     return token_files.token_index(spark, path)
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = whitening.long_form(*whitening.whiten(vectors, "embedding", ["vec_id"]))
+    return rows.select(F.col("keep.vec_id").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash_dedup.near_groups(documents(spark, sf_dir), "doc_id")
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+SQL["op13_collocations"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]') AS cut
+  FROM documents WHERE text IS NOT NULL
+),
+pieces AS (SELECT lang, regexp_extract_all(unnest(cut), '[^ \t]+') AS w FROM texts),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+phrases AS (
+  SELECT lang, 1 AS k, w[i] AS phrase, count(*) AS n FROM places GROUP BY ALL
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1], count(*) FROM places WHERE i < len(w) GROUP BY ALL
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2], count(*) FROM places WHERE i + 1 < len(w) GROUP BY ALL
+),
+totals AS (SELECT lang, sum(n) AS n FROM phrases WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM phrases WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.w, s.k1, f.n AS l, g.n AS r, (c.a::HUGEINT * c.a * 1000000) // (f.n::HUGEINT * g.n) AS score
+  FROM candidates c JOIN (VALUES (1), (2)) s(k1) ON s.k1 < c.k
+  JOIN phrases f ON f.lang = c.lang AND f.k = s.k1 AND f.phrase = array_to_string(c.w[1:s.k1], ' ')
+  JOIN phrases g ON g.lang = c.lang AND g.k = c.k - s.k1 AND g.phrase = array_to_string(c.w[s.k1 + 1:], ' ')
+),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k1) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS within FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE k = 3
+  ) GROUP BY ALL
+),
+ranked AS (
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank, c.phrase, a, l, r, score
+  FROM weakest c LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase AND c.k = 2
+  WHERE i.within IS NULL OR 100 * i.within < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, totals.n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
