@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trafficlens.session import prepare, scratch_path
 
@@ -25,6 +29,26 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_made(rows: DataFrame, needs: Sequence[str], start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], made: str, drop: Sequence[str] = ()) -> DataFrame:
+    """Add the columns ``made`` (names and types), computed in Python from the columns ``needs``; those of ``drop`` go.
+
+    ``start`` is called once per task and gives the function from a batch of ``needs`` to the new columns. All other
+    columns pass by as they are: an identifier beyond 2**53 next to a null one would be rounded on its way through pandas.
+    """
+    kept = [f for f in rows.schema if f.name not in drop]
+    fresh = T.StructType.fromDDL(made)
+    types = to_arrow_schema(fresh).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for batch in batches:
+            out = make(batch.select(list(needs)).to_pandas())
+            columns = [pa.array(out[f.name], kind, from_pandas=True) for f, kind in zip(fresh, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + columns, names=[f.name for f in [*kept, *fresh]])
+
+    return rows.mapInArrow(run, T.StructType([*kept, *fresh]))
+
+
 def in_order(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:
     """The rows dealt by ranges of ``order`` and written, with ``__part`` and ``__row``: their order as two numbers.
 

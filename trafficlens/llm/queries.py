@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trafficlens.llm import (
-    chosen_path, collocations, language, mixing, packing, ring_shards, stream_dedup, surrogates, token_files, toxicity, whitening, winnow,
+    chosen_path, collocations, language, minhash_dedup, mixing, packing, ring_shards, stream_dedup, surrogates, token_files, toxicity, whitening, winnow,
 )
 from trafficlens.llm.common import documents, hold_out
 from trafficlens.session import prepare, scratch_path
@@ -151,6 +151,33 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(documents(spark, sf_dir))
 
 
+SQL["op12_minhash"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\x0C\r]+') AS w
+  FROM documents
+),
+shingled AS (
+  SELECT row_id, doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM docs WHERE len(w) > 0
+),
+sets AS (SELECT min(row_id) AS node, list_sort(s) AS s, len(s) AS n FROM shingled GROUP BY ALL),
+flat AS (SELECT node, n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.node AS u, b.node AS v FROM flat a JOIN flat b ON a.x = b.x AND a.node < b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached AS (SELECT node AS u, node AS v FROM sets UNION SELECT r.u, e.v FROM reached r JOIN both_ways e ON r.v = e.u),
+members AS (SELECT sets.node, shingled.doc_id FROM sets JOIN shingled ON list_sort(shingled.s) = sets.s),
+least AS (SELECT u AS node, min(doc_id) AS component_id FROM reached JOIN members ON members.node = reached.v GROUP BY u)
+SELECT docs.doc_id, coalesce(len(shingled.s), 0) AS n_shingles,
+  CASE WHEN shingled.row_id IS NULL THEN docs.doc_id ELSE least.component_id END AS component_id,
+  shingled.row_id IS NULL OR docs.doc_id IS NOT DISTINCT FROM least.component_id AS kept
+FROM docs LEFT JOIN shingled USING (row_id) LEFT JOIN sets ON sets.s = list_sort(shingled.s) LEFT JOIN least USING (node)
+"""
+
+
 SQL["op13_collocations"] = r"""
 WITH texts AS (
   SELECT row_number() OVER () AS row_id, coalesce(lang, 'und') AS lang,
