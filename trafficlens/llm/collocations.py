@@ -1,7 +1,7 @@
 """Collocations by relational mining of ever longer phrases (SETM).
 
 The occurrence relation of phrases of k words holds one entry per place where such a phrase starts, in the order of
-piece and position. It is kept as slices of some millions of places: the slice's distinct phrases and, place by place,
+piece and position. It is kept as slices of about half a million places: the slice's distinct phrases and, place by place,
 the number of the phrase that starts there (0: none; the place after a piece's last word is always 0). Whole pieces stay
 in one slice, so the entry of the next position is the next place, and joining the relation with itself on the same
 piece and adjacent positions is a merge of two neighbouring entries:
@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.common import saved
 
-SLICE = 1 << 22
+SLICE = 1 << 19
+ROWS_AT_ONCE = 1 << 16
 #: Slices are long rows: small row groups, so that a reader holds few at a time.
 GROUPS = {"parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"}
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 20
 MOST_BITS = 1 << 28
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\xff" * 10)
 RELATION = "lang string, phrases array<string>, places binary"
@@ -77,13 +78,14 @@ def word_relation(docs: DataFrame, text_col: str, lang_col: str, slice_places: i
         for batch in batches:
             langs = batch.column("lang")
             for lang in pc.unique(langs).to_pylist():
-                texts = batch.column("text").filter(pc.equal(langs, lang)).to_pylist()
-                start = size = 0
-                for i, text in enumerate(texts):
-                    size += len(text)
-                    if size >= STEP_BYTES or i == len(texts) - 1:
-                        slices.setdefault(lang, Slice()).add(texts[start : i + 1])
-                        start, size = i + 1, 0
+                step, size = [], 0
+                texts = batch.column("text").filter(pc.equal(langs, lang))
+                for i, text in enumerate(texts, start=1):
+                    step.append(text.as_py())
+                    size += len(step[-1])
+                    if size >= STEP_BYTES or i == len(texts):
+                        slices.setdefault(lang, Slice()).add(step)
+                        step, size = [], 0
                         if slices[lang].size >= slice_places:
                             yield slices.pop(lang).row(lang)
             while sum(s.size for s in slices.values()) > slice_places:
@@ -91,6 +93,7 @@ def word_relation(docs: DataFrame, text_col: str, lang_col: str, slice_places: i
                 yield slices.pop(largest).row(largest)
         for lang, part in slices.items():
             yield part.row(lang)
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
     return rows.mapInArrow(fill, RELATION)
@@ -158,14 +161,15 @@ def word_counts(relation: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, phrases, places in slices_of(batches):
-            yield counted(lang, phrases, np.bincount(places, minlength=len(phrases) + 1)[1:])
+            yield from counted(lang, phrases, np.bincount(places, minlength=len(phrases) + 1)[1:])
 
     return relation.mapInArrow(count, "lang string, phrase string, n long")
 
 
-def counted(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases)), pa.int32()), pa.array([lang])).cast(pa.string())
-    return pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "n"])
+def counted(lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(phrases), ROWS_AT_ONCE):
+        some, n = phrases.slice(i, ROWS_AT_ONCE), counts[i : i + ROWS_AT_ONCE].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), some, pa.array(n)], names=["lang", "phrase", "n"])
 
 
 def longer_counts(relation: DataFrame, shorter: object) -> DataFrame:
@@ -174,7 +178,7 @@ def longer_counts(relation: DataFrame, shorter: object) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, phrases, places in slices_of(batches):
             longer, n, _ = joined(*cut(phrases, places, shorter.value(lang, phrases)))
-            yield counted(lang, longer, n)
+            yield from counted(lang, longer, n)
 
     return relation.mapInArrow(count, "lang string, phrase string, n long")
 

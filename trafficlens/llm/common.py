@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import TYPE_CHECKING
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from trafficlens.session import prepare, scratch_path
 
+if TYPE_CHECKING:  # not every worker that needs this module needs pandas in its memory
+    import pandas as pd
+
 PART, ROW = "__part", "__row"
 
 
