@@ -1,7 +1,9 @@
 """Token files, packing and mixing against plain Python."""
 
 import glob
+
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -148,17 +150,35 @@ def test_schedule_takes_targets_to_a_word(spark, frame, odd):
             assert abs(sum(r.words for r in part if source[r.doc_id] == s) - words * t / sum(share.values())) <= 3.5 * 50 + 1
 
 
-def test_mix_repeats_documents_and_cuts_one_per_source(spark, frame):
+def test_mix_repeats_whole_documents_in_slot_order(spark, frame):
     rows = [(i, f"d{i} " + "w " * (i % 11) + "end", "en", "ab"[i % 2]) for i in range(40)]
     _, docs = frame(rows)
-    table, _ = mixing.schedule(docs, ["doc_id"], mixing.word_count(F.col("text")), "source", block=16)
-    taken = {r.doc_id: r.taken for r in table.collect()}
-    got = mixing.mix(docs, block=16)
-    assert got.columns == docs.columns
+    table, slots = mixing.schedule(docs, ["doc_id"], mixing.word_count(F.col("text")), "source", block=16)
+    made = mixing.mix(docs, block=16)
+    assert made.columns == docs.columns
+    got = made.collect()
     text = {r[0]: r[1] for r in rows}
-    cut = [r for r in got.collect() if r.text != text[r.doc_id]]
-    words = sum(len(r.text.split()) for r in got.collect())
-    assert words == sum(taken.values()) and len(cut) <= 2 and all(text[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in cut)
+    assert all(r.text == text[r.doc_id] for r in got)
+    copies = Counter(r.doc_id for r in got)
+    for r in table.collect():
+        assert abs(copies[r.doc_id] * r.size - r.taken) <= r.size / 2 and copies[r.doc_id] <= 2
+    partly = [r for r in table.collect() if copies[r.doc_id] * r.size != r.taken]
+    assert len(partly) <= 2  # one per source
+    # inside every partition copies come in the order of the slots that start them
+    starts = defaultdict(list)
+    for r in sorted(slots.where("word = 0").collect()):
+        starts[r.doc_id].append(r.slot)
+    at = made.select("doc_id", F.spark_partition_id().alias("p")).collect()
+    seen, order = Counter(), defaultdict(list)
+    for r in at:
+        order[r.p].append(r.doc_id)
+    for ids in order.values():
+        seen.clear()
+        place = []
+        for i in ids:
+            place.append(starts[i][seen[i]])
+            seen[i] += 1
+        assert place == sorted(place)
 
 
 def test_mix_of_an_empty_table(spark, frame):

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import components, saved
+from trafficlens.llm.common import components, saved, with_made
 
 TOKENS = 128
 SLACK_SIGMAS = 4.0
@@ -224,21 +224,24 @@ def dealt(rows: DataFrame, key: str) -> DataFrame:
 def describe(docs: DataFrame, key: Sequence[str], text_col: str, n: int) -> DataFrame:
     """(id, text_hash, d1, d2, size, tokens, brief) of every row: what is needed without the text."""
 
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
         words = Words()
-        for frame in frames:
-            sets = [shingles(t, n, words) for t in frame.pop("text")]
+
+        def make(frame: pd.DataFrame) -> pd.DataFrame:
+            sets = [shingles(t, n, words) for t in frame["text"]]
             d = [digest(s) for s in sets]
             tokens = [sketch(s) for s in sets]
-            yield frame.assign(
-                d1=[x[0] for x in d], d2=[x[1] for x in d], size=[len(s) for s in sets],
-                tokens=[t.tobytes() for t in tokens], brief=[t.astype(np.uint8).tobytes() for t in tokens],
+            return pd.DataFrame(
+                {
+                    "d1": [x[0] for x in d], "d2": [x[1] for x in d], "size": [len(s) for s in sets],
+                    "tokens": [t.tobytes() for t in tokens], "brief": [t.astype(np.uint8).tobytes() for t in tokens],
+                }
             )
 
-    rows = docs.select(*key, F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    made = rows.mapInPandas(make, f"{kept}, d1 long, d2 long, size int, tokens binary, brief binary")
-    return saved(made.select(F.struct(*key).alias("id"), "text_hash", "d1", "d2", "size", "tokens", "brief"), "path-rows")
+        return make
+
+    rows = docs.select(F.struct(*key).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return saved(with_made(rows, ["text"], start, "d1 long, d2 long, size int, tokens binary, brief binary", drop=["text"]), "path-rows")
 
 
 def matrix(column: pd.Series, kind: type = np.uint32) -> np.ndarray:

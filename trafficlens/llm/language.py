@@ -6,7 +6,8 @@ its words' logarithms plus the language's share. Piece probabilities are learned
 word counts: expected piece counts come from the forward and backward sums of every distinct word.
 
 Only runs of letters count, in lower case with a word-start mark; a run of more than 32 letters is taken in parts of
-32. A letter outside the vocabulary is one unknown piece. Word counts are summed inside tasks before they are
+32. Pieces of more than ``LONGEST_PIECE`` letters are not used (the default vocabulary has none). A letter outside the
+vocabulary is one unknown piece. Word counts are summed inside tasks before they are
 shuffled, and are those of all training documents; what reaches the driver is one number per piece and language.
 
 Defined results: a null text or one without letters is ``und`` with score 0; rows with a null language teach nothing;
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -26,14 +27,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import saved
+from trafficlens.llm.common import saved, with_made
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
 LONGEST_WORD = 32
 LONGEST_PIECE = 16
 COUNTER_LIMIT = 300_000
-CACHE_LIMIT = 1_000_000
+CACHE_LIMIT = 200_000
+SLICE_CHARS = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -231,30 +233,72 @@ def train(
     return LanguageModel(languages, prior, prob, path)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score``, the posterior share of the predicted language."""
-    keep = keep if keep is not None else {c: F.col(c) for c in docs.columns}
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text_col).alias("__text"))
-    names = np.array([*model.languages, "und"], dtype=object)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + ["lang_pred string", "score double"])
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        table = np.empty((0, len(model.languages)))
-        for frame in frames:
-            if len(known) > CACHE_LIMIT:
-                known, table = {}, table[:0]
-            words = [words_of(t) for t in frame["__text"]]
-            new = list({w for ws in words for w in ws if w not in known}) if model.languages else []
-            if new:
-                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                table = np.vstack([table, model.log_probs(new)])
-            best, share = np.full(len(words), len(names) - 1), np.zeros(len(words))
-            for i, ws in enumerate(words):
-                if ws and model.languages:
-                    total = model.prior + table[np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws))].sum(axis=0)
-                    best[i] = total.argmax()
-                    share[i] = 1.0 / np.exp(total - total[best[i]]).sum()
-            yield frame.drop(columns="__text").assign(lang_pred=names[best], score=share)
-
-    return rows.mapInPandas(score, schema)
+class KnownWords:
+    """Log probabilities of the words met so far, in two generations of at most ``limit`` words."""
+
+    def __init__(self, model: LanguageModel, limit: int = CACHE_LIMIT):
+        self.model, self.limit = model, limit
+        self.row: dict[str, int] = {}
+        self.table = np.empty((1024, len(model.languages)))
+        self.older: dict[str, int] = {}
+        self.older_table = self.table
+
+    def learn(self, words: list[str]) -> None:
+        """Make sure that all of ``words`` are in the table."""
+        fresh = [w for w in dict.fromkeys(words) if w not in self.row]
+        if fresh and len(self.row) + len(fresh) > self.limit:
+            self.older, self.older_table = self.row, self.table
+            self.row, self.table = {}, np.empty((1024, len(self.model.languages)))
+            fresh = list(dict.fromkeys(words))
+        end = len(self.row) + len(fresh)
+        if end > len(self.table):
+            grown = np.empty((max(end, 2 * len(self.table)), self.table.shape[1]))
+            grown[: len(self.row)] = self.table[: len(self.row)]
+            self.table = grown
+        unknown = [w for w in fresh if w not in self.older]
+        passed = [w for w in fresh if w in self.older]
+        for part, values in ((passed, self.older_table[[self.older[w] for w in passed]]), (unknown, self.model.log_probs(unknown))):
+            self.table[len(self.row) : len(self.row) + len(part)] = values
+            self.row.update(zip(part, range(len(self.row), len(self.row) + len(part)), strict=True))
+
+    def total(self, words: list[str]) -> np.ndarray:
+        return self.table[np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+
+
+def predict(
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: dict[str, Column] | None = None, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``keep`` columns (all, if not given) with the predicted language and its posterior share, called by ``names``.
+
+    A task works through slices of texts of bounded length and remembers a bounded number of words.
+    """
+    if keep is None:
+        rows, text, drop = docs, text_col, []
+    else:
+        text, drop = "__text", ["__text"]
+        rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text_col).alias(text))
+    known_names = np.array([*model.languages, "und"], dtype=object)
+
+    def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
+        known = KnownWords(model)
+
+        def score(frame: pd.DataFrame) -> pd.DataFrame:
+            texts = frame[text].tolist()
+            best, share = np.full(len(texts), len(known_names) - 1), np.zeros(len(texts))
+            first = length = 0
+            for end, t in enumerate(texts, start=1):
+                length += len(t or "")
+                if length >= SLICE_CHARS or end == len(texts):
+                    words = [words_of(t) for t in texts[first:end]] if model.languages else []
+                    known.learn([w for ws in words for w in ws])
+                    for i, ws in enumerate(words, start=first):
+                        if ws:
+                            total = model.prior + known.total(ws)
+                            best[i] = total.argmax()
+                            share[i] = 1.0 / np.exp(total - total[best[i]]).sum()
+                    first, length = end, 0
+            return pd.DataFrame({names[0]: known_names[best], names[1]: share})
+
+        return score
+
+    return with_made(rows, [text], start, f"`{names[0]}` string, `{names[1]}` double", drop)

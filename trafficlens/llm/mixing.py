@@ -182,37 +182,20 @@ def ranked_slots(spark, needed: np.ndarray) -> DataFrame:
     return slots
 
 
-def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **kw) -> DataFrame:
-    """The documents as often as the mix takes them, all columns kept.
+def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+    """The documents as often as the mix takes them, whole and with all columns.
 
-    A source's stream is repeated from its start, so its documents are taken whole, some once more than others, and one
-    document per source in part: that copy's text ends after the last word taken.
+    A copy of a document comes for every time the schedule starts it. One copy per source is only partly within the
+    target: it comes if at least half of its words are. Copies are dealt by document; in each of the files or partitions
+    that result they stand by the slot in which the schedule starts them, so each is a share of the mix in its order.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "mix-landing")
     docs.write.parquet(path)
     key = ["__in_file", "__in_row"]
     landed = spark.read.schema(docs.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("__in_file"), F.col("_metadata.row_index").alias("__in_row"))
-    rows, _ = schedule(landed, key, word_count(F.col(text_col)), source_col, **kw)
-    wanted = rows.where("taken > 0").select(*key, F.expr("taken div size").alias("__whole"), F.expr("taken % size").alias("__part"))
-
-    @F.pandas_udf("string")
-    def head(text: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t, int(w)) for t, w in zip(text, words, strict=True)], dtype=object)
-
-    found = landed.join(wanted, key)
-    whole = found.where("__whole > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__whole").cast("int")))).select(*docs.columns)
-    part = found.where("__part > 0").withColumn(text_col, head(text_col, "__part"))
-    if chars_col in docs.columns:
-        part = part.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
-    return whole.unionByName(part.select(*docs.columns))
-
-
-def cut_words(text: str, words: int) -> str:
-    """The text up to the end of its ``words``-th word."""
-    end = 0
-    for n, m in enumerate(re.finditer(WORD, text), 1):
-        end = m.end()
-        if n == words:
-            break
-    return text[:end]
+    rows, slots = schedule(landed, key, word_count(F.col(text_col)), source_col, **kw)
+    copies = rows.where("taken > 0").select(*key, F.round(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    begun = slots.where("word = 0").groupBy(*key).agg(F.sort_array(F.collect_list("slot")).alias("__slots"))  # two starts at most
+    starts = copies.join(begun, key).select(*key, F.explode(F.slice("__slots", F.lit(1), F.col("__copies"))).alias("__slot"))
+    return landed.join(starts, key).sortWithinPartitions("__slot").select(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import in_order, saved, with_prefix
+from trafficlens.llm.common import in_order, saved, with_made, with_prefix
 from trafficlens.llm.tokens import default_path, encoded
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -191,22 +191,21 @@ def pack(
     ordered = in_order(binned, ["bin", mixed, "doc_id", "start"], "pack-order")
     ranked = with_prefix(ordered, {"at": F.lit(1).cast("long")})
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sequence = np.zeros(len(frame), dtype=np.int64)
-            slot = np.zeros(len(frame), dtype=np.int64)
-            bin_of = frame["bin"].to_numpy()
-            at = frame["at"].to_numpy()
-            for b in np.unique(bin_of):
-                mine = np.flatnonzero(bin_of == b)
-                ranks = at[mine] - below[b]
-                starts, firsts, slots = runs[int(b)]
-                run = np.searchsorted(starts, ranks, side="right") - 1
-                sequence[mine] = firsts[run] + ranks - starts[run]
-                slot[mine] = slots[run]
-            yield frame.drop(columns=["bin", "at"]).assign(sequence_id=sequence, slot=slot)
+    def place(frame: pd.DataFrame) -> pd.DataFrame:
+        sequence = np.zeros(len(frame), dtype=np.int64)
+        slot = np.zeros(len(frame), dtype=np.int64)
+        bin_of = frame["bin"].to_numpy()
+        at = frame["at"].to_numpy()
+        for b in np.unique(bin_of):
+            mine = np.flatnonzero(bin_of == b)
+            ranks = at[mine] - below[b]
+            starts, firsts, slots = runs[int(b)]
+            run = np.searchsorted(starts, ranks, side="right") - 1
+            sequence[mine] = firsts[run] + ranks - starts[run]
+            slot[mine] = slots[run]
+        return pd.DataFrame({"sequence_id": sequence, "slot": slot})
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    placed = ranked.select(*columns, "bin", "at").mapInPandas(place, f"{PIECES}, sequence_id long, slot long")
+    placed = with_made(ranked.select(*columns, "bin", "at"), ["bin", "at"], lambda: place, "sequence_id long, slot long", drop=["bin", "at"])
     earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("slot")

@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import saved
+from trafficlens.llm.common import saved, with_made
 
 WORD = re.compile(r"[^\W\d_]+")
 LEXICONS = {
@@ -297,16 +297,18 @@ def score(
     known = saved(known, "toxicity-labels")
     chosen = frozenset(learned_units(docs, known, id_col, text_col, label_rows))
 
-    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look() -> Callable[[pd.DataFrame], pd.DataFrame]:
         learned = Learned(chosen)
-        for frame in frames:
-            seen = [vote(t, learned) for t in frame.pop("text")]
+
+        def votes_of(frame: pd.DataFrame) -> pd.DataFrame:
+            seen = [vote(t, learned) for t in frame["text"]]
             hits = np.array([x for _, x in seen], dtype=np.float32).reshape(len(seen), FEATURES)
-            yield frame.assign(votes=[v for v, _ in seen], hits=[h.tobytes() for h in hits])
+            return pd.DataFrame({"votes": [v for v, _ in seen], "hits": [h.tobytes() for h in hits]})
+
+        return votes_of
 
     rows = docs.select(F.col(id_col).alias("id"), train.alias("train"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    votes = saved(rows.mapInPandas(look, f"id {kind}, train boolean, votes string, hits binary"), "toxicity-votes")
+    votes = saved(with_made(rows, ["text"], look, "votes string, hits binary", drop=["text"]), "toxicity-votes")
     sign = F.when(F.col("toxic") == 1, "+").when(F.col("toxic") == 0, "-").otherwise("0")
     voted = votes.join(known, "id", "left").withColumn("pattern", F.concat("votes", sign))
     patterns = saved(voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")), "toxicity-patterns")
@@ -325,10 +327,9 @@ def score(
     if len(sample):
         weights = logistic(features(sample, "pattern"), model.posterior(model.coded(sample["pattern"].tolist())))
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            value = 1 / (1 + np.exp(-np.clip(features(frame, "votes") @ weights, -30, 30)))
-            soft = model.posterior(model.coded([v + "0" for v in frame["votes"]]))
-            yield frame.drop(columns="hits").assign(score=value, posterior=soft)
+    def judged(frame: pd.DataFrame) -> pd.DataFrame:
+        value = 1 / (1 + np.exp(-np.clip(features(frame, "votes") @ weights, -30, 30)))
+        return pd.DataFrame({"score": value, "posterior": model.posterior(model.coded([v + "0" for v in frame["votes"]]))})
 
-    return votes.mapInPandas(judge, f"id {kind}, train boolean, votes string, score double, posterior double")
+    scored = with_made(votes, ["votes", "hits"], lambda: judged, "score double, posterior double", drop=["hits"])
+    return scored.select("id", "train", "votes", "score", "posterior")
