@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language is known: not those without letters, nor those that no language wins."""
     prepare(spark)
     model = language.train(docs.where(~hold_out("doc_id", 3, 1)))
-    judged = language.predict(docs, model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    judged = language.predict(docs, model, names=("__lang_pred", "__lang_score"))
+    return judged.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
