@@ -116,3 +116,36 @@ def test_hash_depends_on_values_and_order(spark):
     first = {r.series_id: r.data_hash for r in rs.load_hash(loads, ["series_id"]).collect()}
     again = {r.series_id: r.data_hash for r in rs.load_hash(loads.orderBy(F.desc("timestamp")), ["series_id"]).collect()}
     assert first == again and first["a"] != first["b"]
+
+
+def test_a_silent_key_alarms_without_a_further_row(spark, tmp_path):
+    """Key b stops; only rows of a follow. Its alarm comes with the watermark, and its end once it is back."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    hour = timedelta(hours=1)
+    write_logs(
+        folder,
+        [
+            [("a", START), ("b", START + timedelta(minutes=5))],
+            [("a", START + k * hour / 2) for k in range(1, 13)],
+            [("a", START + 6 * hour + k * hour / 2) for k in range(1, 9)],
+            [("b", START + 11 * hour), ("a", START + 11 * hour), ("a", START + 20 * hour)],
+            [("a", START + 20 * hour + timedelta(minutes=5))],
+        ],
+    )
+    rows = live.live_parse(lg.stream_lines(spark, str(folder), 1))
+    got = {(r.host, r.kind, r.gap_start, r.gap_end) for r in live.run_available(spark, live.live_alarms(rows, "host"), "alarms").collect()}
+    silent = START + timedelta(minutes=5)
+    assert {("b", "silent", silent, None), ("b", "closed", silent, START + 11 * hour), ("b", "silent", START + 11 * hour, None)} <= got
+    assert ("a", "silent", START + 11 * hour, None) in got and len([g for g in got if g[0] == "b"]) == 3
+
+
+def test_state_of_a_silent_key_expires(spark, tmp_path):
+    """After ``keep_seconds`` the key is forgotten: its return closes no gap."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    hour = timedelta(hours=1)
+    write_logs(folder, [[("b", START)], [("a", START + 5 * hour)], [("a", START + 12 * hour)], [("a", START + 30 * hour)], [("b", START + 31 * hour), ("a", START + 31 * hour)], [("a", START + 40 * hour)]])
+    rows = live.live_parse(lg.stream_lines(spark, str(folder), 1))
+    got = [(r.kind, r.gap_start) for r in live.run_available(spark, live.live_alarms(rows, "host", keep_seconds=6 * 3600), "expiry").where("host = 'b'").collect()]
+    assert sorted(got) == [("silent", START), ("silent", START + 31 * hour)]

@@ -83,6 +83,19 @@ def g5(spark, d):
     return live.run_available(spark, live.live_gaps(_rows(spark, d), "host"), "live-gaps")
 
 
+@query(
+    "g5_live_alarms", "host:s kind:s gap_start:t gap_end:t",
+    """WITH mark AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM parsed),
+    seen AS (SELECT host, ts, line_no FROM parsed, mark WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= w),
+    gaps AS (SELECT host, s, ts FROM (SELECT host, ts, lag(ts) OVER (PARTITION BY host ORDER BY ts, line_no) AS s FROM seen) WHERE epoch(ts) - epoch(s) > 3600)
+    SELECT host, 'closed' AS kind, s AS gap_start, ts AS gap_end FROM gaps UNION ALL SELECT host, 'silent', s, NULL FROM gaps
+    UNION ALL SELECT host, 'silent', last, NULL FROM (SELECT host, max(ts) AS last FROM seen GROUP BY 1), mark WHERE last + INTERVAL 1 HOUR <= w""",
+    "parsed",
+)
+def g5_alarms(spark, d):
+    return live.run_available(spark, live.live_alarms(_rows(spark, d), "host", keep_seconds=366 * 86400), "live-alarms")
+
+
 @query("g6_live_series_sink", f"granularity:i {COUNTS}", CLOSED.replace("SELECT ts", "SELECT 60 AS granularity, ts", 1), "parsed")
 def g6(spark, d):
     path = scratch_path(spark, "live-series")

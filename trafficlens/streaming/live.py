@@ -146,6 +146,84 @@ def live_gaps(rows: DataFrame, key: str, threshold_seconds: int = 3600, delay: s
     )
 
 
+class SilenceProcessor(StatefulProcessor):
+    """Last time seen per key with one timer: first the alarm behind it, then, once told, the end of the state."""
+
+    def __init__(self, key: str, threshold_micros: int, keep_micros: int):
+        self.key = key
+        self.threshold = threshold_micros
+        self.keep = max(keep_micros, threshold_micros)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "last_at bigint, told boolean")
+
+    def _wake_at(self, micros: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(-(-micros // 1000))
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=[self.key, "kind", "start_at", "end_at"])
+        return frame.astype({"start_at": "Int64", "end_at": "Int64"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, told = self.seen.get() if self.seen.exists() else (None, False)
+        out = []
+        for first, end in pd.concat(list(rows)).sort_values("first_at")[["first_at", "last_at"]].itertuples(index=False):
+            if last is not None and first - last > self.threshold:
+                if not told:
+                    out.append((key[0], "silent", int(last), None))
+                out.append((key[0], "closed", int(last), int(first)))
+            if last is None or end > last:
+                last, told = int(end), False
+        self.seen.update((last, told))
+        self._wake_at(last + (self.keep if told else self.threshold))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.seen.exists():
+            return
+        last, told = self.seen.get()
+        if told:
+            self.seen.clear()
+            return
+        self.seen.update((last, True))
+        if self.keep > self.threshold:
+            self._wake_at(last + self.keep)
+        else:
+            self.seen.clear()
+        yield self._frame([(key[0], "silent", int(last), None)])
+
+    def close(self) -> None:
+        pass
+
+
+def live_alarms(rows: DataFrame, key: str, threshold_seconds: int = 3600, delay: str = "1 hour", keep_seconds: int = 30 * 86400) -> DataFrame:
+    """(key, kind, gap_start, gap_end): keys that fall silent, and the end of their silence if rows come again.
+
+    A ``silent`` row comes once per gap: when the watermark passes the key's last row by the threshold, without any further
+    row of the key, or with the row that ends the gap if that is seen first. A ``closed`` row follows with the end. The
+    state of a key is two values and one timer, and goes ``keep_seconds`` after its last row: a key that returns later is
+    new, and its gap is not closed. So state holds the keys of that span only. Rows without a key are left out.
+    """
+    buckets = (
+        rows.where(F.col(key).isNotNull())
+        .withWatermark("event_time", delay)
+        .groupBy(key, F.window("event_time", f"{threshold_seconds} seconds").alias("w"))
+        .agg(F.min(F.unix_micros("event_time")).alias("first_at"), F.max(F.unix_micros("event_time")).alias("last_at"))
+        .select(key, F.window_time("w").alias("event_time"), "first_at", "last_at")
+    )
+    key_type = rows.schema[key].dataType.simpleString()
+    processor = SilenceProcessor(key, threshold_seconds * 1_000_000, keep_seconds * 1_000_000)
+    gaps = buckets.groupBy(key).transformWithStateInPandas(
+        processor, f"`{key}` {key_type}, kind string, start_at bigint, end_at bigint", "Append", "EventTime"
+    )
+    return gaps.select(
+        key, "kind", F.timestamp_micros("start_at").cast("timestamp_ntz").alias("gap_start"), F.timestamp_micros("end_at").cast("timestamp_ntz").alias("gap_end")
+    )
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
