@@ -145,3 +145,40 @@ def test_no_window_sends_a_series_to_one_task(spark, values):
     for line in plan.splitlines():
         if " Window [" in line and "__carry" not in line:
             assert sc.CHUNK in line
+
+
+def test_value_chunks_are_small_however_values_lie(spark):
+    """Most values within one unit, one far away: equal-width bins would put all but one into a single bin."""
+    rows = [("a", 1e6 + i / 5000) for i in range(5000)] + [("a", 1e12)] + [("b", 3.0)] * 7
+    df = spark.createDataFrame(rows, "series_id string, x double")
+    distinct = df.distinct()
+    chunks = sc.with_value_chunks(distinct, ["series_id"], "x", {"total": F.count(F.lit(1))}, cuts=64)
+    sizes = {(r["series_id"], r[sc.CHUNK]): r["count"] for r in chunks.groupBy("series_id", sc.CHUNK).count().collect()}
+    assert max(n for (k, _), n in sizes.items() if k == "a") < 5001 * 0.15
+    order = [(r[sc.CHUNK]) for r in chunks.where("series_id = 'a'").orderBy("x").collect()]
+    assert order == sorted(order) and len(set(order)) > 30
+    ranks = sc.value_ranks(df, KEYS, "x", cuts=64).where("series_id = 'a'").orderBy("x").collect()
+    assert [r["below"] for r in ranks] == list(range(5001))
+    assert [tuple(r) for r in sc.value_ranks(df, KEYS, "x").where("series_id = 'b'").collect()] == [("b", 3.0, 7, 0, 7)]
+
+
+def test_quantiles_of_many_columns_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    frames = pd.DataFrame({"series_id": ["a"] * 60 + ["b"] * 40, "p": rng.normal(size=100), "q": rng.integers(0, 5, 100).astype(float), "r": rng.exponential(size=100)})
+    frames.loc[3, "p"] = np.nan
+    df = spark.createDataFrame(frames.astype(object).where(frames.notna(), None).values.tolist(), "series_id string, p double, q double, r double")
+    got = {r["series_id"]: r for r in sc.column_quantiles(df, KEYS, ["p", "q", "r"], {"lo": 0.25, "mid": 0.5}).collect()}
+    for key, part in frames.groupby("series_id"):
+        for c in "pqr":
+            assert got[key][f"{c}__lo"] == pytest.approx(part[c].quantile(0.25)) and got[key][f"{c}__mid"] == pytest.approx(part[c].median())
+
+
+def test_prefix_minimum_equals_plain_loop(spark):
+    rng = np.random.default_rng(9)
+    rows = [("a", float(x), float(y)) for x, y in zip(rng.choice([1e6, 1e6 + 1e-3, 5.0, 1e12, 7.25], 200), rng.normal(size=200), strict=True)] + [("a", None, -100.0)]
+    df = spark.createDataFrame(rows, "series_id string, x double, y double")
+    got = {r["x"]: (r["least_here"], r["least_before"]) for r in sc.prefix_min(df, KEYS, "x", "y", cuts=2).collect()}
+    known = [r for r in rows if r[1] is not None]
+    for x in {r[1] for r in known}:
+        before = [r[2] for r in known if r[1] < x]
+        assert got[x] == (min(r[2] for r in known if r[1] == x), min(before) if before else None)

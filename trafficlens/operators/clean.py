@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trafficlens.functions import logfields as lf
 from trafficlens.functions.values import epoch_micros, ratio_or_zero
 from trafficlens.operators.scale import quantiles
+from trafficlens.operators.sketches import approximate_quantiles
 from trafficlens.session import cut_lineage
 
 DEDUP_KEYS = ("host", "timestamp", "url", "method")
@@ -45,16 +46,17 @@ def with_derived(rows: DataFrame) -> DataFrame:
     )
 
 
-def outlier_bounds(rows: DataFrame, col: str = "bytes", keys: Sequence[str] = ()) -> DataFrame:
-    """Tukey fences: quartiles widened by 1.5 interquartile ranges."""
-    q = quantiles(rows, keys, col, {"q1": 0.25, "q3": 0.75})
+def outlier_bounds(rows: DataFrame, col: str = "bytes", keys: Sequence[str] = (), sketch_k: int | None = None) -> DataFrame:
+    """Tukey fences: quartiles widened by 1.5 interquartile ranges. With ``sketch_k`` the quartiles are approximate."""
+    probs = {"q1": 0.25, "q3": 0.75}
+    q = quantiles(rows, keys, col, probs) if sketch_k is None else approximate_quantiles(rows, keys, col, probs, sketch_k)
     iqr = F.col("q3") - F.col("q1")
     return q.withColumns({"low": F.col("q1") - 1.5 * iqr, "high": F.col("q3") + 1.5 * iqr})
 
 
-def flag_outliers(rows: DataFrame, col: str = "bytes") -> DataFrame:
+def flag_outliers(rows: DataFrame, col: str = "bytes", sketch_k: int | None = None) -> DataFrame:
     """Add ``bytes_outlier``. The fences are a single row, read as a scalar subquery."""
-    fences = outlier_bounds(rows, col).select(F.struct("low", "high")).scalar()
+    fences = outlier_bounds(rows, col, sketch_k=sketch_k).select(F.struct("low", "high")).scalar()
     return rows.withColumn(f"{col}_outlier", (F.col(col) < fences["low"]) | (F.col(col) > fences["high"]))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.functions.values import epoch_seconds, from_epoch, ratio
-from trafficlens.operators.scale import quantiles
+from trafficlens.operators.scale import column_quantiles, quantiles
 
 SID = ("series_id",)
 # Interval factors per confidence level, and the baseline's shape.
@@ -167,25 +167,21 @@ def with_split(df: DataFrame, step_seconds: int, share: float = 0.2, keys: Seque
 
 
 def robust_scale(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = SID, train: Column | None = None) -> DataFrame:
-    """(x - median) / interquartile range of the training rows; a zero range counts as 1."""
+    """(x - median) / interquartile range of the training rows; a zero range counts as 1. One pass for all columns."""
     keys = list(keys)
-    out = df
-    for c in cols:
-        q = quantiles(df if train is None else df.where(train), keys, c, {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75})
-        width = F.col("__q3") - F.col("__q1")
-        scaled = (F.col(c) - F.col("__q2")) / F.when(width == 0, F.lit(1.0)).otherwise(width)
-        out = out.join(q, on=keys, how="left").withColumn(f"{c}_scaled", scaled).drop("__q1", "__q2", "__q3")
-    return out
+    known = column_quantiles(df if train is None else df.where(train), keys, cols, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    joined = df.join(known, on=keys, how="left")
+    width = {c: F.col(f"{c}__q3") - F.col(f"{c}__q1") for c in cols}
+    scaled = {f"{c}_scaled": (F.col(c) - F.col(f"{c}__q2")) / F.when(width[c] == 0, F.lit(1.0)).otherwise(width[c]) for c in cols}
+    return joined.withColumns(scaled).drop(*[f"{c}__q{i}" for c in cols for i in (1, 2, 3)])
 
 
 def median_fill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = SID, train: Column | None = None) -> DataFrame:
-    """Nulls become the training median of their column."""
+    """Nulls become the training median of their column. One pass for all columns."""
     keys = list(keys)
-    out = df
-    for c in cols:
-        q = quantiles(df if train is None else df.where(train), keys, c, {"__q": 0.5})
-        out = out.join(q, on=keys, how="left").withColumn(c, F.coalesce(F.col(c).cast("double"), F.col("__q"))).drop("__q")
-    return out
+    known = column_quantiles(df if train is None else df.where(train), keys, cols, {"q": 0.5})
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__q")) for c in cols}
+    return df.join(known, on=keys, how="left").withColumns(filled).drop(*[f"{c}__q" for c in cols])
 
 
 def mode_fill(df: DataFrame, numeric: Sequence[str], category: Sequence[str], keys: Sequence[str] = SID) -> DataFrame:

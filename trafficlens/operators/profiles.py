@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trafficlens.functions.calendar import day_of_week
 from trafficlens.functions.values import epoch_seconds, floor_time, ratio
 from trafficlens.operators.scale import quantiles
+from trafficlens.operators.sketches import approximate_quantiles
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
 
@@ -91,10 +92,13 @@ def describe(df: DataFrame, keys: Sequence[str] = ("series_id",), y: str = "y")
     return moments.join(quantiles(df, keys, y, {**QUARTILES, "p95": 0.95}), on=keys)
 
 
-def box_stats(df: DataFrame, unit: str, keys: Sequence[str] = ("series_id",), y: str = "y", ts: str = "timestamp") -> DataFrame:
-    """Quartiles by ``hour`` or ``day_of_week``."""
+def box_stats(
+    df: DataFrame, unit: str, keys: Sequence[str] = ("series_id",), y: str = "y", ts: str = "timestamp", sketch_k: int | None = None
+) -> DataFrame:
+    """Quartiles by ``hour`` or ``day_of_week``; approximate ones with ``sketch_k``."""
     part = {"hour": F.hour(ts), "day_of_week": day_of_week(F.col(ts))}[unit]
-    return quantiles(df.withColumn(unit, part), [*keys, unit], y, QUARTILES)
+    rows = df.withColumn(unit, part)
+    return quantiles(rows, [*keys, unit], y, QUARTILES) if sketch_k is None else approximate_quantiles(rows, [*keys, unit], y, QUARTILES, sketch_k)
 
 
 def host_entropy(rows: DataFrame, step_seconds: int, host: str = "host", ts: str = "timestamp", keys: Sequence[str] = ()) -> DataFrame:

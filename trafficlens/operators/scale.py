@@ -4,7 +4,7 @@ A window over ``partitionBy(series)`` sends a whole series to one task. Here tim
 
 * row-bounded frames (lags, rolling statistics) run per chunk, with the neighbouring rows they need copied in;
 * unbounded running values (sums, maxima, last value) run per chunk and add one carried value per chunk;
-* ranks and quantiles run over distinct values with counts, in chunks of the value range.
+* ranks and quantiles run over distinct values with counts, in chunks between values drawn from the data.
 
 The row-bounded form takes a regular grid: one row per step and series.
 """
@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trafficlens.functions.values import epoch_seconds
+from trafficlens.session import cut_lineage
 
 CHUNK = "__chunk"
 CHUNK_ROWS = 4096
-VALUE_BINS = 1024
+VALUE_CUTS = 1024
+CUT_STEP = 32
 
 
 def chunk_of(ts: Column, step_seconds: int, rows: int = CHUNK_ROWS) -> Column:
@@ -146,29 +148,39 @@ def running(
     return out.drop(CHUNK, *[f"__carry_{name}" for name in columns])
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+def with_value_chunks(distinct: DataFrame, keys: Sequence[str], col: str, sums: dict[str, Column], cuts: int = VALUE_CUTS) -> DataFrame:
+    """Rows of distinct values per key with ``CHUNK``, which grows with the value, and per key the aggregates ``sums``.
+
+    The chunks of a key lie between about ``cuts`` of its values, drawn by a hash of the value: whatever the values look
+    like, a chunk gets a small share of them. The drawing depends on nothing but the values, so a part of the job that is
+    run again (a lost executor, a second branch of the plan) forms the same chunks. A row finds its chunk in two steps of
+    ``CUT_STEP`` comparisons.
+    """
+    keys = list(keys)
+    ends = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"), *[c.alias(n) for n, c in sums.items()])
+    chance = F.pmod(F.xxhash64(F.col(col), F.lit("cut")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = distinct.join(ends, on=keys).where(chance * F.col("__m") < F.lit(float(cuts)))
+    at = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list(col)).alias("__cuts"))
+    heads = F.filter("__cuts", lambda x, i: i % CUT_STEP == CUT_STEP - 1)
+    table = ends.join(at, on=keys, how="left").withColumn("__heads", heads).drop("__m")
+    value = F.col(col)
+    head = F.size(F.filter("__heads", lambda x: x <= value)) * CUT_STEP
+    rest = F.size(F.filter(F.slice("__cuts", head + 1, CUT_STEP), lambda x: x <= value))
+    chunk = F.when(F.col("__cuts").isNull(), 0).otherwise(head + rest)
+    return distinct.join(table, on=keys).withColumn(CHUNK, chunk).drop("__cuts", "__heads")
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], col: str, cuts: int = VALUE_CUTS) -> DataFrame:
     """Distinct values of ``col`` per key with ``cnt``, ``below`` (rows of smaller value) and ``total`` rows.
 
-    Equal values collapse before the shuffle, so a value that holds most rows costs one row per map task. The
-    running count then works in chunks of the value range: equal-width bins between the key's minimum and maximum,
-    refined by magnitude, both monotone in the value.
+    Equal values collapse before the shuffle, so a value that holds most rows costs one row per map task. The running
+    count then works in chunks of the values (:func:`with_value_chunks`).
     """
     keys = list(keys)
     anchor = keys or ["__all"]
     base = df if keys else df.withColumn("__all", F.lit(0))
     counts = base.where(F.col(col).isNotNull()).groupBy(*anchor, col).agg(F.count(F.lit(1)).alias("cnt"))
-    span = counts.groupBy(*anchor).agg(
-        F.min(F.col(col).cast("double")).alias("__lo"),
-        F.max(F.col(col).cast("double")).alias("__hi"),
-        F.sum("cnt").alias("total"),
-    )
-    value = F.col(col).cast("double")
-    width = F.col("__hi") - F.col("__lo")
-    even = F.floor(F.coalesce(F.try_divide((value - F.col("__lo")) * VALUE_BINS, width), F.lit(0.0)))
-    magnitude = F.floor(F.signum(value) * F.log1p(F.abs(value)) * 64)
-    binned = counts.join(span, on=anchor).select(
-        *anchor, col, "cnt", "total", F.struct(even.alias("a"), magnitude.alias("b")).alias(CHUNK)
-    )
+    binned = with_value_chunks(counts, anchor, col, {"total": F.sum("cnt")}, cuts)
     sums = binned.groupBy(*anchor, CHUNK).agg(F.sum("cnt").alias("__sum"))
     over_chunks = Window.partitionBy(*anchor).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     base_count = sums.select(*anchor, CHUNK, F.coalesce(F.sum("__sum").over(over_chunks), F.lit(0)).alias("__base"))
@@ -198,20 +210,27 @@ def quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, flo
     return out.select(*keys, *result)
 
 
-def prefix_min(df: DataFrame, keys: Sequence[str], order: str, col: str) -> DataFrame:
+def column_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Exact linear quantiles of many columns at once: one row per key with columns ``<column>__<name>``.
+
+    The columns are laid under each other, so the number of shuffles does not depend on how many there are. The laid-out
+    values are written: three steps read them, and a plan of many columns is not carried into each.
+    """
+    keys = list(keys)
+    pairs = F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).cast("double").alias("__x")) for c in cols])
+    values = cut_lineage(df.sparkSession, df.select(*keys, F.inline(pairs)), "column-values")
+    long = quantiles(values, [*keys, "__col"], "__x", probs)
+    wide = [F.max(F.when(F.col("__col") == c, F.col(name))).alias(f"{c}__{name}") for c in cols for name in probs]
+    return long.groupBy(*keys).agg(*wide)
+
+
+def prefix_min(df: DataFrame, keys: Sequence[str], order: str, col: str, cuts: int = VALUE_CUTS) -> DataFrame:
     """Per key and distinct ``order`` value: ``least_before``, the minimum of ``col`` over all smaller values, and
-    ``least_here``, the minimum at the value itself. Chunked over the value range like ``value_ranks``.
+    ``least_here``, the minimum at the value itself. Chunked over the values like ``value_ranks``.
     """
     keys = list(keys)
-    best = df.groupBy(*keys, order).agg(F.min(col).alias("least_here"))
-    span = best.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    even = F.floor(
-        F.coalesce(
-            F.try_divide((F.col(order) - F.col("__lo")) * F.lit(float(VALUE_BINS)), F.col("__hi") - F.col("__lo")),
-            F.lit(0.0),
-        )
-    )
-    binned = best.join(span, on=keys).withColumn(CHUNK, even).drop("__lo", "__hi")
+    best = df.where(F.col(order).isNotNull()).groupBy(*keys, order).agg(F.min(col).alias("least_here"))
+    binned = with_value_chunks(best, keys, order, {}, cuts)
     sums = binned.groupBy(*keys, CHUNK).agg(F.min("least_here").alias("__min"))
     over_chunks = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(*keys, CHUNK, F.min("__min").over(over_chunks).alias("__carry"))

@@ -11,35 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.functions.values import epoch_seconds, ratio
+from trafficlens.operators.moments import correlation_of, pair_moments
 from trafficlens.operators.scale import CHUNK_ROWS, halo, quantiles, value_ranks
+from trafficlens.session import cut_lineage
 
 SID = ("series_id",)
 
 
 def correlations(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Upper triangle of the correlation matrix in long form: (a, b, r), one pass over the rows."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    return _long_corr(df, pairs, keys)
+    """Upper triangle of the correlation matrix in long form: (a, b, r, n), from one matrix of moments."""
+    pairs = pair_moments(df, cols, keys=keys).where(F.col("a") != F.col("b"))
+    return pairs.select(*keys, "a", "b", correlation_of().alias("r"), "n")
 
 
 def target_correlations(df: DataFrame, target: str, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    return _long_corr(df, [(c, target) for c in cols], keys)
-
-
-def _long_corr(df: DataFrame, pairs, keys) -> DataFrame:
-    both = {p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() for p in pairs}
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        aggs += [F.corr(x, y).alias(f"r{i}"), F.count_if(both[(a, b)]).alias(f"n{i}")]
-    wide = df.groupBy(*keys).agg(*aggs)
-    rows = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return wide.select(*keys, F.explode(rows).alias("p")).select(*keys, "p.a", "p.b", "p.r", "p.n")
+    return pair_moments(df, cols, [target], keys).select(*keys, "a", "b", correlation_of().alias("r"), "n")
 
 
 def two_sample(df: DataFrame, flag: Column, y: str = "y", keys: Sequence[str] = SID) -> DataFrame:
@@ -231,7 +217,8 @@ def mutual_information(df: DataFrame, target: str, cols: Sequence[str], bins: in
     probs = {f"e{i}": i / bins for i in range(1, bins)}
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in (target, *cols)]).dropna()
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in (target, *cols)])
-    long = rows.select(F.col(target).alias("__t"), F.inline(pairs))
+    # Written once: the cuts and the counts both read it, and they need not carry the wide plan along.
+    long = cut_lineage(df.sparkSession, rows.select(F.col(target).alias("__t"), F.inline(pairs)), "feature-values")
     cuts = quantiles(long, ["feature"], "x", probs).select("feature", F.array(*probs).alias("__cuts"))
     goal = cuts.where(F.col("feature") == target).select("__cuts").scalar()
 
@@ -265,19 +252,38 @@ def combine_scores(scores: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out.withColumn("combined_score", sum((F.col(f"{c}_norm") for c in cols), F.lit(0.0)) / len(cols))
 
 
+#: Scores of equal columns differ by rounding only; compared to this many places, they are equal.
+SCORE_PLACES = 9
+
+
 def correlated_drops(pairs: DataFrame, scores: DataFrame, limit: float = 0.95) -> DataFrame:
     """Of every pair correlated above the limit, the feature to drop: the first only if its score is lower."""
     high = pairs.where(F.abs("r") > limit).select("a", "b")
     a = scores.select(F.col("feature").alias("a"), F.col("combined_score").alias("__sa"))
     b = scores.select(F.col("feature").alias("b"), F.col("combined_score").alias("__sb"))
     both = high.join(a, "a", "left").join(b, "b", "left")
-    lower = F.coalesce("__sa", F.lit(0.0)) < F.coalesce("__sb", F.lit(0.0))
+    lower = F.round(F.coalesce("__sa", F.lit(0.0)), SCORE_PLACES) < F.round(F.coalesce("__sb", F.lit(0.0)), SCORE_PLACES)
     return both.select(F.when(lower, F.col("a")).otherwise(F.col("b")).alias("feature")).distinct()
 
 
 def select_top(scores: DataFrame, drops: DataFrame, n: int = 40) -> DataFrame:
     kept = scores.join(drops, "feature", "left_anti")
-    return kept.orderBy(F.desc("combined_score"), "feature").limit(n)
+    return kept.orderBy(F.desc(F.round("combined_score", SCORE_PLACES)), "feature").limit(n)
+
+
+def project_selected(rows: DataFrame, selected: DataFrame, train: Column, path: str, keep: Sequence[str] = (), label: str = "feature") -> tuple[DataFrame, DataFrame]:
+    """Write the training and the test rows, cut to ``keep`` and the selected columns, and give both tables.
+
+    Which columns these are is decided by the data: the names come to the driver (one row per feature), the rows do not.
+    """
+    names = [r[0] for r in selected.select(label).collect()]
+    spark, chosen = rows.sparkSession, rows.select(*keep, *names, train.alias("__train"))
+    out = []
+    for part, which in (("train", F.col("__train")), ("test", ~F.coalesce("__train", F.lit(False)))):
+        table = chosen.where(which).drop("__train")
+        table.write.mode("overwrite").parquet(f"{path}/{part}")
+        out.append(spark.read.schema(table.schema).parquet(f"{path}/{part}"))
+    return tuple(out)
 
 
 # Rules for the kind of a feature, first match wins.
@@ -372,3 +378,66 @@ def unit_root(df: DataFrame, step_seconds: int, lags: int, keys: Sequence[str] =
     stat = F.pandas_udf(statistic, "double")
     scored = moments.select(*keys, "n_obs", stat("m", "n_obs").alias("adf"))
     return scored.withColumn("stationary_5pct", F.col("adf") < ADF_CRITICAL["5%"])
+
+
+def unit_root_by_aic(df: DataFrame, step_seconds: int, max_lag: int, keys: Sequence[str] = SID, y: str = "y", ts: str = "timestamp") -> DataFrame:
+    """Augmented Dickey-Fuller test with a constant whose number of lagged differences is chosen by the least AIC.
+
+    All orders up to ``max_lag`` are nested in the largest one, so one matrix of moments per series, over the rows that the
+    largest order leaves, gives the fit of each. The chosen order is then fitted on all rows that it leaves itself.
+    """
+    keys = list(keys)
+    names = [f"__x{k}" for k in range(max_lag + 1)]
+
+    def build(w):
+        out = {"__dy": F.col(y) - F.lag(y, 1).over(w), "__x0": F.lag(y, 1).over(w)}
+        for k in range(1, max_lag + 1):
+            out[f"__x{k}"] = F.lag(y, k).over(w) - F.lag(y, k + 1).over(w)
+        return out
+
+    rows = halo(df, keys, ts, step_seconds, build, back=max_lag + 1).select(*keys, "__dy", *names)
+    place = {c: i for i, c in enumerate([*names, "__dy"])}
+
+    def matrices(frame: DataFrame) -> DataFrame:
+        pairs = pair_moments(frame.dropna(), [*names, "__dy"], keys=keys)
+        return pairs.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "n", "sx", "sy", "sxy")).alias("m"))  # columns squared
+
+    def centred(cells) -> tuple[int, np.ndarray]:
+        out, n = np.zeros((len(place), len(place))), 0
+        for c in cells:
+            i, j, n = place[c["a"]], place[c["b"]], c["n"]
+            out[i, j] = out[j, i] = c["sxy"] - c["sx"] * c["sy"] / n
+        return n, out
+
+    def fitted(n: int, c: np.ndarray, lags: int) -> tuple[float | None, float | None]:
+        """(t value of the lagged level, AIC) with that many lagged differences."""
+        free = n - lags - 2
+        if free <= 0:
+            return None, None
+        try:
+            inverse = np.linalg.inv(c[: lags + 1, : lags + 1])
+        except np.linalg.LinAlgError:
+            return None, None
+        beta = inverse @ c[: lags + 1, -1]
+        rest = max(c[-1, -1] - beta @ c[: lags + 1, -1], 0.0)
+        error = np.sqrt(rest / free * inverse[0, 0])
+        return (float(beta[0] / error), float(n * np.log(rest / n) + 2 * (lags + 2))) if error > 0 else (None, None)
+
+    def choose(column: pd.Series) -> pd.DataFrame:
+        out = []
+        for cells in column:
+            n, c = centred(cells)
+            tried = [(aic, lags) for lags in range(max_lag + 1) for _, aic in [fitted(n, c, lags)] if aic is not None]
+            out.append(min(tried) if tried else (None, None))
+        return pd.DataFrame(out, columns=["aic", "used_lag"]).astype({"aic": "float64", "used_lag": "Int32"})
+
+    def test(column: pd.Series, lags: pd.Series) -> pd.DataFrame:
+        out = [(n, fitted(n, c, int(p))[0]) for cells, p in zip(column, lags, strict=True) for n, c in [centred(cells)]]
+        return pd.DataFrame(out, columns=["n_obs", "adf"]).astype({"n_obs": "int64", "adf": "float64"})
+
+    chosen = matrices(rows).select(*keys, F.pandas_udf(choose, "aic double, used_lag int")("m").alias("c")).select(*keys, "c.aic", "c.used_lag")
+    chosen = cut_lineage(df.sparkSession, chosen.where(F.col("used_lag").isNotNull()), "unit-root-orders")
+    without = {f"__x{k}": F.when(F.col("used_lag") >= k, F.col(f"__x{k}")).otherwise(0) for k in range(1, max_lag + 1)}
+    again = matrices(rows.join(chosen, keys).withColumns(without).select(*keys, "__dy", *names)).join(chosen, keys)
+    scored = again.select(*keys, "used_lag", "aic", F.pandas_udf(test, "n_obs long, adf double")("m", "used_lag").alias("t"))
+    return scored.select(*keys, "used_lag", "aic", "t.n_obs", "t.adf", (F.col("t.adf") < ADF_CRITICAL["5%"]).alias("stationary_5pct"))

@@ -9,12 +9,13 @@ from trafficlens.functions import logfields as lf
 from trafficlens.functions import values as val
 from trafficlens.operators import clean as cl
 from trafficlens.operators import features as fe
+from trafficlens.operators import sketches as sk
 from trafficlens.operators.parse import mark_lines, rejected_lines
 from trafficlens.operators.series import SeriesSpec, multi_series
 from trafficlens.plans import views as v
 from trafficlens.plans.registry import query
 from trafficlens.plans.sqlviews import VALID_SQL, category_sql, extension_sql, status_class_sql
-from trafficlens.session import scratch_path
+from trafficlens.session import cut_lineage, scratch_path
 from trafficlens.sources import loads as ld
 from trafficlens.sources import logs as lg
 from trafficlens.sources import tables as tb
@@ -393,6 +394,41 @@ def q7(spark, d):
     return cl.top_values(counts, {"extension": 15, "status": 10})
 
 
+@query(
+    "q7_frequent_items", "field:s item:s n:i max_error:i",
+    """SELECT field, item, n, ceil(total * 3.5 / 16384) AS max_error FROM (
+      SELECT field, item, count(*) AS n, sum(count(*)) OVER (PARTITION BY field) AS total FROM (
+        SELECT 'url_category' AS field, url_category AS item FROM fixed UNION ALL SELECT 'extension', extension FROM fixed
+        UNION ALL SELECT 'status', CAST(status AS VARCHAR) FROM fixed) WHERE item IS NOT NULL GROUP BY 1, 2)""",
+    "fixed",
+)
+def q7_frequent(spark, d):
+    fields = ("url_category", "extension", "status")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("item")) for f in fields])
+    rows = v.fixed(spark, d).select(F.date_trunc("hour", "timestamp").alias("hour"), F.inline(pairs))
+    hourly = sk.item_sketches(rows, ["hour", "field"], "item")
+    return sk.frequent_items(sk.merge_item_sketches(hourly, ["field"]), ["field"], 1000)
+
+
+@query(
+    "z4_sketch_rollup", "status_class:s prob:d n:i within:b",
+    "SELECT status_class, unnest([0.25, 0.5, 0.75, 0.95]) AS prob, count(bytes) AS n, true AS within FROM fixed WHERE bytes IS NOT NULL GROUP BY status_class",
+    "fixed",
+)
+def z4_sketches(spark, d):
+    """Quantiles from hourly sketches that were written and merged; ``within``: twice the rank error around the exact ranks."""
+    probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+    rows = v.fixed(spark, d).select("status_class", F.col("bytes").cast("double").alias("x"), F.date_trunc("hour", "timestamp").alias("hour"))
+    hourly = cut_lineage(spark, sk.quantile_sketches(rows, ["status_class", "hour"], "x"), "hour-sketches")
+    found = sk.sketch_quantiles(sk.merge_quantile_sketches(hourly, ["status_class"]), ["status_class"], probs)
+    pairs = F.array(*[F.struct(F.lit(p).alias("prob"), F.col(c).alias("value")) for c, p in probs.items()])
+    long = found.select("status_class", "n", F.inline(pairs))
+    x, value = F.col("x"), F.col("value")
+    ranks = rows.where(x.isNotNull()).join(long, "status_class").groupBy("status_class", "prob", "n").agg(F.avg((x < value).cast("int")).alias("lo"), F.avg((x <= value).cast("int")).alias("hi"))
+    slack = 2 * sk.rank_error()
+    return ranks.withColumn("within", (F.col("lo") - slack <= F.col("prob")) & (F.col("prob") <= F.col("hi") + slack))
+
+
 @query(
     "q8_interval", "series_id:s n:i total_minutes:d interval_minutes:d",
     """SELECT series_id, count(ts) AS n, (epoch(max(ts)) - epoch(min(ts))) / 60 AS total_minutes, (epoch(max(ts)) - epoch(min(ts))) / 60 / (count(ts) - 1) AS interval_minutes

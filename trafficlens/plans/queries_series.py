@@ -12,6 +12,7 @@ from trafficlens.operators.forecast import median_fill, mode_fill
 from trafficlens.operators.reports import overload_episodes, running_cost
 from trafficlens.operators.scale import halo, running
 from trafficlens.plans import views as v
+from trafficlens.plans import wide
 from trafficlens.plans.registry import query
 
 SID = ["series_id"]
@@ -451,23 +452,11 @@ def w22(spark, d):
 
 
 @query(
-    "feature_table", f"{AT} request_count_lag_24:i request_count_rolling_mean_12:d request_count_streak:d request_count_pct_of_max:d request_count_ewm_mean_5:d4 event_type:i hour:i",
-    f"""SELECT e.series_id, e.ts AS "timestamp", lag(e.y, 24) OVER w AS request_count_lag_24, avg(e.y) OVER (PARTITION BY e.series_id ORDER BY e.ts ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS request_count_rolling_mean_12,
-      k.y_streak AS request_count_streak, coalesce(e.y / nullif(max(e.y) OVER (PARTITION BY e.series_id ORDER BY e.ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS request_count_pct_of_max,
-      x.y_ewm_mean_5 AS request_count_ewm_mean_5, e.event_type, hour(e.ts) AS hour
-    FROM eventful e
-    JOIN (SELECT series_id, ts, dir * row_number() OVER (PARTITION BY series_id, run ORDER BY ts) AS y_streak FROM (
-      SELECT *, sum(changed) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS run FROM (
-        SELECT *, CASE WHEN dir IS DISTINCT FROM lag(dir) OVER w THEN 1 ELSE 0 END AS changed FROM (SELECT *, sign(y - lag(y) OVER w) AS dir FROM series {W}) {W}))) k
-      ON k.series_id = e.series_id AND k.ts = e.ts
-    JOIN ({_ewm_sql("wx / w").format("mean")}) x ON x.series_id = e.series_id AND x."timestamp" = e.ts
-    WINDOW w AS (PARTITION BY e.series_id ORDER BY e.ts)""",
-    "numbered eventful",
+    "feature_table", f"{AT} y:i " + " ".join(f"{c}:{kind}" for c, (kind, _) in wide.COLUMNS.items()),
+    'SELECT *, ts AS "timestamp" FROM wide', "wide",
 )
 def feature_table(spark, d):
-    return fe.traffic_features(
-        v.series(spark, d), SID, v.HOUR, lags=(1, 2, 24), windows=(3, 12, 24), calendar=v.calendar(spark)
-    )
+    return wide.table(spark, d)
 
 
 @query("f3_running_max", f"{AT} peak:d", f"SELECT {HEAD}, max(x) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS peak FROM sparse", "sparse")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from trafficlens.functions.calendar import day_of_week
@@ -11,56 +12,74 @@ from trafficlens.operators import models as mo
 from trafficlens.operators import profiles as pr
 from trafficlens.operators import reports as rp
 from trafficlens.operators import stats as st
+from trafficlens.operators.anomaly_ml import IsolationForestEstimator
 from trafficlens.operators.forecast import future_grid
 from trafficlens.operators.series import time_grid
 from trafficlens.plans import views as v
+from trafficlens.plans import wide
 from trafficlens.plans.registry import query
+from trafficlens.plans.sqlviews import add_views
+from trafficlens.session import cut_lineage, scratch_path
 
 SID = ["series_id"]
 AT = "series_id:s timestamp:t"
 HEAD = 'series_id, ts AS "timestamp"'
-COLS = list(v.FEATURES)
+COLS = list(wide.FEATURES)
+add_views(wide.VIEWS)
 
+R = "CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / stddev_pop({a}) / stddev_pop({b}) END"
+CORR = f"""SELECT a.f AS a, b.f AS b, {R.format(a='a.x', b='b.x')} AS r
+    FROM wide_long a JOIN wide_long b ON b.series_id = a.series_id AND b.ts = a.ts AND a.i < b.i GROUP BY 1, 2"""
+TARGET = f"SELECT f AS a, 'y' AS b, {R.format(a='x', b='y')} AS r, count(*) AS n FROM wide_long GROUP BY 1"
+FSCORE = f"SELECT a AS feature, r * r / nullif(1 - r * r, 0) * (n - 2) AS f_score FROM ({TARGET})"
+EIGHTHS = ", ".join(str(i / 8) for i in range(1, 8))
 
-def _long_sql(template: str, pairs) -> str:
-    """The template for every pair of names, as one UNION."""
-    return " UNION ALL ".join(template.format(a=a, b=b) for a, b in pairs)
 
+def _place(value: str, cuts: str) -> str:
+    return " + ".join(f"CAST({value} > {cuts}[{i}] AS INT)" for i in range(1, 8))
 
-PAIRS = [(a, b) for i, a in enumerate(COLS) for b in COLS[i + 1 :]]
-CORR = "SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM features"
-FSCORE = (
-    "SELECT feature, r * r / (1 - r * r) * (n - 2) AS f_score FROM ("
-    + _long_sql("SELECT '{a}' AS feature, corr({a}, {b}) AS r, count(*) FILTER ({a} IS NOT NULL) AS n FROM features", [(c, "y") for c in COLS])
-    + ")"
-)
-# Two stand-in scores per feature: the F score and the absolute correlation.
-SCORES = (
-    "SELECT feature, f_score, abs_r, ((f_score - min(f_score) OVER ()) / (max(f_score) OVER () - min(f_score) OVER ()) "
-    "+ (abs_r - min(abs_r) OVER ()) / (max(abs_r) OVER () - min(abs_r) OVER ())) / 2 AS combined_score FROM ("
-    "SELECT feature, r * r / (1 - r * r) * (n - 2) AS f_score, abs(r) AS abs_r FROM ("
-    + _long_sql("SELECT '{a}' AS feature, corr({a}, {b}) AS r, count(*) FILTER ({a} IS NOT NULL) AS n FROM features", [(c, "y") for c in COLS])
-    + "))"
-)
-DROPS = f"""SELECT DISTINCT CASE WHEN coalesce(sa.combined_score, 0) < coalesce(sb.combined_score, 0) THEN p.a ELSE p.b END AS feature
-    FROM ({_long_sql(CORR, PAIRS)}) p LEFT JOIN ({SCORES}) sa ON sa.feature = p.a LEFT JOIN ({SCORES}) sb ON sb.feature = p.b WHERE abs(p.r) > 0.95"""
+
+MI = f"""WITH whole AS (SELECT l.* FROM wide_long l JOIN (SELECT series_id, ts FROM wide_long GROUP BY 1, 2 HAVING count(*) = {len(COLS)}) c ON c.series_id = l.series_id AND c.ts = l.ts),
+    goal AS (SELECT quantile_cont(y, [{EIGHTHS}]) AS g FROM whole WHERE i = 0),
+    cells AS (SELECT whole.f, {_place('x', 'c')} AS bx, {_place('y', 'g')} AS bt, CAST(count(*) AS DOUBLE) AS n
+      FROM whole JOIN (SELECT f, quantile_cont(x, [{EIGHTHS}]) AS c FROM whole GROUP BY 1) q ON q.f = whole.f CROSS JOIN goal GROUP BY 1, 2, 3),
+    sums AS (SELECT f, sum(n) AS total, sum(n * ln(n)) AS j FROM cells GROUP BY 1)
+    SELECT sums.f AS feature, ln(total) + (j - l - r) / total AS mi_score FROM sums
+    JOIN (SELECT f, sum(n * ln(n)) AS l FROM (SELECT f, bx, sum(n) AS n FROM cells GROUP BY 1, 2) GROUP BY 1) a ON a.f = sums.f
+    JOIN (SELECT f, sum(n * ln(n)) AS r FROM (SELECT f, bt, sum(n) AS n FROM cells GROUP BY 1, 2) GROUP BY 1) b ON b.f = sums.f"""
+# Two scores per feature that SQL can tell: the F score and the mutual information, each between 0 and 1, averaged.
+SCORES = f"""SELECT feature, f_score, mi_score, ((f_score - min(f_score) OVER ()) / (max(f_score) OVER () - min(f_score) OVER ())
+    + (mi_score - min(mi_score) OVER ()) / (max(mi_score) OVER () - min(mi_score) OVER ())) / 2 AS combined_score
+    FROM (SELECT f.feature, f_score, mi_score FROM ({FSCORE}) f JOIN ({MI}) m ON m.feature = f.feature)"""
+DROPS = f"""SELECT DISTINCT CASE WHEN round(coalesce(sa.combined_score, 0), 9) < round(coalesce(sb.combined_score, 0), 9) THEN p.a ELSE p.b END AS feature
+    FROM ({CORR}) p LEFT JOIN ({SCORES}) sa ON sa.feature = p.a LEFT JOIN ({SCORES}) sb ON sb.feature = p.b WHERE abs(p.r) > 0.95"""
+SELECTED = f"SELECT feature, combined_score FROM ({SCORES}) WHERE feature NOT IN ({DROPS}) ORDER BY round(combined_score, 9) DESC, feature LIMIT 40"
+TRAIN_UNTIL = "2024-01-24 00:00:00"
 
 
-def _scores(spark, d):
-    f = st.f_scores(v.features(spark, d), "y", COLS)
-    return st.combine_scores(f.withColumn("abs_r", F.abs("r")), ["f_score", "abs_r"])
+def _wide(spark, d):
+    """The feature table, written once: scores, correlations and models read it several times."""
+    return cut_lineage(spark, wide.table(spark, d).select("series_id", "timestamp", "y", *COLS), "wide")
 
 
-def _drops(spark, d):
-    return st.correlated_drops(st.correlations(v.features(spark, d), COLS), _scores(spark, d))
+def _scores(rows):
+    f = st.f_scores(rows, "y", COLS).select("feature", "f_score")
+    return st.combine_scores(f.join(st.mutual_information(rows, "y", COLS), "feature"), ["f_score", "mi_score"])
+
+
+def _scored(spark, d):
+    """(feature table, scores, features dropped for a close relative); scores are written, as three steps read them."""
+    rows = _wide(spark, d)
+    scores = cut_lineage(spark, _scores(rows), "scores")
+    return rows, scores, st.correlated_drops(st.correlations(rows, COLS), scores)
 
 
 @query(
     "j1_join_scores", "feature:s f_score:d4 r:d",
-    f"SELECT f.feature, f.f_score, c.r FROM ({FSCORE}) f JOIN ({_long_sql(CORR, [(c, 'y') for c in COLS])}) c ON c.a = f.feature", "features",
+    f"SELECT f.feature, f.f_score, c.r FROM ({FSCORE}) f JOIN ({TARGET}) c ON c.a = f.feature", "wide_long",
 )
 def j1(spark, d):
-    rows = v.features(spark, d)
+    rows = _wide(spark, d)
     f = st.f_scores(rows, "y", COLS).select("feature", "f_score")
     c = st.target_correlations(rows, "y", COLS).select(F.col("a").alias("feature"), "r")
     return f.join(c, "feature")
@@ -84,9 +103,10 @@ def j3(spark, d):
     return fe.event_features(v.series(spark, d), v.calendar(spark))
 
 
-@query("j5_anti_filter", "feature:s combined_score:d", f"SELECT feature, combined_score FROM ({SCORES}) WHERE feature NOT IN ({DROPS})", "features")
+@query("j5_anti_filter", "feature:s combined_score:d", f"SELECT feature, combined_score FROM ({SCORES}) WHERE feature NOT IN ({DROPS})", "wide_long")
 def j5(spark, d):
-    return _scores(spark, d).join(_drops(spark, d), "feature", "left_anti")
+    _, scores, drops = _scored(spark, d)
+    return scores.join(drops, "feature", "left_anti")
 
 
 @query(
@@ -150,14 +170,14 @@ def l2(spark, d):
     return v.table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(100).limit(50)
 
 
-@query("t1_correlations", "a:s b:s r:d", _long_sql(CORR, PAIRS), "features")
+@query("t1_correlations", "a:s b:s r:d", CORR, "wide_long")
 def t1(spark, d):
-    return st.correlations(v.features(spark, d), COLS)
+    return st.correlations(_wide(spark, d), COLS)
 
 
-@query("t1_with_target", "a:s b:s r:d", _long_sql(CORR, [(c, "y") for c in COLS]), "features")
+@query("t1_with_target", "a:s b:s r:d", TARGET, "wide_long")
 def t1_target(spark, d):
-    return st.target_correlations(v.features(spark, d), "y", COLS)
+    return st.target_correlations(_wide(spark, d), "y", COLS)
 
 
 def _t_sql(flag: str) -> str:
@@ -221,6 +241,11 @@ def t7(spark, d):
     return st.unit_root(v.series(spark, d), v.HOUR, 4)
 
 
+@query("t7_unit_root_by_aic", "series_id:s used_lag:i aic:d4 n_obs:i adf:d4 stationary_5pct:b")
+def t7_aic(spark, d):
+    return st.unit_root_by_aic(v.series(spark, d), v.HOUR, 24)
+
+
 def _acf_sql(source: str) -> str:
     return f"""SELECT series_id, 0 AS lag, 1.0 AS acf FROM {source} GROUP BY 1 UNION ALL
       SELECT a.series_id, b.place - a.place AS lag, sum((a.y - a.m) * (b.y - b.m)) / max(a.ss) AS acf
@@ -263,47 +288,87 @@ def t10(spark, d):
     return st.decompose(v.series(spark, d), v.HOUR, 24, chunk_rows=v.SHORT_CHUNK)
 
 
-@query("t11_f_scores", "feature:s f_score:d4", FSCORE, "features")
+@query("t11_f_scores", "feature:s f_score:d4", FSCORE, "wide_long")
 def t11(spark, d):
-    return st.f_scores(v.features(spark, d), "y", COLS)
+    return st.f_scores(_wide(spark, d), "y", COLS)
 
 
-@query("t12_mutual_information", "feature:s mi_score:d")
+@query("t12_mutual_information", "feature:s mi_score:d", MI, "wide_long")
 def t12(spark, d):
-    return st.mutual_information(v.features(spark, d), "y", COLS)
+    return st.mutual_information(_wide(spark, d), "y", COLS)
+
+
+def _importance(rows):
+    return mo.fit_forest(rows.dropna(), COLS, trees=100, depth=10).importance(rows)
 
 
 @query("t13_forest_importance", "feature:s importance:d")
 def t13(spark, d):
-    rows, names = mo.training_table(v.series(spark, d), v.HOUR)
-    return mo.fit_forest(rows, names, trees=10, depth=5).importance(rows)
+    return _importance(_wide(spark, d))
 
 
-@query("t14_combined_scores", "feature:s f_score:d4 abs_r:d combined_score:d", SCORES, "features")
+@query("t14_combined_scores", "feature:s f_score:d4 mi_score:d combined_score:d", SCORES, "wide_long")
 def t14(spark, d):
-    return _scores(spark, d)
+    return _scores(_wide(spark, d))
+
+
+@query("t14_three_scores", "feature:s f_score:d4 mi_score:d importance:d combined_score:d")
+def t14_three(spark, d):
+    rows = _wide(spark, d)
+    two = _scores(rows).select("feature", "f_score", "mi_score")
+    return st.combine_scores(two.join(_importance(rows), "feature"), ["f_score", "mi_score", "importance"])
 
 
-@query("t15_correlated_drops", "feature:s", DROPS, "features")
+@query("t15_correlated_drops", "feature:s", DROPS, "wide_long")
 def t15(spark, d):
-    return _drops(spark, d)
+    return _scored(spark, d)[2]
 
 
-@query("t16_selected", "feature:s combined_score:d", f"SELECT feature, combined_score FROM ({SCORES}) WHERE feature NOT IN ({DROPS}) ORDER BY combined_score DESC, feature LIMIT 3", "features")
+@query("t16_selected", "feature:s combined_score:d", SELECTED, "wide_long")
 def t16(spark, d):
-    return st.select_top(_scores(spark, d), _drops(spark, d), 3)
+    _, scores, drops = _scored(spark, d)
+    return st.select_top(scores, drops, 40)
+
+
+@query(
+    "t16_projected_tables", "part:s feature:s n:i n_null:i total:d4",
+    f"""SELECT part, s.feature, count(x) AS n, count(*) - count(x) AS n_null, sum(x) AS total FROM ({SELECTED}) s
+    JOIN (SELECT k.part, k.f, l.x FROM (SELECT w.series_id, w.ts, CASE WHEN w.ts < TIMESTAMP '{TRAIN_UNTIL}' THEN 'train' ELSE 'test' END AS part, c.f FROM series w CROSS JOIN (SELECT DISTINCT f FROM wide_long) c) k
+      LEFT JOIN wide_long l ON l.series_id = k.series_id AND l.ts = k.ts AND l.f = k.f) r ON r.f = s.feature GROUP BY 1, 2""",
+    "wide_long series",
+)
+def t16_tables(spark, d):
+    """The two written tables, read back: for every column of each, its known and null rows and its sum."""
+    rows, scores, drops = _scored(spark, d)
+    train = F.col("timestamp") < F.lit(TRAIN_UNTIL).cast("timestamp_ntz")
+    tables = st.project_selected(rows, st.select_top(scores, drops, 40), train, scratch_path(spark, "selected"), ["series_id", "timestamp", "y"])
+    out = None
+    for part, table in zip(("train", "test"), tables, strict=True):
+        names = [c for c in table.columns if c not in ("series_id", "timestamp", "y")]
+        cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in names])
+        long = table.select(F.inline(cells)).groupBy("feature").agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("n_null"), F.sum("x").alias("total"))
+        long = long.withColumn("part", F.lit(part))
+        out = long if out is None else out.unionByName(long)
+    return out
 
 
 CATEGORY = """CASE WHEN regexp_matches(feature, 'lag_|diff_|pct_change') THEN 'Lag' WHEN regexp_matches(feature, 'rolling_|ewm_') THEN 'Rolling'
-    WHEN regexp_matches(feature, 'spike|trend|velocity|momentum|bb_|cv|direction') THEN 'Advanced' WHEN feature IN ('hour', 'day_of_week', 'day', 'month', 'minute') THEN 'Time' ELSE 'Aggregation' END"""
+    WHEN regexp_matches(feature, 'spike|trend|velocity|momentum|bb_|cv|direction') THEN 'Advanced'
+    WHEN feature IN ('hour', 'day_of_week', 'is_weekend', 'is_business_hour', 'is_peak_hour', 'hour_sin', 'hour_cos', 'dow_sin', 'dow_cos', 'day', 'month', 'minute') THEN 'Time' ELSE 'Aggregation' END"""
 
 
-@query("t17_score_by_category", "category:s total:d4", f"SELECT {CATEGORY} AS category, sum(f_score) AS total FROM ({FSCORE}) GROUP BY 1", "features")
+@query("t17_score_by_category", "category:s total:d4", f"SELECT {CATEGORY} AS category, sum(f_score) AS total FROM ({FSCORE}) GROUP BY 1", "wide_long")
 def t17(spark, d):
-    scores = st.f_scores(v.features(spark, d), "y", COLS)
+    scores = st.f_scores(_wide(spark, d), "y", COLS)
     return scores.groupBy(st.feature_category(F.col("feature")).alias("category")).agg(F.sum("f_score").alias("total"))
 
 
+@query("t17_importance_by_category", "category:s importance:d")
+def t17_importance(spark, d):
+    scores = _importance(_wide(spark, d))
+    return scores.groupBy(st.feature_category(F.col("feature")).alias("category")).agg(F.sum("importance").alias("importance"))
+
+
 @query(
     "t18_event_impact", "series_id:s event_name:s event_type:i event_impact:s avg_traffic:d max_traffic:i min_traffic:i periods:i",
     """SELECT series_id, event_name, event_type, event_impact, avg(y) AS avg_traffic, max(y) AS max_traffic, min(y) AS min_traffic, count(*) AS periods
@@ -348,8 +413,8 @@ def x1(spark, d):
 
 @query("x2_isolation_forest", "series_id:s timestamp:t anomaly_score_ml:d is_anomaly_ml:i")
 def x2(spark, d):
-    rows = v.features(spark, d)
-    return an.IsolationForest(["y", "lag_1", "mean_24"], ["series_id", "timestamp"]).fit(rows).transform(rows)
+    rows = _wide(spark, d)
+    return an.IsolationForest(["y", *COLS], ["series_id", "timestamp"]).fit(rows).transform(rows)
 
 
 @query("x3_anomaly_points", f"{AT} y:i", f"SELECT {HEAD}, y FROM marked WHERE is_anomaly_ml = 1", "marked")
@@ -365,9 +430,11 @@ def x4(spark, d):
 
 @query("x5_fit_and_score", "part:s n:i anomalies:i")
 def x5(spark, d):
-    rows = v.features(spark, d).withColumn("part", F.when(F.col("timestamp") < F.lit("2024-01-24 00:00:00").cast("timestamp_ntz"), "train").otherwise("test"))
-    model = an.IsolationForest(["y", "lag_1", "mean_24"], ["series_id", "timestamp"]).fit(rows.where(F.col("part") == "train"))
-    return model.transform(rows).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("is_anomaly_ml").alias("anomalies"))
+    rows = _wide(spark, d).withColumn("part", F.when(F.col("timestamp") < F.lit(TRAIN_UNTIL).cast("timestamp_ntz"), "train").otherwise("test"))
+    learner = IsolationForestEstimator(inputCols=["y", *COLS], idCols=["series_id", "timestamp"])
+    path = scratch_path(spark, "forest-pipeline")
+    Pipeline(stages=[learner]).fit(rows.where(F.col("part") == "train")).write().save(path)
+    return PipelineModel.load(path).transform(rows).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("is_anomaly_ml").alias("anomalies"))
 
 
 @query("a10_hour_by_weekpart", "series_id:s is_weekend:i hour:i mean:d", "SELECT series_id, CAST(isodow(ts) >= 6 AS INT) AS is_weekend, hour(ts) AS hour, avg(y) AS mean FROM series GROUP BY 1, 2, 3", "series")

@@ -201,6 +201,10 @@ def config_rows(configs: dict[str, ScalingConfig], extra: str = "") -> str:
     return f"SELECT * FROM (VALUES {rows}) t({', '.join(names)}){extra}"
 
 
+def add_views(more: dict[str, tuple[str, str]]) -> None:
+    VIEWS.update(more)
+
+
 def with_views(names) -> str:
     """WITH clause of the named views and everything they need."""
     order: list[str] = []
