@@ -58,8 +58,12 @@ TRAIN_UNTIL = "2024-01-24 00:00:00"
 
 
 def _wide(spark, d):
-    """The feature table, written once: scores, correlations and models read it several times."""
-    return cut_lineage(spark, wide.table(spark, d).select("series_id", "timestamp", "y", *COLS), "wide")
+    """The feature table, written once: scores, correlations and models read it several times.
+
+    Values are rounded to 6 places: equal ones that differ in their last bits would fall on different sides of a bin's edge.
+    """
+    values = [F.round(F.col(c).cast("double"), 6).alias(c) for c in COLS]
+    return cut_lineage(spark, wide.table(spark, d).select("series_id", "timestamp", "y", *values), "wide")
 
 
 def _scores(rows):

@@ -104,7 +104,7 @@ TABLE_SQL = (
 #: The table in long form without nulls: (series_id, ts, y, i, f, x), i being the place of column f.
 LONG_SQL = (
     f"SELECT * FROM (SELECT series_id, ts, CAST(y AS DOUBLE) AS y, unnest(range({len(FEATURES)})) AS i, unnest([{', '.join(f'{chr(39)}{c}{chr(39)}' for c in FEATURES)}]) AS f, "
-    f"unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in FEATURES)}]) AS x FROM wide) WHERE x IS NOT NULL"
+    f"unnest([{', '.join(f'round(CAST({c} AS DOUBLE), 6)' for c in FEATURES)}]) AS x FROM wide) WHERE x IS NOT NULL"
 )
 
 VIEWS = {"wide": ("eventful numbered marked series", TABLE_SQL), "wide_long": ("wide", LONG_SQL)}
