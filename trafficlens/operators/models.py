@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.functions import calendar as cal
@@ -103,20 +106,36 @@ def rolling_origin(df: DataFrame, fold: int, folds: int, gap: int) -> DataFrame:
     return df.withColumn("part", part).where(F.col("part").isNotNull())
 
 
-def cross_validate(
-    df: DataFrame, features: list[str], step_seconds: int, folds: int = 5, gap: int = 12, keys: Sequence[str] = SID, y: str = "y",
-    params: dict | None = None, use: Sequence[int] | None = None,
+FITS_AT_ONCE = 4
+
+
+def _fold_predictions(
+    df: DataFrame, features: list[str], step_seconds: int, runs: Sequence[tuple[str, dict]], folds: int, gap: int, keys: Sequence[str], y: str,
+    use: Sequence[int] | None, parallelism: int,
 ) -> DataFrame:
-    """Error per fold. One fit per fold; every fit is itself a distributed job."""
+    """Validation rows with (params, fold, y, yhat) of every run and fold; fits run side by side, each a distributed job."""
     placed = with_place(df, step_seconds, keys)
-    out = None
-    for fold in use if use is not None else range(folds):
+    tasks = [(label, params, fold) for label, params in runs for fold in (use if use is not None else range(folds))]
+
+    def predict(task: tuple[str, dict, int]) -> DataFrame:
+        label, params, fold = task
         rows = rolling_origin(placed, fold, folds, gap)
         model = fit_boosted(rows.where(F.col("part") == "train"), features, y, params=params)
-        scored = model.predict(rows.where(F.col("part") == "validation")).withColumn("fold", F.lit(fold))
-        part = metrics(scored.select("fold", y, "yhat"), ("fold",), y)
-        out = part if out is None else out.unionByName(part)
-    return out
+        scored = model.predict(rows.where(F.col("part") == "validation"))
+        return scored.select(F.lit(label).alias("params"), F.lit(fold).alias("fold"), y, "yhat")
+
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(predict), tasks)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cross_validate(
+    df: DataFrame, features: list[str], step_seconds: int, folds: int = 5, gap: int = 12, keys: Sequence[str] = SID, y: str = "y",
+    params: dict | None = None, use: Sequence[int] | None = None, parallelism: int = FITS_AT_ONCE,
+) -> DataFrame:
+    """Error per fold: the folds are a column, their models are fitted ``parallelism`` at a time."""
+    found = _fold_predictions(df, features, step_seconds, [("", params or {})], folds, gap, keys, y, use, parallelism)
+    return metrics(found, ("fold",), y)
 
 
 def summarize_folds(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -128,21 +147,20 @@ def summarize_folds(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def search(
     df: DataFrame, features: list[str], step_seconds: int, grid: dict[str, Sequence], folds: int = 5, gap: int = 12,
-    use: Sequence[int] | None = None, keys: Sequence[str] = SID, y: str = "y",
+    use: Sequence[int] | None = None, keys: Sequence[str] = SID, y: str = "y", parallelism: int = FITS_AT_ONCE,
 ) -> DataFrame:
-    """Mean error over the folds for every combination of the grid, best first by rank."""
+    """Mean and deviation of the errors over the folds for every combination of the grid, with its ``place`` by mean RMSE."""
     learner = GBTRegressor()
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(getattr(learner, name), list(values))
-    out = None
+    runs = []
     for combo in builder.build():
         params = {p.name: v for p, v in combo.items()}
-        label = ",".join(f"{k}={v}" for k, v in sorted(params.items()))
-        scores = cross_validate(df, features, step_seconds, folds, gap, keys, y, params, use)
-        part = summarize_folds(scores).withColumn("params", F.lit(label))
-        out = part if out is None else out.unionByName(part)
-    return out
+        runs.append((",".join(f"{k}={v}" for k, v in sorted(params.items())), params))
+    found = _fold_predictions(df, features, step_seconds, runs, folds, gap, keys, y, use, parallelism)
+    scores = summarize_folds(metrics(found, ("params", "fold"), y), ("params",))
+    return scores.withColumn("place", F.row_number().over(Window.orderBy("rmse_mean", "params")))  # a row per combination
 
 
 @dataclass(frozen=True)

@@ -250,17 +250,17 @@ def c19(spark, d):
 
 
 @query(
-    "c20_cost_projection", "series_id:s config_id:s cost_7d:d4 cost_14d:d4 total_cost:d4",
-    f"""SELECT series_id, config_id, sum(cost) FILTER (step < 168) AS cost_7d, sum(cost) FILTER (step < 336) AS cost_14d, sum(cost) AS total_cost FROM (
+    "c20_cost_projection", "series_id:s config_id:s cost_7d:d4 cost_14d:d4 cost_30d:d4 total_cost:d4",
+    f"""SELECT series_id, config_id, sum(cost) FILTER (step < 168) AS cost_7d, sum(cost) FILTER (step < 336) AS cost_14d, sum(cost) FILTER (step < 720) AS cost_30d, sum(cost) AS total_cost FROM (
       SELECT series_id, config_id, step, ({NEED.format("yhat")}) * cost_per_server_per_hour * time_window_minutes / 60 AS cost FROM (
         SELECT f.series_id, f.step, greatest(0, m * (1 + 0.01 * step + 0.1 * ((step % 12) - 6) / 6)) * 100 AS yhat
-        FROM (SELECT series_id, unnest(range(400)) AS step FROM series GROUP BY 1) f JOIN (SELECT series_id, avg(y) AS m FROM numbered WHERE back <= 12 GROUP BY 1) r ON r.series_id = f.series_id)
+        FROM (SELECT series_id, unnest(range(800)) AS step FROM series GROUP BY 1) f JOIN (SELECT series_id, avg(y) AS m FROM numbered WHERE back <= 12 GROUP BY 1) r ON r.series_id = f.series_id)
       CROSS JOIN configs) GROUP BY 1, 2""",
     "numbered configs",
 )
 def c20(spark, d):
-    ahead = fc.moving_average(v.series(spark, d), 400, v.HOUR).withColumn("yhat", F.col("yhat") * 100)
-    return rp.cost_projection(ahead, CONFIGS, 24, (7, 14))
+    ahead = fc.moving_average(v.series(spark, d), 800, v.HOUR).withColumn("yhat", F.col("yhat") * 100)
+    return rp.cost_projection(ahead, CONFIGS, 24, (7, 14, 30))
 
 
 @query(

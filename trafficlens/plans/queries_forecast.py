@@ -100,14 +100,14 @@ def _train(spark, d):
 @query("m7_boosted_trees", "split:s rmse:d mae:d mape:d r2:d")
 def m7(spark, d):
     rows, names = _train(spark, d)
-    model = mo.fit_boosted(rows, names, validation="validation", params={"maxIter": 10, "maxDepth": 4})
+    model = mo.fit_boosted(rows, names, validation="validation")
     return fc.metrics(model.predict(rows), ("split",))
 
 
 @query("m7_importance", "feature:s importance:d")
 def m7_importance(spark, d):
     rows, names = _train(spark, d)
-    return mo.fit_boosted(rows.where(F.col("split") == "train"), names, params={"maxIter": 5, "maxDepth": 4}).importance(rows)
+    return mo.fit_boosted(rows.where(F.col("split") == "train"), names).importance(rows)
 
 
 @query("m8_seasonal_model", f"{AT} y:i trend:d weekly:d daily:d yhat:d")
@@ -130,13 +130,19 @@ def m9(spark, d):
 @query("m10_rolling_origin_cv", "fold:i rmse:d mae:d mape:d")
 def m10(spark, d):
     rows, names = mo.training_table(v.series(spark, d), v.HOUR)
-    return mo.cross_validate(rows, names, v.HOUR, folds=5, gap=12, params={"maxIter": 3, "maxDepth": 3})
+    return mo.cross_validate(rows, names, v.HOUR, folds=5, gap=12)
 
 
-@query("m11_parameter_search", "params:s rmse_mean:d rmse_std:d mae_mean:d")
+@query("m10_cv_summary", "rmse_mean:d rmse_std:d mae_mean:d mae_std:d mape_mean:d mape_std:d")
+def m10_summary(spark, d):
+    rows, names = mo.training_table(v.series(spark, d), v.HOUR)
+    return mo.summarize_folds(mo.cross_validate(rows, names, v.HOUR, folds=5, gap=12))
+
+
+@query("m11_parameter_search", "params:s place:i rmse_mean:d rmse_std:d mae_mean:d mae_std:d mape_mean:d mape_std:d")
 def m11(spark, d):
     rows, names = mo.training_table(v.series(spark, d), v.HOUR)
-    return mo.search(rows, names, v.HOUR, {"maxDepth": [2, 3], "maxIter": [3]}, folds=3, gap=12)
+    return mo.search(rows, names, v.HOUR, {"maxDepth": [3, 5], "maxIter": [10, 20]}, folds=5, gap=12)
 
 
 @query(
@@ -187,11 +193,11 @@ def m16(spark, d):
 @query(
     "m16_residual_histogram", "model:s bin:i n:i",
     """SELECT model, least(49, floor((resid - lo) * 50 / (hi - lo))) AS bin, count(*) AS n FROM (
-      SELECT *, min(resid) OVER (PARTITION BY model) AS lo, max(resid) OVER (PARTITION BY model) AS hi FROM (SELECT model, CAST(y - yhat AS DOUBLE) AS resid FROM predictions WHERE model = 'seasonal')) GROUP BY 1, 2""",
+      SELECT *, min(resid) OVER (PARTITION BY model) AS lo, max(resid) OVER (PARTITION BY model) AS hi FROM (SELECT model, CAST(y - yhat AS DOUBLE) AS resid FROM predictions)) GROUP BY 1, 2""",
     "predictions",
 )
 def m16_histogram(spark, d):
-    rows = v.predictions(spark, d).where(F.col("model") == "seasonal").withColumn("resid", F.col("y") - F.col("yhat"))
+    rows = v.predictions(spark, d).withColumn("resid", F.col("y") - F.col("yhat"))
     return pr.histogram(rows, "resid", 50, ["model"])
 
 
@@ -244,7 +250,7 @@ def m18(spark, d):
 def m19(spark, d):
     rows, names = _train(spark, d)
     path = scratch_path(spark, "model")
-    mo.fit_boosted(rows.where(F.col("split") == "train"), names, params={"maxIter": 3, "maxDepth": 3}).save(path)
+    mo.fit_boosted(rows.where(F.col("split") == "train"), names).save(path)
     return mo.load_boosted(path, names).predict(rows.where(F.col("split") == "validation"))
 
 

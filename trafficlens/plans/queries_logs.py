@@ -41,12 +41,12 @@ def s2(spark, d):
     return lg.read_log(spark, _log_file(spark, d))
 
 
-@query("s4_csv_loads", "timestamp:t load:d", 'SELECT ts AS "timestamp", load FROM loads WHERE series_id = \'all\'', "loads")
+@query("s4_csv_loads", "series_id:s timestamp:t load:d", 'SELECT series_id, ts AS "timestamp", load FROM loads', "loads")
 def s4(spark, d):
     path = scratch_path(spark, "loads-csv")
-    rows = v.loads(spark, d).where(F.col("series_id") == "all")
-    rows.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "load").write.option("header", True).csv(path)
-    return ld.read_csv_loads(spark, path)
+    stamp = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp")
+    v.loads(spark, d).select("series_id", stamp, "load").write.option("header", True).csv(path)
+    return ld.read_csv_loads(spark, path, keep=["series_id"])
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,11 @@ def dense_numbers(lines: DataFrame, name: str) -> DataFrame:
     return numbered.join(splits, spot).withColumn(name, F.col("__before") + F.col("__id") - F.col("__first")).drop(*spot, "__id", "__first", "__before")
 
 
-def read_csv_loads(spark: SparkSession, path: str, load: str | None = None, ts: str | None = None) -> DataFrame:
-    """Loads of a CSV file with a header; the load column is the given one, ``load`` or ``request_count``."""
+def read_csv_loads(spark: SparkSession, path: str, load: str | None = None, ts: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Loads of a CSV file with a header; the load column is the given one, ``load`` or ``request_count``.
+
+    ``keep`` names further columns of the file to pass on, such as the one that tells series apart.
+    """
     raw = spark.read.option("header", True).csv(path)
     if not raw.columns:
         raise ValueError("the file is empty")
@@ -41,7 +45,7 @@ def read_csv_loads(spark: SparkSession, path: str, load: str | None = None, ts:
     ts = ts or ("timestamp" if "timestamp" in raw.columns else None)
     stamp = F.try_to_timestamp(F.col(ts)).cast("timestamp_ntz") if ts else F.lit(None).cast("timestamp_ntz")
     return dense_numbers(raw, "period").select(
-        "period", stamp.alias("timestamp"),
+        *keep, "period", stamp.alias("timestamp"),
         clean_load(F.col(chosen).try_cast("double")).alias("load"),
     )
 
