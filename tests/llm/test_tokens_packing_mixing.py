@@ -1,7 +1,6 @@
 """Token files, packing and mixing against plain Python."""
 
 import glob
-
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trafficlens.llm import mixing, packing, token_files, tokens
+from trafficlens.llm.common import located
 
 TRICKY = [
     "Été l'école <|endoftext|>x don't you'LL 12 ab12 \x1cfoo bar \x85 İstanbul ΣΑΣ ﬁ éa '' -- #tag… “q” naïve\tTab\r\nx_y  z",
@@ -153,7 +153,11 @@ def test_schedule_takes_targets_to_a_word(spark, frame, odd):
 def test_mix_repeats_whole_documents_in_slot_order(spark, frame):
     rows = [(i, f"d{i} " + "w " * (i % 11) + "end", "en", "ab"[i % 2]) for i in range(40)]
     _, docs = frame(rows)
-    table, slots = mixing.schedule(docs, ["doc_id"], mixing.word_count(F.col("text")), "source", block=16)
+    landed = located(docs, "mix-test")
+    spot = ["__in_file", "__in_row"]  # the order of a source's documents follows a hash of the key: the same one as in mix
+    table, slots = (
+        t.join(landed.select(*spot, "doc_id"), spot) for t in mixing.schedule(landed, spot, mixing.word_count(F.col("text")), "source", block=16)
+    )
     made = mixing.mix(docs, block=16)
     assert made.columns == docs.columns
     got = made.collect()
@@ -166,7 +170,7 @@ def test_mix_repeats_whole_documents_in_slot_order(spark, frame):
     assert len(partly) <= 2  # one per source
     # inside every partition copies come in the order of the slots that start them
     starts = defaultdict(list)
-    for r in sorted(slots.where("word = 0").collect()):
+    for r in sorted(slots.where("word = 0").collect(), key=lambda r: r.slot):
         starts[r.doc_id].append(r.slot)
     at = made.select("doc_id", F.spark_partition_id().alias("p")).collect()
     seen, order = Counter(), defaultdict(list)

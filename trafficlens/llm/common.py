@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,22 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame, label: str, file_col: str = "__in_file", row_col: str = "__in_row") -> DataFrame:
+    """The rows with the file and place they stand in, which tell all of them apart, repeated ones too.
+
+    Rows read from files have this at hand; others are written first.
+    """
+
+    def with_spot(frame: DataFrame) -> DataFrame:
+        spot = frame.metadataColumn("_metadata")
+        return frame.select("*", spot.getField("file_path").alias(file_col), spot.getField("row_index").alias(row_col))
+
+    try:
+        return with_spot(docs)
+    except AnalysisException:  # no rows of files
+        return with_spot(saved(docs, label))
+
+
 def with_made(rows: DataFrame, needs: Sequence[str], start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], made: str, drop: Sequence[str] = ()) -> DataFrame:
     """Add the columns ``made`` (names and types), computed in Python from the columns ``needs``; those of ``drop`` go.
 

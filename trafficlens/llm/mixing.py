@@ -18,7 +18,6 @@ own; repeated rows count each; an empty table gives no rows; extra columns pass
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,8 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import PART, ROW, in_order, saved, with_prefix
-from trafficlens.session import scratch_path
+from trafficlens.llm.common import PART, ROW, in_order, located, saved, with_prefix
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = (5**0.5 - 1) / 2
@@ -189,11 +187,8 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", **k
     target: it comes if at least half of its words are. Copies are dealt by document; in each of the files or partitions
     that result they stand by the slot in which the schedule starts them, so each is a share of the mix in its order.
     """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "mix-landing")
-    docs.write.parquet(path)
     key = ["__in_file", "__in_row"]
-    landed = spark.read.schema(docs.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("__in_file"), F.col("_metadata.row_index").alias("__in_row"))
+    landed = located(docs, "mix-landing")
     rows, slots = schedule(landed, key, word_count(F.col(text_col)), source_col, **kw)
     copies = rows.where("taken > 0").select(*key, F.round(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
     begun = slots.where("word = 0").groupBy(*key).agg(F.sort_array(F.collect_list("slot")).alias("__slots"))  # two starts at most
