@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.llm import chosen_path, language, mixing, packing, stream_dedup
-from trafficlens.llm.common import hold_out, saved
-from trafficlens.session import prepare, scratch_path
+from trafficlens.llm.common import hold_out, located, saved
+from trafficlens.session import prepare
 
 LEAST_LANGUAGE_SCORE = 0.5
 
@@ -32,13 +32,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more), the document with the smallest identifier."""
     prepare(spark)
-    path = scratch_path(spark, "near-landing")
-    docs.write.parquet(path)
-    spot = {"__in_file": F.col("_metadata.file_path"), "__in_row": F.col("_metadata.row_index")}
-    landed = spark.read.schema(docs.schema).parquet(path).select("*", *[c.alias(n) for n, c in spot.items()])
+    spot = ["__in_file", "__in_row"]
+    landed = located(docs, "near-landing")
     classes = chosen_path.similarity_classes(landed, ["doc_id", *spot])
     first = classes.where(F.col("id").eqNullSafe(F.col("class_id"))).select(*[F.col(f"id.{c}").alias(c) for c in spot])
-    return landed.join(first, list(spot), "left_semi").select(*docs.columns)
+    return landed.join(first, spot, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
