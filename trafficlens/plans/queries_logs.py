@@ -411,20 +411,20 @@ def q7_frequent(spark, d):
 
 
 @query(
-    "z4_sketch_rollup", "status_class:s prob:d n:i within:b",
-    "SELECT status_class, unnest([0.25, 0.5, 0.75, 0.95]) AS prob, count(bytes) AS n, true AS within FROM fixed WHERE bytes IS NOT NULL GROUP BY status_class",
+    "z4_sketch_rollup", "status_category:s prob:d n:i within:b",
+    "SELECT status_category, unnest([0.25, 0.5, 0.75, 0.95]) AS prob, count(bytes) AS n, true AS within FROM fixed WHERE bytes IS NOT NULL AND status_category IS NOT NULL GROUP BY status_category",
     "fixed",
 )
 def z4_sketches(spark, d):
     """Quantiles from hourly sketches that were written and merged; ``within``: twice the rank error around the exact ranks."""
     probs = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
-    rows = v.fixed(spark, d).select("status_class", F.col("bytes").cast("double").alias("x"), F.date_trunc("hour", "timestamp").alias("hour"))
-    hourly = cut_lineage(spark, sk.quantile_sketches(rows, ["status_class", "hour"], "x"), "hour-sketches")
-    found = sk.sketch_quantiles(sk.merge_quantile_sketches(hourly, ["status_class"]), ["status_class"], probs)
+    rows = v.fixed(spark, d).where(F.col("status_category").isNotNull()).select("status_category", F.col("bytes").cast("double").alias("x"), F.date_trunc("hour", "timestamp").alias("hour"))
+    hourly = cut_lineage(spark, sk.quantile_sketches(rows, ["status_category", "hour"], "x"), "hour-sketches")
+    found = sk.sketch_quantiles(sk.merge_quantile_sketches(hourly, ["status_category"]), ["status_category"], probs)
     pairs = F.array(*[F.struct(F.lit(p).alias("prob"), F.col(c).alias("value")) for c, p in probs.items()])
-    long = found.select("status_class", "n", F.inline(pairs))
+    long = found.select("status_category", "n", F.inline(pairs))
     x, value = F.col("x"), F.col("value")
-    ranks = rows.where(x.isNotNull()).join(long, "status_class").groupBy("status_class", "prob", "n").agg(F.avg((x < value).cast("int")).alias("lo"), F.avg((x <= value).cast("int")).alias("hi"))
+    ranks = rows.where(x.isNotNull()).join(long, "status_category").groupBy("status_category", "prob", "n").agg(F.avg((x < value).cast("int")).alias("lo"), F.avg((x <= value).cast("int")).alias("hi"))
     slack = 2 * sk.rank_error()
     return ranks.withColumn("within", (F.col("lo") - slack <= F.col("prob")) & (F.col("prob") <= F.col("hi") + slack))
 
