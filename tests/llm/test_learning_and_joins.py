@@ -205,7 +205,53 @@ def test_surrogates_keep_form_and_stay_distinct():
     assert surrogates.luhn(surrogates.formed_surrogate(KEY, "card", "4539148803436467"))
     for size in (2, 7, 1000):
         assert sorted(surrogates.permuted(KEY, "t", i, size) for i in range(size)) == list(range(size))
-    assert len({surrogates.spelled("given-latin-f", 3, r) for r in range(900)}) == 900
+
+
+SCRIPTS = {"latin": ("abcdefghijklmnopqrstuvwxyz", "éüß"), "cyrillic": ("абвгдежзийклмнопрстуфхц", "іў"), "greek": ("αβγδεζηθικλμνξοπρστ", "άί")}
+
+
+@pytest.mark.parametrize("pool", [f"{k}-{s}" for s in SCRIPTS for k in ("surname", "given")])
+def test_names_are_told_apart_and_never_stay(pool):
+    """All words of up to three letters, longer and odd ones: as many surrogates as names, each of the name's form."""
+    kind, script = pool.split("-")
+    usual, rarer = SCRIPTS[script]
+    short = ["".join(c) for k in (1, 2) for c in itertools.product(usual + rarer, repeat=k)] + ["".join(c) for c in itertools.product(usual, repeat=3)]
+    rng = random.Random(4)
+    long = ["".join(rng.choices(usual + rarer, k=rng.randint(4, 20))) for _ in range(3000)]
+    odd = [f"{a.title()}{j}{b.title()}" for a, b in zip(long[:300], long[300:600], strict=True) for j in ("-", "'", "")] + ["Ab漢c", "Ab漢d"]
+    known = [n for n in surrogates.GENDER if surrogates.script_of(n) == script]
+    names = {n[0].upper() + n[1:] if len(n[0].upper()) == 1 else n for n in short + long} | set(odd) | set(known)
+    for gender in ("f", "m") if kind == "given" else ("",):
+        new = {n: surrogates.name_surrogate(KEY, f"{pool}-{gender}".rstrip("-"), n) for n in names}
+        assert len(set(new.values())) == len(names)
+        for n, m in new.items():
+            assert n != m and n[0].isupper() == m[0].isupper() and re.sub(r"\w", "", n) == re.sub(r"\w", "", m)
+        if kind == "given":
+            mine = {n for n in known if surrogates.GENDER[n] == gender}
+            assert {new[n] for n in mine} == mine and not mine & {m for n, m in new.items() if n not in mine}
+
+
+def test_syllables_tell_numbers_apart():
+    for (script, gender), _ in surrogates.ENDS.items():
+        words = [surrogates.spelled(script, gender, r, i) for r in range(3) for i in range(20000)]
+        assert len(set(words)) == len(words)
+
+
+def test_surrogates_of_a_growing_table_stay(spark, frame):
+    texts = ["Mr. Hughes called", "Ms. Maria Hughes", "Anna Miller's dog met Mrs. Miller", "Anna Miller’s dog", "Dr. O'Brien and Mr. McDonald", "Mr. James Q"]
+    _, small = frame([(i, t) for i, t in enumerate(texts)], "small")
+    _, large = frame([(i, t) for i, t in enumerate(texts)] + [(100 + i, f"Herr {chr(65 + i % 26)}{chr(97 + i // 26)}mann") for i in range(400)], "large")
+    before = {r.doc_id: r.text for r in surrogates.replace(small, KEY).collect()}
+    after = {r.doc_id: r.text for r in surrogates.replace(large, KEY).collect()}
+    assert before == {i: after[i] for i in before} and len(set(after.values())) == len(after)
+    for i, leak in ((0, "Hughes"), (1, "Hughes"), (1, "Maria"), (2, "Miller"), (3, "Miller"), (4, "Brien"), (4, "Donald"), (5, "James")):
+        assert leak not in before[i]
+    hughes = before[0].split()[1]
+    assert before[1].endswith(f" {hughes}")
+    given, family = re.fullmatch(r"(\w+) (\w+)'s dog met Mrs\. (\2)", before[2]).groups()[:2]
+    assert before[3] == f"{given} {family}’s dog" and re.fullmatch(r"Dr\. \w+'\w+ and Mr\. \w+", before[4])
+    assert "Exchange" not in surrogates.replace(large, KEY)._jdf.queryExecution().executedPlan().toString()
+    assert surrogates.collisions(large, KEY).count() == 0
 
 
 @pytest.mark.parametrize(
@@ -249,7 +295,7 @@ def test_surrogates_in_documents(spark, frame, odd):
         assert leak not in first and leak not in second
     surname = re.search(r"Mr\. (\w+) ([\w-]+) wrote", first)[2]
     assert f"Mr. {surname} (" in first and f"Mr. {surname}," in second
-    assert re.search(r"Mr\. (\w+)", first)[1] in surrogates.GIVEN["latin", "m"] and re.search(r"to (\w+) ", first)[1] in surrogates.GIVEN["latin", "f"]
+    assert re.search(r"Mr\. (\w+)", first)[1] in [n for n, g in surrogates.GENDER.items() if g == "m"] and surrogates.GENDER[re.search(r"to ([\w]+) ", first)[1]] == "f"
     assert re.search(r"[\w.]+@[\w.]+", first)[0] == re.search(r"[\w.]+@\w+\.\w+", second)[0]
     assert len({out[i].text for i, _ in names}) == 200
     assert out[4].text == odd[-1][1] and out[2].text == "" and got.count() == len(rows)

@@ -7,10 +7,12 @@ name out of about 850 known ones with a surname). The surrogate of an entity dep
 all documents (coreference), and a surname standing alone after a title follows the surname's surrogate.
 
 Numbers and addresses keep their length, grouping and check digits: their free digits and letters go through a keyed
-permutation of all values of that form, so two entities never share a surrogate. Names are drawn from pools of their
-script and gender by a keyed hash; different names drawn to one pool name are told apart by their rank among them,
-spelled out as further name parts. That collision check runs on the table of distinct names, a row each, however
-often one occurs; :func:`collisions` checks all kinds at once.
+permutation of all values of that form, so two entities never share a surrogate. Names keep script, gender, capitals,
+hyphens and apostrophes. A known given name becomes the next one on a keyed ring of all known names of its script and
+gender. Any other name is a number among all words of its letters, goes through a keyed permutation of them, and is
+spelled in syllables of its script; marks at the end keep these apart from known names and from each other. So no two
+names share a surrogate, none is its own, and neither depends on the other names of a table: a table that grows keeps
+its surrogates, and texts are rewritten where they lie, without a shuffle. :func:`collisions` checks all kinds.
 
 Secrets such as keys and passwords identify no person and are left alone.
 
@@ -25,14 +27,13 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import saved
-
-# Name pools by script and gender: common given names and surnames.
+# Common given names by script and gender.
 GIVEN = {
     ("latin", "f"): "Anna Maria Laura Julia Sofia Emma Clara Elena Sarah Lucia Alice Nina Eva Marta Irene Paula Helen Ruth Diana Carla".split(),
     ("latin", "m"): "Peter Paul Martin Thomas David Daniel Lucas Simon Robert Victor Anton Hugo Felix Oscar Julian Walter Henry Mark Leon Adam".split(),
@@ -41,20 +42,12 @@ GIVEN = {
     ("greek", "f"): "Μαρία Ελένη Σοφία Άννα Κατερίνα Δήμητρα Ιωάννα Βασιλική".split(),
     ("greek", "m"): "Γιώργος Νίκος Κώστας Δημήτρης Γιάννης Παύλος Ανδρέας Πέτρος".split(),
 }
-SURNAMES = {
-    "latin": (
-        "Miller Carter Bennett Foster Hughes Morgan Parker Reed Sanders Turner Walsh Young Becker Fischer Hoffmann Keller Lehmann Richter Vogel Winter "
-        "Bernard Dubois Fournier Girard Lambert Mercier Rousseau Vidal Alvarez Castillo Dominguez Herrera Moreno Navarro Ortega Vargas"
-    ).split(),
-    "cyrillic": "Иваненко Петренко Коваленко Шевченко Бондаренко Ткаченко Кравченко Мельник Бойко Лысенко Савченко Гончар".split(),
-    "greek": "Παπαδάκης Γεωργίου Νικολάου Δημητρίου Ιωάννου Κωνσταντίνου Αντωνίου Χριστοδούλου".split(),
-}
 TITLES = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Господин": "m", "Κύριος": "m",
     "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Mlle": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Госпожа": "f", "Κυρία": "f",
     "Dr": "", "Doctor": "", "Doktor": "", "Docteur": "", "Doctora": "f", "Prof": "", "Professor": "", "Professorin": "f", "Professeur": "", "Profesor": "m", "Profesora": "f",
 }
-# Given names that are recognised; apart from the pools, from which surrogates are drawn.
+# Further given names that are recognised.
 KNOWN = {
     "f": (
         "Abigail Adele Adelheid Adriana Agathe Agnes Aimée Alba Alejandra Alexandra Alicia Alina Alison Amalia Amanda Amber Amelia Amélie Amy Ana Andrea Angela Angelika Angélique Anita Anja "
@@ -90,7 +83,39 @@ KNOWN = {
 }
 GENDER = {n: g for g, names in KNOWN.items() for n in names} | {n: g for (_, g), names in GIVEN.items() for n in names}
 
-CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ][\w’'-]*[a-zß-öø-ÿа-яёα-ωά-ώ]"
+# Letters of a script: those of most names, then rarer ones.
+LETTERS = {
+    "latin": ("abcdefghijklmnopqrstuvwxyz", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœšž"),
+    "cyrillic": ("абвгдежзийклмнопрстуфхцчшщъыьэюяё", "ѐђѓєѕіїјљњћќѝўџґ"),
+    "greek": ("αβγδεζηθικλμνξοπρσςτυφχψω", "άέήίόύώϊϋΐΰ"),
+}
+# Syllables: consonants of the first and of later syllables, and vowels of the first syllable by how rare the letters
+# of the name are, so that these three never spell the same.
+FIRST = {
+    "latin": "b d f g h k l m n p r s t v w br dr fr gr kr tr bl fl gl kl pl st".split(),
+    "cyrillic": "б в г д ж з к л м н п р с т ф х бр гр др кр тр ст".split(),
+    "greek": "β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ κρ πρ τρ στ".split(),
+}
+LATER = {
+    "latin": "b d f g k l m n p r s t v ll mm nn rr ss tt ld lm nd nt rd rg rk rl rm rn rt st lk mb mp ng nk sk tz ck lb rb ff gn".split(),
+    "cyrillic": "б в г д ж з к л м н п р с т ч ш лл нн нк нд рк рт рм лк лд ст ск мб".split(),
+    "greek": "β γ δ ζ θ κ λ μ ν π ρ σ τ φ χ λλ νν σσ ντ ρκ ρμ στ λδ νδ".split(),
+}
+VOWELS = {
+    "latin": ("a e i o u".split(), "ä ö ü é á".split(), "ia io ua ie eo".split()),
+    "cyrillic": ("а е и о у".split(), "я ё ю э ы".split(), "иа ио уа еа оа".split()),
+    "greek": ("α ε ι ο ω".split(), "ά έ ί ό ώ".split(), "ια ιο ωα εα οα".split()),
+}
+# How a made-up name ends; those of given names end no known one. ``EXTRA`` follows a word that would spell itself.
+ENDS = {
+    ("latin", ""): ["", "n", "r", "l", "s", "t", "ck", "rd"], ("latin", "f"): ["lva", "rga", "nka", "rva"], ("latin", "m"): ["lv", "rv", "sk", "lk"],
+    ("cyrillic", ""): ["", "в", "к", "н", "й", "р"], ("cyrillic", "f"): ["лва", "рга", "нка", "рва"], ("cyrillic", "m"): ["лв", "рв", "ск", "лк"],
+    ("greek", ""): ["", "ς"], ("greek", "f"): ["λβα", "ργα", "νκα", "ρβα"], ("greek", "m"): ["λβος", "ργος", "νκος", "ρβος"],
+}
+EXTRA = {"latin": "mpf", "cyrillic": "щ", "greek": "ξ"}
+
+# a capitalised word without a possessive ending
+CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ](?:[\w-]|[’'](?!s(?!\w)))*[a-zß-öø-ÿа-яёα-ωά-ώ]"
 ANY_TITLE = "|".join(TITLES)
 ANY_GIVEN = rf"(?:{'|'.join(GENDER)})(?:-{CAPITAL})?"
 DATE = r"\d{1,2}[./-]\d{1,2}[./-]\d{4}(?!\d)"
@@ -330,92 +355,111 @@ def parts_of(kind: str, entity: str) -> list[tuple[str, str]]:
     return [*[(f"given-{script}-{GENDER.get(n.partition('-')[0], gender)}", n) for n in given], *rest]
 
 
-def pool_of(pool: str) -> list[str]:
-    kind, *rest = pool.split("-")
-    return SURNAMES[rest[0]] if kind == "surname" else GIVEN[tuple(rest)]
-
-
-def spelled(pool: str, at: int, rank: int) -> str:
-    """Pool name ``at``; for the ``rank``-th further name drawn to it, the rank spelled out as more parts."""
-    words = pool_of(pool)
-    parts = [words[at % len(words)]]
-    while rank:
-        rank, r = divmod(rank - 1, len(words))
-        parts.append(words[r])
-    return "-".join(parts)
-
-
-def rewritten(text: str | None, names: dict[tuple[str, str], tuple[int, int]], key: bytes) -> tuple[str | None, list[str]]:
+@cache
+def ring(key: bytes, script: str, gender: str) -> dict[str, str]:
+    """Each known given name of a script and gender, and the next one in a keyed order."""
+    names = sorted((n for n, g in GENDER.items() if g == gender and script_of(n) == script), key=lambda n: keyed(key, "ring", n))
+    return dict(zip(names, names[1:] + names[:1], strict=True))
+
+
+def spelled(script: str, gender: str, rarity: int, number: int) -> str:
+    """The ``number``-th word of syllables; another number gives another word."""
+    first, later, vowels, ends = FIRST[script], LATER[script], VOWELS[script], ENDS[script, gender]
+    size, more = len(first) * len(vowels[rarity]) * len(ends), 0
+    while number >= size:
+        number -= size
+        size *= len(later) * len(vowels[0])
+        more += 1
+    number, e = divmod(number, len(ends))
+    inner = []
+    for _ in range(more):
+        number, r = divmod(number, len(later) * len(vowels[0]))
+        c, v = divmod(r, len(vowels[0]))
+        inner.append(later[c] + vowels[0][v])
+    c, v = divmod(number, len(vowels[rarity]))
+    return "".join([first[c] + vowels[rarity][v], *inner, ends[e]])
+
+
+def made_up(key: bytes, script: str, gender: str, word: str) -> str:
+    """Surrogate of a word in lower case: its number among all words of its letters, permuted and spelled."""
+    usual, rarer = LETTERS[script]
+    rarity = 0 if all(c in usual for c in word) else 1 if all(c in usual or c in rarer for c in word) else 2
+    letters = usual if rarity == 0 else usual + rarer
+    base = 0x110000 if rarity == 2 else len(letters)
+    number = shorter = 0
+    for k, c in enumerate(word):
+        number = number * base + (ord(c) if rarity == 2 else letters.index(c))
+        shorter += base**k if k else 0
+    new = spelled(script, gender, rarity, shorter + permuted(key, f"name/{script}/{gender}/{rarity}", number, base ** len(word)))
+    return new + EXTRA[script] if new == word else new
+
+
+@lru_cache(maxsize=1 << 16)
+def name_surrogate(key: bytes, pool: str, name: str) -> str:
+    """Surrogate of one name: word by word (a word begins at a capital), with what stands between kept."""
+    kind, script, *rest = pool.split("-")
+    gender = rest[0] if rest else ""
+    known = ring(key, script, gender) if kind == "given" else {}
+
+    def word(m: re.Match[str]) -> str:
+        old = m.group()
+        if old in known:
+            return known[old]
+        plain = old[0].lower() + old[1:]
+        # a capital without one lower letter that leads back to it is spelled as it is
+        new = made_up(key, script, gender, plain if len(plain) == len(old) and plain[0].upper() == old[0] or old[0].islower() else old)
+        return new[0].upper() + new[1:] if old[0].isupper() else new
+
+    return WORD.sub(word, name)
+
+
+WORD = re.compile(r"[^\W\d_](?:(?![A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆ-Ώ])[^\W\d_])*")
+
+
+def surrogate(key: bytes, kind: str, entity: str) -> str:
+    """Surrogate of any entity, by the key and the entity alone."""
+    if kind.startswith("person"):
+        return " ".join(name_surrogate(key, *part) for part in parts_of(kind, entity))
+    return formed_surrogate(key, kind, entity)
+
+
+def rewritten(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
     """The text with surrogates, and the kinds of its entities in order."""
     spans = found(text)
     if not spans:
         return text, []
     out, last = [], 0
     for a, b, kind, entity in spans:
-        if kind.startswith("person"):
-            new = " ".join(spelled(p[0], *names[p]) for p in parts_of(kind, entity))
-        else:
-            new = formed_surrogate(key, kind, entity)
-        out += [text[last:a], new]
+        out += [text[last:a], surrogate(key, kind, entity)]
         last = b
     return "".join([*out, text[last:]]), [kind.partition("-")[0] for _, _, kind, _ in spans]
 
 
-def mentioned(docs: DataFrame, text_col: str, id_col: str, key: bytes) -> DataFrame:
-    """(id, h, pool, name, at, draw): the names in each document, each with its pool name and a keyed order."""
-
-    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for i, h, t in zip(frame["id"], frame["h"], frame["text"], strict=True):
-                for pool, n in sorted({p for _, _, kind, e in found(t) if kind.startswith("person") for p in parts_of(kind, e)}):
-                    out.append((i, h, pool, n, keyed(key, pool, n) % len(pool_of(pool)), f"{keyed(key, 'order', pool, n):032x}"))
-            yield pd.DataFrame(out, columns=["id", "h", "pool", "name", "at", "draw"])
-
-    plain = docs.select(F.xxhash64(text_col).alias("h"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    found_ = plain.mapInPandas(look, "id string, h long, pool string, name string, at long, draw string")
-    return saved(found_.distinct(), "surrogate-mentions")
-
-
-def replace(docs: DataFrame, key: bytes, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``text_col`` rewritten, ``n_entities`` and ``kinds`` (of the entities, in order of place) added.
-
-    Texts without names of persons are rewritten where they lie. Those with names fetch the draws of their names: the
-    names of a document travel to it by a join on the name, in rows of (document, name).
-    """
-    met = mentioned(docs, text_col, id_col, key)
-    # one row per distinct name: which of the names drawn to one pool name it is
-    order = Window.partitionBy("pool", "at").orderBy("draw", "name")
-    distinct = met.select("pool", "name", "at", "draw").distinct()
-    names = distinct.select("pool", "name", (F.row_number().over(order).cast("long") - 1).alias("rank"))
-    drawn = F.collect_list(F.struct("pool", "name", "at", "rank")).alias("__names")
-    # saved, so that its size is known: where few documents hold names, the texts need not be dealt for this join
-    by_doc = saved(met.join(names, ["pool", "name"]).groupBy("id", "h").agg(drawn), "surrogate-draws")
-    keyed_docs = docs.withColumns({"__id": F.col(id_col).cast("string"), "__h": F.xxhash64(text_col)})
-    joined = keyed_docs.join(by_doc, keyed_docs["__id"].eqNullSafe(by_doc["id"]) & (keyed_docs["__h"] == by_doc["h"]), "left").select(
-        *[keyed_docs[c] for c in docs.columns], "__names"
-    )
+def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``text_col`` rewritten, ``n_entities`` and ``kinds`` (of the entities, in order of place) added."""
 
     @F.pandas_udf("struct<text: string, kinds: array<string>>")
-    def rewrite(text: pd.Series, drawn: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, ns in zip(text, drawn, strict=True):
-            known = {(n["pool"], n["name"]): (n["at"], n["rank"]) for n in ns} if ns is not None else {}
-            out.append(rewritten(t, known, key))
-        return pd.DataFrame(out, columns=["text", "kinds"])
-
-    done = joined.withColumn("__done", rewrite(text_col, "__names"))
+    def rewrite(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([rewritten(t, key) for t in text], columns=["text", "kinds"])
+
+    done = docs.withColumn("__done", rewrite(text_col))
     columns = [F.col("__done.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_entities", "kinds")]
     return done.select(*columns, F.size("__done.kinds").alias("n_entities"), F.col("__done.kinds").alias("kinds"))
 
 
 def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """(kind, surrogate, entities) of surrogates shared by several entities with a form: empty, as they are permutations."""
+    """(kind, surrogate, entities) of surrogates shared by several entities, names one by one: empty, as none is shared."""
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            seen = {(kind, e.lower() if kind == "email" else e) for t in frame["text"] for _, _, kind, e in found(t) if not kind.startswith("person")}
-            yield pd.DataFrame([(k, e, formed_surrogate(key, k, e)) for k, e in sorted(seen)], columns=["kind", "entity", "surrogate"])
+            seen = set()
+            for t in frame["text"]:
+                for _, _, kind, e in found(t):
+                    if kind.startswith("person"):
+                        seen.update((pool, n, name_surrogate(key, pool, n)) for pool, n in parts_of(kind, e))
+                    else:
+                        seen.add((kind, e.lower() if kind == "email" else e, formed_surrogate(key, kind, e.lower() if kind == "email" else e)))
+            yield pd.DataFrame(sorted(seen), columns=["kind", "entity", "surrogate"])
 
     pairs = docs.select(F.col(text_col).alias("text")).mapInPandas(look, "kind string, entity string, surrogate string").distinct()
     return pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("entities")).where("entities > 1")
