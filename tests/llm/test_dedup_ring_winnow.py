@@ -58,6 +58,7 @@ def test_state_outlives_a_run(spark, frame, tmp_path):
 def test_dedup_of_an_empty_table_and_of_a_frame(spark, frame, odd):
     path, docs = frame([])
     assert stream_dedup.dedup(spark, path).count() == 0
+    assert stream_dedup.dedup(spark, frame([(1, "a"), (2, "A")], "two")[0] + "/").where("kept").count() == 1
     _, docs = frame(odd, "more")
     assert stream_dedup.dedup_frame(docs.withColumn("digest", F.lit(1))).count() == len(expected_dedup(odd))
 

@@ -31,6 +31,15 @@ def test_cached_encoder_equals_the_library():
             enc.trim()
 
 
+def test_another_vocabulary_is_read_by_the_library():
+    import public_tokenizers
+
+    other = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert other.whole and not tokens.Encoder(tokens.default_path()).whole
+    for text in ("Hello World,\n two  blanks ", "", None):
+        assert other.encode(text, b"") == tokens.Encoder.pack(other.tokenizer.encode(text or "", add_special_tokens=False).ids)
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files_round_trip(spark, frame, odd, tmp_path, encoding):
     rows = [r for r in odd if r[0] is not None] + [(100 + i, t) for i, t in enumerate(TRICKY)]

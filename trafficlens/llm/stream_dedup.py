@@ -55,6 +55,7 @@ def update_state(
 ) -> DataFrame:
     """Run the stream over what is new in ``path`` and return the whole state: (digest, keeper, group_size)."""
     # a path that ends in a pattern may be a folder or one file; both then have the same form
+    path = path.rstrip("/")
     pattern = f"{path[:-1]}[{path[-1]}]"
     before = {k: spark.conf.get(k, None) for k in STORE}
     for k, v in STORE.items():

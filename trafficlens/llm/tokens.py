@@ -3,7 +3,8 @@
 The vocabulary drops white space and its pieces never cross it, so a text's ids are those of its parts between blanks
 one after the other; each distinct part is encoded once and remembered. The cache holds two generations of at most
 ``limit`` parts, so a worker's memory stays bounded. Words of plain letters go straight to the vocabulary's merge
-model; everything else takes the library's whole path.
+model; everything else takes the library's whole path. Another vocabulary file, for which these short ways give other
+ids on :data:`PROBE`, has every text encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 LIMIT = 500_000
+PROBE = "The CAT's 12 dogs,  über\tØl naïve co-op don't!\n \r\nÉCOLE (straße) İ ǅ x_y 3.14 日本 "
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -45,6 +47,8 @@ class Encoder(dict):
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self[""] = b""
+        self.whole = False
+        self.whole = self.encode(PROBE, b"") != self.pack(self.tokenizer.encode(PROBE, add_special_tokens=False).ids)
 
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
@@ -72,6 +76,8 @@ class Encoder(dict):
         return np.array(ids, dtype="<u4").tobytes()
 
     def encode(self, text: str | None, end: bytes) -> bytes:
+        if self.whole:
+            return self.pack(self.tokenizer.encode(text or "", add_special_tokens=False).ids) + end
         parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join(map(self.__getitem__, parts)) + end
 
