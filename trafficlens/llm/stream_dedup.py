@@ -20,10 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficlens.llm.common import saved
-from trafficlens.session import scratch_path
+from trafficlens.session import scratch_path, state_settings
 
 STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # no space set aside in advance: there is a store for each shuffle partition, and many of them are small
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
@@ -57,8 +56,9 @@ def update_state(
     # a path that ends in a pattern may be a folder or one file; both then have the same form
     path = path.rstrip("/")
     pattern = f"{path[:-1]}[{path[-1]}]"
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
+    settings = {**state_settings(spark, checkpoint), **STORE}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         spark.conf.set(k, v)
     try:
         arriving = spark.readStream.option("maxFileAge", MAX_FILE_AGE).schema(spark.read.parquet(path).schema).parquet(pattern)

@@ -75,6 +75,25 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a commit writes one file of changes; whole snapshots of a store follow in the background, now and then
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+# The default manager starts processes on a local disk (chmod, readlink) for each file of a checkpoint, out of an executor
+# whose memory they share for that moment. Elsewhere the default stays.
+LOCAL_FILES = {
+    "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",
+}
+
+
+def state_settings(spark: SparkSession, checkpoint: str) -> dict[str, str]:
+    """Settings for a stream that keeps its state under ``checkpoint``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    local = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file"
+    return {**STATE_STORE, **(LOCAL_FILES if local else {})}
+
+
 def cut_lineage(spark: SparkSession, df, label: str):
     """Write a frame to the shared folder and read it back: one computation, safe when executors are lost."""
     path = scratch_path(spark, label)
