@@ -6,14 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trafficlens.operators import decisions as dec
 from trafficlens.operators.capacity import ScalingConfig
 from trafficlens.operators.parse import parse_lines
-from trafficlens.session import scratch_path
+from trafficlens.session import STATE_STORE, scratch_path, state_settings
 
 MEMORY = 12
 
@@ -106,24 +106,28 @@ def live_decisions(loads: DataFrame, configs: dict[str, ScalingConfig], policies
 
 
 class GapProcessor(StatefulProcessor):
-    """Last time seen per key; a bucket that begins too long after it closes a gap."""
+    """Last time seen per key; a bucket that begins too long after it closes a gap. One row per key and batch, with arrays."""
+
+    OUT = "start_at array<bigint>, end_at array<bigint>"
 
     def __init__(self, key: str, threshold_micros: int):
-        self.key = key
         self.threshold = threshold_micros
+        self.out = Row(key, "start_at", "end_at")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "at bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for first, end in pd.concat(list(rows)).sort_values("first_at")[["first_at", "last_at"]].itertuples(index=False):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last = (self.last.get() or (None,))[0]
+        gone, back = [], []
+        for first, end in sorted((r.first_at, r.last_at) for r in rows):
             if last is not None and first - last > self.threshold:
-                out.append((key[0], int(last), int(first)))
-            last = int(end) if last is None else max(last, int(end))
+                gone.append(last)
+                back.append(first)
+            last = end if last is None else max(last, end)
         self.last.update((last,))
-        yield pd.DataFrame(out, columns=[self.key, "start_at", "end_at"])
+        if gone:
+            yield self.out(key[0], gone, back)
 
     def close(self) -> None:
         pass
@@ -138,62 +142,77 @@ def live_gaps(rows: DataFrame, key: str, threshold_seconds: int = 3600, delay: s
         .select(key, "first_at", "last_at")
     )
     key_type = rows.schema[key].dataType.simpleString()
-    gaps = buckets.groupBy(key).transformWithStateInPandas(
-        GapProcessor(key, threshold_seconds * 1_000_000), f"`{key}` {key_type}, start_at bigint, end_at bigint", "Append", "None"
+    found = buckets.groupBy(key).transformWithState(
+        GapProcessor(key, threshold_seconds * 1_000_000), f"`{key}` {key_type}, {GapProcessor.OUT}", "Append", "None"
     )
+    gaps = found.select(key, F.inline(F.arrays_zip("start_at", "end_at")))
     return gaps.select(
         key, F.timestamp_micros("start_at").cast("timestamp_ntz").alias("gap_start"), F.timestamp_micros("end_at").cast("timestamp_ntz").alias("gap_end")
     )
 
 
 class SilenceProcessor(StatefulProcessor):
-    """Last time seen per key with one timer: first the alarm behind it, then, once told, the end of the state."""
+    """Last time seen per key with one timer: first the alarm behind it, then, once told, the end of the state.
+
+    An alarm that is due when its row comes is told with the row, without a timer. Every call on state or timers is a
+    message to the JVM: the timer's time follows from the state and is not asked for. One row per key and batch, with arrays.
+    """
+
+    OUT = "silent array<bigint>, start_at array<bigint>, end_at array<bigint>"
 
     def __init__(self, key: str, threshold_micros: int, keep_micros: int):
-        self.key = key
         self.threshold = threshold_micros
         self.keep = max(keep_micros, threshold_micros)
+        self.out = Row(key, "silent", "start_at", "end_at")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getValueState("seen", "last_at bigint, told boolean")
 
-    def _wake_at(self, micros: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(-(-micros // 1000))
+    def _wake_at(self, last: int, told: bool) -> int:
+        return -(-(last + (self.keep if told else self.threshold)) // 1000)
 
-    def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=[self.key, "kind", "start_at", "end_at"])
-        return frame.astype({"start_at": "Int64", "end_at": "Int64"})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, told = self.seen.get() if self.seen.exists() else (None, False)
-        out = []
-        for first, end in pd.concat(list(rows)).sort_values("first_at")[["first_at", "last_at"]].itertuples(index=False):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.seen.get()
+        last, told = before or (None, False)
+        silent, gone, back = [], [], []
+        for first, end in sorted((r.first_at, r.last_at) for r in rows):
             if last is not None and first - last > self.threshold:
                 if not told:
-                    out.append((key[0], "silent", int(last), None))
-                out.append((key[0], "closed", int(last), int(first)))
+                    silent.append(last)
+                gone.append(last)
+                back.append(first)
             if last is None or end > last:
-                last, told = int(end), False
-        self.seen.update((last, told))
-        self._wake_at(last + (self.keep if told else self.threshold))
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.seen.exists():
-            return
-        last, told = self.seen.get()
-        if told:
+                last, told = end, False
+        mark = timerValues.getCurrentWatermarkInMs()
+        if not told and self._wake_at(last, False) <= mark:
+            silent.append(last)
+            told = True
+        wake, woke = self._wake_at(last, told), before and self._wake_at(*before)
+        expired = told and wake <= mark
+        if before and (expired or woke != wake):
+            self.handle.deleteTimer(woke)
+        if expired:
             self.seen.clear()
+        elif before != (last, told):
+            self.seen.update((last, told))
+            if woke != wake:
+                self.handle.registerTimer(wake)
+        if silent or gone:
+            yield self.out(key[0], silent, gone, back)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        before = self.seen.get()
+        if before is None:
             return
-        self.seen.update((last, True))
-        if self.keep > self.threshold:
-            self._wake_at(last + self.keep)
-        else:
+        last, told = before
+        if told or self.keep == self.threshold:
             self.seen.clear()
-        yield self._frame([(key[0], "silent", int(last), None)])
+        else:
+            self.seen.update((last, True))
+            self.handle.registerTimer(self._wake_at(last, True))
+        if not told:
+            yield self.out(key[0], [last], [], [])
 
     def close(self) -> None:
         pass
@@ -216,26 +235,39 @@ def live_alarms(rows: DataFrame, key: str, threshold_seconds: int = 3600, delay:
     )
     key_type = rows.schema[key].dataType.simpleString()
     processor = SilenceProcessor(key, threshold_seconds * 1_000_000, keep_seconds * 1_000_000)
-    gaps = buckets.groupBy(key).transformWithStateInPandas(
-        processor, f"`{key}` {key_type}, kind string, start_at bigint, end_at bigint", "Append", "EventTime"
-    )
+    found = buckets.groupBy(key).transformWithState(processor, f"`{key}` {key_type}, {SilenceProcessor.OUT}", "Append", "EventTime")
+
+    def told(kind: str, start: Column, end: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start_at"), end.cast("bigint").alias("end_at"))
+
+    alarms = F.transform("silent", lambda at: told("silent", at, F.lit(None)))
+    gaps = found.select(key, F.inline(F.concat(alarms, F.zip_with("start_at", "end_at", lambda a, b: told("closed", a, b)))))
     return gaps.select(
         key, "kind", F.timestamp_micros("start_at").cast("timestamp_ntz").alias("gap_start"), F.timestamp_micros("end_at").cast("timestamp_ntz").alias("gap_end")
     )
 
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROCKSDB = STATE_STORE["spark.sql.streaming.stateStore.providerClass"]
+#: Counting a store's rows takes a look-up for each row written or removed; the count is only a metric.
+UNCOUNTED = {"spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 
 
 def run_available(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Process everything that is there into a parquet table and read it back."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    out = scratch_path(spark, label)
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", scratch_path(spark, f"{label}-state"))
-        .option("path", out).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+    settings = {**state_settings(spark, checkpoint), **UNCOUNTED}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
+            .option("path", out).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(out)
 
 
