@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.common import components, saved, with_made
+from trafficlens.llm.worker_memory import tidy
 
 TOKENS = 128
 SLACK_SIGMAS = 4.0
-WORD_LIMIT = 1_000_000
+WORD_LIMIT = 131_072
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -284,7 +285,7 @@ def candidates(texts: DataFrame, threshold: float, recall: float, depth: int, bu
 
     known = texts.select("node", "size", "brief")
     tokens = texts.select("node", "tokens")
-    rows = tokens.mapInPandas(start, "key long, node long")
+    rows = tokens.mapInPandas(tidy(start), "key long, node long")
     edges = []
     for level in range(1, depth + 1):
         rows = saved(rows, "path-keys")
@@ -292,12 +293,12 @@ def candidates(texts: DataFrame, threshold: float, recall: float, depth: int, bu
         shared = saved(rows.join(counts, "key").join(known, "node"), "path-buckets")
         ready = shared if level == depth else shared.where(F.col("n") <= bucket)
         spread = in_blocks(ready, "key", "n", "node", bucket)
-        edges.append(saved(dealt(spread, "key").mapInPandas(compare, "a long, b long").distinct(), "path-edges"))
+        edges.append(saved(dealt(spread, "key").mapInPandas(tidy(compare), "a long, b long").distinct(), "path-edges"))
         if level < depth:
             large = shared.where(F.col("n") > bucket)
             if large.isEmpty():
                 break
-            rows = large.select("key", "node").join(tokens, "node").select("key", "node", "tokens").mapInPandas(split, "key long, node long")
+            rows = large.select("key", "node").join(tokens, "node").select("key", "node", "tokens").mapInPandas(tidy(split), "key long, node long")
     out = edges[0]
     for e in edges[1:]:
         out = out.union(e)
@@ -343,9 +344,9 @@ def verified(docs: DataFrame, key: Sequence[str], text_col: str, members: DataFr
     rows = docs.select(F.struct(*key).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     same = rows["id"].eqNullSafe(members["id"]) & (rows["text_hash"] == members["text_hash"])
     wanted = rows.join(members, same).select("root", "n", "node", "copies", "d1", "d2", "text")
-    made = wanted.mapInPandas(sets_of, "root long, n long, node long, copies long, hashes binary")
+    made = wanted.mapInPandas(tidy(sets_of), "root long, n long, node long, copies long, hashes binary")
     spread = in_blocks(made, "root", "n", "node", block)
-    return saved(dealt(spread, "root").mapInPandas(count, "node long, texts long, docs long, parent long"), "path-links")
+    return saved(dealt(spread, "root").mapInPandas(tidy(count), "node long, texts long, docs long, parent long"), "path-links")
 
 
 def similarity_classes(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from trafficlens.llm.worker_memory import tidy
 from trafficlens.session import prepare, scratch_path
 
 if TYPE_CHECKING:  # not every worker that needs this module needs pandas in its memory
@@ -49,11 +50,19 @@ def located(docs: DataFrame, label: str, file_col: str = "__in_file", row_col: s
         return with_spot(saved(docs, label))
 
 
-def with_made(rows: DataFrame, needs: Sequence[str], start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], made: str, drop: Sequence[str] = ()) -> DataFrame:
+def with_made(
+    rows: DataFrame,
+    needs: Sequence[str],
+    start: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+    made: str,
+    drop: Sequence[str] = (),
+    keeps: str | None = None,
+) -> DataFrame:
     """Add the columns ``made`` (names and types), computed in Python from the columns ``needs``; those of ``drop`` go.
 
     ``start`` is called once per task and gives the function from a batch of ``needs`` to the new columns. All other
     columns pass by as they are: an identifier beyond 2**53 next to a null one would be rounded on its way through pandas.
+    ``keeps`` is what the worker may go on holding (:func:`tidy`).
     """
     kept = [f for f in rows.schema if f.name not in drop]
     fresh = T.StructType.fromDDL(made)
@@ -66,7 +75,15 @@ def with_made(rows: DataFrame, needs: Sequence[str], start: Callable[[], Callabl
             columns = [pa.array(out[f.name], kind, from_pandas=True) for f, kind in zip(fresh, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + columns, names=[f.name for f in [*kept, *fresh]])
 
-    return rows.mapInArrow(run, T.StructType([*kept, *fresh]))
+    return rows.mapInArrow(tidy(run, keeps), T.StructType([*kept, *fresh]))
+
+
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table. They come as Arrow columns: plain rows would start workers of their own on every executor."""
+    fields = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(fields)
+    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(arrow.types)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), fields)
 
 
 def in_order(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:

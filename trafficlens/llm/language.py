@@ -20,7 +20,6 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.common import saved, with_made
+from trafficlens.llm.worker_memory import held, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -45,8 +45,12 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-@cache
 def vocabulary(path: str) -> Pieces:
+    """This process's pieces of a vocabulary file."""
+    return held("pieces", path, load_pieces)
+
+
+def load_pieces(path: str) -> Pieces:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -191,7 +195,7 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         yield from flush()
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    return rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def train(
@@ -223,7 +227,7 @@ def train(
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece.astype(np.int32), "lang": lang.astype(np.int32), "n": total[piece, lang]})
 
-        sums = counts.mapInPandas(step, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
+        sums = counts.mapInPandas(tidy(step, "pieces"), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n"))
         fresh = np.full((size, len(languages)), smoothing)
         for piece, lang, n in sums.collect():  # one row per piece and language at most
             fresh[piece, lang] += n
@@ -301,4 +305,4 @@ def predict(
 
         return score
 
-    return with_made(rows, [text], start, f"`{names[0]}` string, `{names[1]}` double", drop)
+    return with_made(rows, [text], start, f"`{names[0]}` string, `{names[1]}` double", drop, keeps="pieces")

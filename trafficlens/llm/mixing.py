@@ -25,7 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import PART, ROW, in_order, located, saved, with_prefix
+from trafficlens.llm.common import PART, ROW, in_order, located, saved, small_table, with_prefix
+from trafficlens.llm.worker_memory import tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = (5**0.5 - 1) / 2
@@ -96,8 +97,8 @@ def schedule(
     quota = np.array([round(target[s]) for s in names], dtype=np.int64)
     needed = -(-quota // block)
     schema = "__source string, __s int, source_size long, target double, __quota long, __base long"
-    table = spark.createDataFrame(
-        [(s, i, sizes[s], float(target[s]), int(quota[i]), int(totals[s][1])) for i, s in enumerate(names)], schema
+    table = small_table(
+        spark, [(s, i, sizes[s], float(target[s]), int(quota[i]), int(totals[s][1])) for i, s in enumerate(names)], schema
     )
     if len(names) <= BROADCAST_SOURCES:
         table = F.broadcast(table)
@@ -109,7 +110,7 @@ def schedule(
     )
 
     slots = ranked_slots(spark, needed)
-    limit = spark.createDataFrame([(i, int(quota[i]), sizes[s]) for i, s in enumerate(names)], "__s int, __quota long, __size long")
+    limit = small_table(spark, [(i, int(quota[i]), sizes[s]) for i, s in enumerate(names)], "__s int, __quota long, __size long")
     limit = F.broadcast(limit) if len(names) <= BROADCAST_SOURCES else limit
     # Blocks of the repeated stream as segments [a, b) of one pass; a block may run over the end of a pass.
     at = slots.join(limit, "__s").withColumn("a", F.col("rank") * block).withColumn("b", F.least(F.col("a") + block, F.col("__quota")))
@@ -151,7 +152,7 @@ def ranked_slots(spark, needed: np.ndarray) -> DataFrame:
                 yield pd.DataFrame({"chunk": chunk, "__s": np.arange(len(n), dtype=np.int32), "n": n})
 
     ids = spark.range(chunks, numPartitions=max(1, min(chunks, 4 * spark.sparkContext.defaultParallelism)))
-    counts = saved(ids.mapInPandas(count, "chunk long, __s int, n long"), "mix-counts")
+    counts = saved(ids.mapInPandas(tidy(count), "chunk long, __s int, n long"), "mix-counts")
     before = F.expr("coalesce(sum(n) over (partition by __s order by chunk rows between unbounded preceding and 1 preceding), 0)")
     bases = counts.withColumn("base", before).where("n > 0").groupBy("chunk").agg(F.collect_list(F.struct("__s", "base")).alias("bases"))
 
@@ -171,12 +172,12 @@ def ranked_slots(spark, needed: np.ndarray) -> DataFrame:
                 yield pd.DataFrame({"slot": (first + np.arange(len(source)))[use], "__s": source[use].astype(np.int32), "rank": ranks[use]})
 
     spread = bases.repartition(max(1, min(chunks, 4 * spark.sparkContext.defaultParallelism)), "chunk")
-    slots = spread.mapInPandas(rank, "slot long, __s int, rank long")
+    slots = spread.mapInPandas(tidy(rank), "slot long, __s int, rank long")
     got = {r[0]: r[1] for r in counts.groupBy("__s").agg(F.sum("n")).collect()}
     short = [(s, r) for s in range(len(needed)) for r in range(got.get(s, 0), int(needed[s]))]
     if short:  # a few blocks per source
         late = [(total + i, s, r) for i, (s, r) in enumerate(sorted(short, key=lambda x: (x[1], x[0])))]
-        slots = slots.unionByName(spark.createDataFrame(late, "slot long, __s int, rank long"))
+        slots = slots.unionByName(small_table(spark, late, "slot long, __s int, rank long"))
     return slots
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.common import in_order, saved, with_made, with_prefix
 from trafficlens.llm.tokens import default_path, encoded
+from trafficlens.llm.worker_memory import tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -161,7 +162,7 @@ def pieces(docs: DataFrame, window: int, id_col: str, text_col: str, tokenizer:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, PIECES)
+    return rows.mapInArrow(tidy(cut, "encoder"), PIECES)
 
 
 def pack(

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.common import PART, ROW, saved, with_prefix
 from trafficlens.llm.tokens import default_path, encoded
+from trafficlens.llm.worker_memory import tidy
 
 SCHEMA = "doc_id long, n_tokens long, tokens array<int>, part int, row long"
 
@@ -58,7 +59,7 @@ def write_tokens(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    made = ordered.mapInArrow(encode, "doc_id long, n_tokens long, tokens array<int>")
+    made = ordered.mapInArrow(tidy(encode, "encoder"), "doc_id long, n_tokens long, tokens array<int>")
     numbered = made.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})
     numbered.write.options(**file_options(**layout)).parquet(path)
 

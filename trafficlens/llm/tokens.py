@@ -15,9 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-LIMIT = 500_000
+from trafficlens.llm.worker_memory import held
+
+LIMIT = 150_000
 PROBE = "The CAT's 12 dogs,  über\tØl naïve co-op don't!\n \r\nÉCOLE (straße) İ ǅ x_y 3.14 日本 "
-_LOADED: dict[str, Encoder] = {}
 
 
 def default_path() -> str:
@@ -93,9 +94,7 @@ class Encoder(dict):
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    return held("encoder", path, Encoder)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, text_col: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
