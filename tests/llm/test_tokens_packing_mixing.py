@@ -31,6 +31,22 @@ def test_cached_encoder_equals_the_library():
             enc.trim()
 
 
+def test_a_word_is_encoded_once_for_all_its_forms_and_generations_are_not_copied(monkeypatch):
+    words = [f"bl{a}nd{b}r" for a in "aeiouéø" for b in "aeiouéø"]
+    texts = [" ".join(words), " ".join(w.capitalize() for w in words), " ".join(f"{w.upper()}," for w in words)]
+    want = [x.tobytes() for x in reference_ids(texts)]
+    enc = tokens.Encoder(tokens.default_path(), limit=100)
+    made, fresh = [], tokens.Parts.fresh
+    monkeypatch.setattr(tokens.Parts, "fresh", lambda self, part: (made.append(part), fresh(self, part))[1])
+    assert [enc.encode(t, enc.pack([2])) for t in texts] == want
+    assert sum(p in words for p in made) == len(words) and made.count(",") <= 1
+    full = enc.parts
+    enc.trim()
+    assert enc.parts is not full and enc.parts.older is full and not full.older
+    made.clear()
+    assert [enc.encode(t, enc.pack([2])) for t in texts] == want and not made
+
+
 def test_another_vocabulary_is_read_by_the_library():
     import public_tokenizers
 

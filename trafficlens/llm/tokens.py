@@ -1,10 +1,13 @@
-"""Token ids of texts by a public vocabulary, with a word cache in each Python worker.
+"""Token ids of texts by a public vocabulary, with a cache of parts in each Python worker.
 
 The vocabulary drops white space and its pieces never cross it, so a text's ids are those of its parts between blanks
 one after the other; each distinct part is encoded once and remembered. The cache holds two generations of at most
 ``limit`` parts, so a worker's memory stays bounded. Words of plain letters go straight to the vocabulary's merge
 model; everything else takes the library's whole path. Another vocabulary file, for which these short ways give other
 ids on :data:`PROBE`, has every text encoded whole by the library.
+
+Most distinct parts are rare, so what a part costs that is not in the cache counts most: a word stands in the cache once,
+also for its capitalised forms and those with a comma, and a generation ends without being copied.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 
 from trafficlens.llm.worker_memory import held
 
-LIMIT = 150_000
+LIMIT = 250_000
 PROBE = "The CAT's 12 dogs,  über\tØl naïve co-op don't!\n \r\nÉCOLE (straße) İ ǅ x_y 3.14 日本 "
 
 
@@ -34,62 +37,66 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
 
 
-class Encoder(dict):
-    """Maps a part of a text to its ids as little-endian unsigned 32-bit bytes."""
+class Parts(dict):
+    """Maps a part of a text to its ids as little-endian unsigned 32-bit bytes; takes from ``older`` what it has not met."""
+
+    def __init__(self, tokenizer, letters: list[str], packed: list[bytes], older: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.tokenizer, self.letters, self.packed, self.older = tokenizer, letters, packed, older
+        self.tokenize = tokenizer.model.tokenize
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.fresh(part)
+        self[part] = ids
+        return ids
+
+    def fresh(self, part: str) -> bytes:
+        # letters below U+0250 are in composed form already and their lower case does not depend on context; where
+        # it is no single letter, the vocabulary would cut the word there
+        if part.islower() and part.isalpha() and (part.isascii() or max(part) < "ɐ"):
+            word = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            return b"".join([self.packed[t.id] for t in self.tokenize(word)])
+        core = part.rstrip(string.punctuation)
+        lower = core.lower()
+        if core and lower != part and lower.isalpha() and (core.isascii() or max(core) < "ɐ"):
+            return self[lower] + self[part[len(core) :]]
+        return Encoder.pack(self.tokenizer.encode(part, add_special_tokens=False).ids)
+
+
+class Encoder:
+    """Gives the ids of a text as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, limit: int = LIMIT):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.packed = [self.pack([i]) for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.limit = limit
-        self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self[""] = b""
+        self.parts = self.generation({})
         self.whole = False
         self.whole = self.encode(PROBE, b"") != self.pack(self.tokenizer.encode(PROBE, add_special_tokens=False).ids)
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.older.get(part)
-        if ids is None:
-            core = part.rstrip(string.punctuation)
-            lower = core.lower()
-            # letters below U+0250 are in composed form already and their lower case does not depend on context; where
-            # it is no single letter, the vocabulary would cut the word there
-            if core and lower.isalpha() and (core.isascii() or max(core) < "ɐ"):
-                ids = self.word(lower) + (self.word(part[len(core) :]) if len(core) < len(part) else b"")
-            else:
-                ids = self.pack(self.tokenizer.encode(part, add_special_tokens=False).ids)
-        self[part] = ids
-        return ids
-
-    def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            ids = self.words[word] = self.pack([t.id for t in self.model.tokenize(mapped)])
-        return ids
-
     @staticmethod
     def pack(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
+    def generation(self, older: dict[str, bytes]) -> Parts:
+        return Parts(self.tokenizer, self.letters, self.packed, older)
+
     def encode(self, text: str | None, end: bytes) -> bytes:
         if self.whole:
             return self.pack(self.tokenizer.encode(text or "", add_special_tokens=False).ids) + end
         parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, parts)) + end
+        return b"".join(map(self.parts.__getitem__, parts)) + end
 
     def trim(self) -> None:
         """Between batches: what is in use moves on, what was not asked for since the last time goes."""
-        if len(self) > self.limit:
-            self.older = dict(self)
-            self.clear()
-            self[""] = b""
-        if len(self.words) > self.limit:
-            self.words = {}
+        if len(self.parts) > self.limit:
+            self.parts.older = {}
+            self.parts = self.generation(self.parts)
 
 
 def encoder(path: str) -> Encoder:
