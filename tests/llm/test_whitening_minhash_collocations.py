@@ -5,11 +5,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trafficlens.llm import collocations, minhash_dedup, whitening
+from trafficlens.llm.common import saved
 
 # ---- 11: whitening ----
 
@@ -223,6 +226,32 @@ def test_bit_table_holds_every_phrase(spark):
     assert bits("fr", pa.array([p for _, p in rows])).mean() < 0.2
 
 
+def test_long_rows_are_written_in_small_groups(spark):
+    """A task writes few slices of megabytes each: they must not meet in one row group, nor in one page."""
+    long = spark.range(24, numPartitions=1).select(F.lit("en").alias("lang"), F.lit("a\nb").alias("phrases"), F.expr("encode(repeat(uuid(), 30000), 'utf-8')").alias("places"))
+    (path,) = saved(long, "test-places", **collocations.GROUPS).inputFiles()
+    footer = pq.ParquetFile(path.removeprefix("file:")).metadata
+    groups = [footer.row_group(i) for i in range(footer.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 24
+    assert max(g.total_byte_size for g in groups) < 8 << 20
+
+
+def test_phrases_are_dealt_before_they_are_summed(spark):
+    rows = spark.createDataFrame([("en", "a b", 3), ("en", "a b", 4), ("de", "a b", 6), ("en", "b c", 7)], "lang string, phrase string, n long")
+    found = collocations.summed(rows, 7)
+    assert sorted(map(tuple, found.collect())) == [("en", "a b", 7), ("en", "b c", 7)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()  # without what is put in for the sum, above its first half
+    assert "Exchange" in plan
+    assert "HashAggregate" not in plan[plan.index("Exchange") :]
+
+
+@pytest.mark.parametrize("phrases", [[], ["a"], ["a", "ü b", "c"]])
+def test_a_slice_comes_back_as_it_was(phrases):
+    row = collocations.relation_row("en", pa.array(phrases, pa.string()), np.array([0, 1, 0], dtype=np.int32))
+    ((lang, found, places),) = collocations.slices_of([row, row.slice(0, 0)])
+    assert (lang, found.to_pylist(), places.tolist()) == ("en", phrases, [0, 1, 0])
+
+
 def test_collocations_of_an_empty_table(spark, frame):
     _, docs = frame([(1, "x")])
     assert collocations.mine(docs.limit(0)).count() == 0

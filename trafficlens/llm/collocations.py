@@ -1,10 +1,10 @@
 """Collocations by relational mining of ever longer phrases (SETM).
 
 The occurrence relation of phrases of k words holds one entry per place where such a phrase starts, in the order of
-piece and position. It is kept as slices of about half a million places: the slice's distinct phrases and, place by place,
-the number of the phrase that starts there (0: none; the place after a piece's last word is always 0). Whole pieces stay
-in one slice, so the entry of the next position is the next place, and joining the relation with itself on the same
-piece and adjacent positions is a merge of two neighbouring entries:
+piece and position. It is kept as slices of about half a million places: the slice's distinct phrases, a line each (no
+phrase holds a line break), and, place by place, the number of the phrase that starts there (0: none; the place after a
+piece's last word is always 0). Whole pieces stay in one slice, so the entry of the next position is the next place, and
+joining the relation with itself on the same piece and adjacent positions is a merge of two neighbouring entries:
 
 1. the words of all texts are written as the relation of length 1, with their counts per slice;
 2. counts are summed by language and phrase over all slices; phrases seen less than ``least`` times are dropped;
@@ -13,7 +13,8 @@ piece and adjacent positions is a merge of two neighbouring entries:
 
 The cut in 3 goes through a bit table of the frequent phrases' hashes, of at most ``MOST_BITS`` bits whatever their
 number, which is what is broadcast. An infrequent phrase may slip through a shared bit; its count drops it later, so the
-result does not depend on the table. Each slice leaves one row per phrase for the counts.
+result does not depend on the table. Each slice leaves one row per phrase for the counts. Phrases of several words
+repeat little between the slices of a task, so their rows are dealt by phrase as they are and summed once, after that.
 
 Defined results: a null text is empty; a null language is ``und``; words are compared after lower-casing A-Z only;
 repeated rows count again; an empty table gives no rows; extra columns are ignored.
@@ -31,15 +32,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.common import saved
+from trafficlens.llm.worker_memory import tidy
 
 SLICE = 1 << 19
-ROWS_AT_ONCE = 1 << 16
-#: Slices are long rows: small row groups, so that a reader holds few at a time.
-GROUPS = {"parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"}
+ROWS_AT_ONCE = 1 << 14
+#: Slices are long rows: small row groups and pages, so that writer and reader hold few at a time, however well they
+#: compress. Sizes are looked at after every row; by default they are after a hundred, more than a task has.
+GROUPS = {
+    "parquet.block.size": str(4 << 20),
+    "parquet.block.row.count.limit": "4",
+    "parquet.page.size.row.check.min": "1",
+    "parquet.enable.dictionary": "false",
+}
 STEP_BYTES = 1 << 20
 MOST_BITS = 1 << 28
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + b"\xff" * 10)
-RELATION = "lang string, phrases array<string>, places binary"
+RELATION = "lang string, phrases string, places binary"
 
 
 class Slice:
@@ -67,7 +75,7 @@ class Slice:
 
 def relation_row(lang: str, phrases: pa.Array, places: np.ndarray) -> pa.RecordBatch:
     lists = pa.ListArray.from_arrays(pa.array([0, len(phrases)], pa.int32()), phrases)
-    return pa.RecordBatch.from_arrays([pa.array([lang]), lists, pa.array([places.astype("<i4").tobytes()], pa.binary())], names=["lang", "phrases", "places"])
+    return pa.RecordBatch.from_arrays([pa.array([lang]), pc.binary_join(lists, "\n"), pa.array([places.astype("<i4").tobytes()], pa.binary())], names=["lang", "phrases", "places"])
 
 
 def word_relation(docs: DataFrame, text_col: str, lang_col: str, slice_places: int) -> DataFrame:
@@ -93,16 +101,17 @@ def word_relation(docs: DataFrame, text_col: str, lang_col: str, slice_places: i
                 yield slices.pop(largest).row(largest)
         for lang, part in slices.items():
             yield part.row(lang)
-        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
-    return rows.mapInArrow(fill, RELATION)
+    return rows.mapInArrow(tidy(fill), RELATION)
 
 
 def slices_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.column("lang")[i].as_py(), batch.column("phrases")[i].values, np.frombuffer(batch.column("places")[i].as_buffer(), dtype="<i4")
+            lines = batch.column("phrases").slice(i, 1)
+            phrases = pc.split_pattern(lines, "\n").flatten() if lines[0].as_buffer().size else lines[:0]
+            yield batch.column("lang")[i].as_py(), phrases, np.frombuffer(batch.column("places")[i].as_buffer(), dtype="<i4")
 
 
 def joined(phrases: pa.Array, places: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -153,7 +162,8 @@ def cut(phrases: pa.Array, places: np.ndarray, held: np.ndarray) -> tuple[pa.Arr
 
 
 def summed(counts: DataFrame, least: int) -> DataFrame:
-    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    """The counts of phrases summed over slices; they are dealt first, as a table of sums before would be nearly as long."""
+    return counts.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def word_counts(relation: DataFrame) -> DataFrame:
@@ -163,7 +173,7 @@ def word_counts(relation: DataFrame) -> DataFrame:
         for lang, phrases, places in slices_of(batches):
             yield from counted(lang, phrases, np.bincount(places, minlength=len(phrases) + 1)[1:])
 
-    return relation.mapInArrow(count, "lang string, phrase string, n long")
+    return relation.mapInArrow(tidy(count), "lang string, phrase string, n long")
 
 
 def counted(lang: str, phrases: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -180,7 +190,7 @@ def longer_counts(relation: DataFrame, shorter: object) -> DataFrame:
             longer, n, _ = joined(*cut(phrases, places, shorter.value(lang, phrases)))
             yield from counted(lang, longer, n)
 
-    return relation.mapInArrow(count, "lang string, phrase string, n long")
+    return relation.mapInArrow(tidy(count), "lang string, phrase string, n long")
 
 
 def longer_relation(relation: DataFrame, shorter: object, longer: object) -> DataFrame:
@@ -191,7 +201,7 @@ def longer_relation(relation: DataFrame, shorter: object, longer: object) -> Dat
             found, _, at = joined(*cut(phrases, places, shorter.value(lang, phrases)))
             yield relation_row(lang, *cut(found, at, longer.value(lang, found)))
 
-    return relation.mapInArrow(join, RELATION)
+    return relation.mapInArrow(tidy(join), RELATION)
 
 
 def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, longest: int, least: int, slice_places: int) -> tuple[DataFrame, list[DataFrame]]:
