@@ -35,6 +35,7 @@ from trafficlens.llm.worker_memory import tidy
 TOKENS = 128
 SLACK_SIGMAS = 4.0
 WORD_LIMIT = 131_072
+PAIRS = 1 << 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,10 +61,10 @@ class Words(dict):
         return h
 
 
-def shingles(text: str | None, n: int, words: Words) -> np.ndarray:
+def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``n`` words."""
     parts = (text or "").lower().split()
-    h = np.fromiter(map(words.__getitem__, parts), dtype=np.uint64, count=len(parts))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, parts), dtype=np.uint64, count=len(parts))
     width = min(n, len(h))
     if not width:
         return h
@@ -71,7 +72,8 @@ def shingles(text: str | None, n: int, words: Words) -> np.ndarray:
     with np.errstate(over="ignore"):
         for j in range(width):
             runs = runs * BASE + h[j : len(h) - width + 1 + j]
-    return np.unique(mix(runs))
+    found = np.sort(mix(runs))
+    return found[np.append(True, found[1:] != found[:-1])]
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -79,7 +81,9 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     low = np.full(TOKENS, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(hashes), 4096):
-            np.minimum(low, (hashes[i : i + 4096] * MULTIPLY[:, None] + ADD[:, None]).min(axis=1), out=low)
+            hashed = hashes[i : i + 4096] * MULTIPLY[:, None]
+            hashed += ADD[:, None]
+            np.minimum(low, hashed.min(axis=1), out=low)
     return (mix(low) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -101,10 +105,11 @@ def runs_for(recall: float, depth: int) -> int:
 
 
 def children(keys: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child key) for every token that a row's node chose."""
+    """(row, child key) for every token that a row's node chose; ``keys`` has the node of each row, or one for all."""
     spot = mix(np.arange(5001, 5001 + TOKENS, dtype=np.uint64))
     chosen = mix(keys[:, None] ^ spot[None, :]) < np.uint64(min(1.0, 1 / (threshold * TOKENS)) * 2.0**64)
-    row, i = np.nonzero(chosen)
+    row, i = np.nonzero(np.broadcast_to(chosen, tokens.shape))
+    keys = np.broadcast_to(keys, len(tokens))
     return row, mix(mix(keys[row] + spot[i]) ^ (tokens[row, i].astype(np.uint64) + np.uint64(1)))
 
 
@@ -138,31 +143,51 @@ def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return ids[nodes[child]], ids[nodes[first[child]]]
 
 
-def alike(tokens: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (one of ``left``, one of ``right``) whose sizes allow the threshold and whose tokens come near it.
+def near_sizes(group: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``right`` by group and size, and where in it the rows begin and end that stand in the group of a row of ``left`` and
+    whose sizes allow the threshold: up to size / threshold."""
+    place = group.astype(np.int64) << 32
+    right = right[np.argsort(place[right] + sizes[right], kind="stable")]
+    by_size = place[right] + sizes[right]
+    first = np.searchsorted(by_size, place[left] + np.ceil(sizes[left] * threshold - 1e-9).astype(np.int64), side="left")
+    end = np.searchsorted(by_size, place[left] + np.floor(sizes[left] / threshold + 1e-9).astype(np.int64), side="right")
+    return right, first, end
 
-    Sorted by size, a row only meets rows of up to size / threshold.
+
+def alike(
+    tokens: np.ndarray, sizes: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (one of ``left``, one of ``right``) of a group whose sizes allow the threshold and whose tokens come near it.
+
+    Two rows that both stand on both sides meet once. Pairs are compared ``PAIRS`` at a time.
     """
     least = (threshold - SLACK_SIGMAS * math.sqrt(threshold * (1 - threshold) / TOKENS)) * TOKENS
+    right, first, end = near_sizes(group, sizes, left, right, threshold)
+    both = np.zeros(len(group), dtype=bool)
+    both[left[np.isin(left, right)]] = True
+    meets = np.concatenate([[0], np.cumsum(end - first)])
     out_a, out_b = [], []
-    right = right[np.argsort(sizes[right], kind="stable")]
-    by_size = sizes[right]
-    for x in left:
-        lo = np.searchsorted(by_size, sizes[x] * threshold - 1e-9, side="left")
-        hi = np.searchsorted(by_size, sizes[x] / threshold + 1e-9, side="right")
-        near = right[lo:hi]
-        hit = near[(tokens[near] == tokens[x]).sum(axis=1) >= least]
-        out_a.append(np.full(len(hit), x))
-        out_b.append(hit)
-    a = np.concatenate(out_a) if out_a else np.empty(0, dtype=np.int64)
-    b = np.concatenate(out_b) if out_b else np.empty(0, dtype=np.int64)
-    keep = a != b
-    return a[keep].astype(np.int64), b[keep].astype(np.int64)
+    at = 0
+    while at < len(left):
+        stop = max(at + 1, int(np.searchsorted(meets, meets[at] + PAIRS, side="right")) - 1)
+        times = (end - first)[at:stop]
+        a = np.repeat(left[at:stop], times)
+        b = right[np.arange(meets[at], meets[stop]) + np.repeat(first[at:stop] - meets[at:stop], times)]
+        once = ~(both[a] & both[b]) | (a < b)
+        a, b = a[once], b[once]
+        hit = (tokens[a] == tokens[b]).sum(axis=1, dtype=np.uint8) >= least
+        out_a.append(a[hit])
+        out_b.append(b[hit])
+        at = stop
+    return np.concatenate(out_a or [left[:0]]), np.concatenate(out_b or [left[:0]])
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact sizes of all intersections (left x right): products of membership rows, a slice of the shingles at a time."""
-    used = np.concatenate([left, right])
+    """Exact sizes of all intersections (left x right): products of membership rows, a slice of the shingles at a time.
+
+    Where both sides are the same rows, what a row would share with itself is left open.
+    """
+    used = left if np.array_equal(left, right) else np.concatenate([left, right])
     owner = np.concatenate([np.full(len(sets[i]), i) for i in used])
     value, spot, times = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
     shared = np.flatnonzero(times > 1)  # a shingle of one set adds to no intersection
@@ -207,6 +232,27 @@ def grouped(frames: Iterator[pd.DataFrame], key: Sequence[str]) -> Iterator[pd.D
         yield pd.concat(kept) if len(kept) > 1 else kept[0]
 
 
+def whole_groups(frames: Iterator[pd.DataFrame], key: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Batches that are sorted by ``key``, cut so that no group spans two of them; ``group`` numbers those of a batch."""
+
+    def numbered(frame: pd.DataFrame) -> pd.DataFrame:
+        values = frame[list(key)].to_numpy()
+        return frame.assign(group=np.append(0, np.cumsum((values[1:] != values[:-1]).any(axis=1))))
+
+    kept: list[pd.DataFrame] = []  # the last group so far
+    for frame in frames:
+        if frame.empty:
+            continue
+        last = (frame[list(key)].to_numpy() == frame[list(key)].iloc[-1].to_numpy()).all(axis=1)
+        if last.all() and (not kept or (kept[0][list(key)].iloc[0] == frame[list(key)].iloc[0]).all()):
+            kept.append(frame)
+            continue
+        yield numbered(pd.concat([*kept, frame[~last]], ignore_index=True))
+        kept = [frame[last]]
+    if kept:
+        yield numbered(pd.concat(kept, ignore_index=True))
+
+
 def in_blocks(rows: DataFrame, key: str, count: str, node: str, block: int) -> DataFrame:
     """Deal the rows of a key to pairs of blocks ``(g, h)`` of about ``block`` rows; ``own`` is the row's block.
 
@@ -226,10 +272,8 @@ def describe(docs: DataFrame, key: Sequence[str], text_col: str, n: int) -> Data
     """(id, text_hash, d1, d2, size, tokens, brief) of every row: what is needed without the text."""
 
     def start() -> Callable[[pd.DataFrame], pd.DataFrame]:
-        words = Words()
-
         def make(frame: pd.DataFrame) -> pd.DataFrame:
-            sets = [shingles(t, n, words) for t in frame["text"]]
+            sets = [shingles(t, n) for t in frame["text"]]
             d = [digest(s) for s in sets]
             tokens = [sketch(s) for s in sets]
             return pd.DataFrame(
@@ -257,7 +301,7 @@ def candidates(texts: DataFrame, threshold: float, recall: float, depth: int, bu
         for frame in frames:
             tokens, node = matrix(frame["tokens"]), frame["node"].to_numpy()
             for root in roots:
-                row, key = children(np.full(len(frame), root), tokens, threshold)
+                row, key = children(np.array([root]), tokens, threshold)
                 yield pd.DataFrame({"key": key.view(np.int64), "node": node[row]})
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,22 +310,12 @@ def candidates(texts: DataFrame, threshold: float, recall: float, depth: int, bu
             yield pd.DataFrame({"key": key.view(np.int64), "node": frame["node"].to_numpy()[row]})
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        rows = 0
-        for part in grouped(frames, ["key", "g", "h"]):
-            if len(part) < 2:
-                continue
-            g, h = part["g"].iloc[0], part["h"].iloc[0]
+        for part in whole_groups(frames, ["key", "g", "h"]):
             own = part["own"].to_numpy()
-            left, right = np.flatnonzero(own == g), np.flatnonzero(own == h)
-            ids = part["node"].to_numpy()
-            found.append(forest(ids, *alike(matrix(part["brief"], np.uint8), part["size"].to_numpy(), left, right, threshold)))
-            rows += len(found[-1][0])
-            if rows > 50_000:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([x for _, x in found])})
-                found, rows = [], 0
-        if rows:
-            yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([x for _, x in found])})
+            left, right = np.flatnonzero(own == part["g"].to_numpy()), np.flatnonzero(own == part["h"].to_numpy())
+            found = alike(matrix(part["brief"], np.uint8), part["size"].to_numpy(), part["group"].to_numpy(), left, right, threshold)
+            a, b = forest(part["node"].to_numpy(), *found)
+            yield pd.DataFrame({"a": a, "b": b})
 
     known = texts.select("node", "size", "brief")
     tokens = texts.select("node", "tokens")
@@ -309,15 +343,22 @@ def verified(docs: DataFrame, key: Sequence[str], text_col: str, members: DataFr
     """Exact links inside candidate groups: rows (node, texts, docs) with link counts, and rows (node, parent) of a forest."""
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
         for frame in frames:
-            sets = [shingles(t, n, words) for t in frame.pop("text")]
+            sets = [shingles(t, n) for t in frame.pop("text")]
             right = [d == digest(s) for d, s in zip(zip(frame["d1"], frame["d2"], strict=True), sets, strict=True)]
             yield frame.drop(columns=["d1", "d2"]).assign(hashes=[s.tobytes() for s in sets])[right]
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: list[tuple[np.ndarray, ...]] = []
+
+        def passed_on() -> pd.DataFrame:
+            columns = [np.concatenate(c) for c in zip(*done, strict=True)]
+            done.clear()
+            return pd.DataFrame(dict(zip(["node", "texts", "docs", "parent"], columns, strict=True)))
+
         for part in grouped(frames, ["root", "g", "h"]):
-            part = part.drop_duplicates("node")  # rows repeated in full come once
+            if not part["node"].is_unique:
+                part = part.drop_duplicates("node")  # rows repeated in full come once
             g, h = part["g"].iloc[0], part["h"].iloc[0]
             own, ids, copies = part["own"].to_numpy(), part["node"].to_numpy(), part["copies"].to_numpy()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in part["hashes"]]
@@ -337,9 +378,13 @@ def verified(docs: DataFrame, key: Sequence[str], text_col: str, members: DataFr
                 texts[right] += link.sum(axis=0)
                 rows[right] += link.T @ copies[left]
             a, b = np.nonzero(link)
-            child, parent = forest(ids, left[a], right[b])
-            up = pd.Series(parent, index=child, dtype="Int64")
-            yield pd.DataFrame({"node": ids, "texts": texts, "docs": rows}).assign(parent=up.reindex(ids).to_numpy(dtype=object, na_value=None))
+            up = dict(zip(*(x.tolist() for x in forest(ids, left[a], right[b])), strict=True))
+            parents = np.array([up.get(i) for i in ids.tolist()], dtype=object)
+            done.append((ids, texts, rows, parents))
+            if sum(len(x[0]) for x in done) > 10_000:
+                yield passed_on()
+        if done:
+            yield passed_on()
 
     rows = docs.select(F.struct(*key).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     same = rows["id"].eqNullSafe(members["id"]) & (rows["text_hash"] == members["text_hash"])

@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,8 @@ LONGEST_WORD = 32
 LONGEST_PIECE = 16
 COUNTER_LIMIT = 300_000
 CACHE_LIMIT = 200_000
-SLICE_CHARS = 1 << 20
+STEP_ROWS = 50_000
+SLICE_CHARS = 1 << 21
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,16 +61,25 @@ def load_pieces(path: str) -> Pieces:
 
 
 def hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """Polynomial hashes of all runs of 1, 2, ... codes: row by row, by start."""
+    """Polynomial hashes of all runs of 1, 2, ... codes, by start and word."""
     h = np.zeros(codes.shape, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for n in range(min(codes.shape[1], LONGEST_PIECE)):
-            h = h[:, : codes.shape[1] - n] * BASE + codes[:, n:]
+        for n in range(min(len(codes), LONGEST_PIECE)):
+            h = h[: len(codes) - n] * BASE + codes[n:]
             yield h
 
 
+@dataclass
+class Matches:
+    """Where pieces stand in words of one length: (start, end, which words, numbers of the pieces), by start."""
+
+    words: int
+    length: int
+    hits: list[tuple[int, int, slice | np.ndarray, np.ndarray]]
+
+
 class Pieces:
-    """The pieces with a hash table from a run of letters to its piece. Numbers: unknown 0, pieces from 1, no piece -1."""
+    """The pieces with a hash table from a run of letters to its piece. Numbers: unknown 0, pieces from 1."""
 
     BITS = 20
 
@@ -85,71 +96,83 @@ class Pieces:
             self.tables.append((key_at, id_at))
             rest = np.setdiff1d(np.arange(len(keys)), first)
             keys, ids = keys[rest], ids[rest]
+        self.taken = self.tables[0][1] >= 0  # a key of a later table shares its slot with one of the first
 
     @staticmethod
     def key(piece: str) -> int:
-        *_, last = hashes(np.array([[ord(c) for c in piece]], dtype=np.uint64))
+        *_, last = hashes(np.array([[ord(c)] for c in piece], dtype=np.uint64))
         return int(last[0, 0])
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys ^ (keys >> np.uint64(29))) & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        at, out = self.slot(keys), np.full(keys.shape, -1, np.int32)
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are pieces, and their numbers. Most runs of letters end at a slot that is not taken."""
+        at = self.slot(keys)
+        maybe = np.flatnonzero(self.taken[at])
+        keys, at, out = keys[maybe], at[maybe], np.full(len(maybe), -1, np.int32)
         for key_at, id_at in self.tables:
             np.copyto(out, id_at[at], where=key_at[at] == keys)
-        return out
-
-    def matches(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Piece numbers by length (from 1) and start; a letter that is no piece is the unknown one."""
-        found = [self.find(h) for h in hashes(codes)]
-        found[0][found[0] < 0] = 0
-        return found
+        hit = out >= 0
+        return maybe[hit], out[hit]
+
+    def matches(self, codes: np.ndarray) -> Matches:
+        """The pieces in words of one length; a letter that is no piece is the unknown one."""
+        length, words = codes.shape
+        hits: list[tuple[int, int, slice | np.ndarray, np.ndarray]] = []
+        for k, h in enumerate(hashes(codes), start=1):
+            at, ids = self.find(h.ravel())
+            if k == 1:
+                letters = np.zeros(codes.size, np.int32)
+                letters[at] = ids
+                hits += [(start, start + 1, slice(None), x) for start, x in enumerate(letters.reshape(codes.shape))]
+                continue
+            cuts = np.searchsorted(at, np.arange(1, len(h)) * words)
+            for start, (row, i) in enumerate(zip(np.split(at, cuts), np.split(ids, cuts), strict=True)):
+                if len(row):
+                    hits.append((start, start + k, row - start * words, i))
+        return Matches(words, length, sorted(hits, key=lambda hit: hit[0]))
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, codes) of the words of each length, the start mark included."""
+    """(places, codes by letter and word) of the words of each length, the start mark included."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
         codes = np.array([START + words[i] for i in at], dtype=f"U{n + 1}").view(np.uint32).reshape(len(at), n + 1)
-        yield at, codes.astype(np.uint64)
+        yield at, codes.T.astype(np.uint64, order="C")
 
 
-def forward(found: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
-    """Sums over all segmentations of each beginning: (words, length + 1, languages). ``prob`` ends with a row of zeros."""
-    n, length = found[0].shape
-    alpha = np.zeros((n, length + 1, prob.shape[1]))
-    alpha[:, 0] = 1
-    for end in range(1, length + 1):
-        for k in range(1, min(end, len(found)) + 1):
-            ids = found[k - 1][:, end - k]
-            if (ids >= 0).any():
-                alpha[:, end] += alpha[:, end - k] * prob[ids]
-    return alpha
+def forward(found: Matches, prob: np.ndarray) -> np.ndarray:
+    """Sums over all segmentations of each beginning: (words, length + 1, languages)."""
+    alpha = np.zeros((found.length + 1, found.words, prob.shape[1]))
+    alpha[0] = 1
+    for start, end, rows, ids in found.hits:
+        alpha[end][rows] += alpha[start][rows] * prob[ids]
+    return alpha.transpose(1, 0, 2)
 
 
-def expected(found: list[np.ndarray], prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def expected(found: Matches, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts of weighted words in one language (``prob``: one column)."""
-    n, length = found[0].shape
-    alpha = forward(found, prob)[:, :, 0]
+    alpha = forward(found, prob)[:, :, 0].T
     p = prob[:, 0]
-    beta = np.zeros((n, length + 1))
-    beta[:, length] = weight / alpha[:, length]
-    out = np.zeros(len(p))
-    for start in range(length - 1, -1, -1):
-        for k in range(1, min(length - start, len(found)) + 1):
-            ids = found[k - 1][:, start]
-            hit = ids >= 0
-            if hit.any():
-                through = p[ids] * beta[:, start + k]
-                beta[:, start] += through
-                out += np.bincount(ids[hit], weights=(alpha[:, start] * through)[hit], minlength=len(p))
-    return out
+    beta = np.zeros((found.length + 1, found.words))
+    beta[found.length] = weight / alpha[found.length]
+    counts = []
+    for start, end, rows, ids in reversed(found.hits):
+        through = p[ids] * beta[end][rows]
+        beta[start][rows] += through
+        counts.append(alpha[start][rows] * through)
+    return np.bincount(np.concatenate([hit[3] for hit in reversed(found.hits)]), weights=np.concatenate(counts), minlength=len(p))
 
 
 def words_of(text: str | None) -> list[str]:
-    found = LETTERS.findall((text or "").lower())
+    found: list[str] = []
+    for part in (text or "").lower().replace(",", " ").replace(".", " ").split():
+        if part.isalpha():  # most are one run as they stand
+            found.append(part)
+        else:
+            found += LETTERS.findall(part)
     if found and not any(c.isalpha() for w in found for c in w):
         return []
     if found and max(map(len, found)) > LONGEST_WORD:
@@ -161,7 +184,7 @@ def words_of(text: str | None) -> list[str]:
 class LanguageModel:
     languages: list[str]
     prior: np.ndarray  # log share of each language
-    prob: np.ndarray  # piece probabilities by language and a last row of zeros
+    prob: np.ndarray  # piece probabilities by language
     vocabulary: str
 
     def log_probs(self, words: list[str]) -> np.ndarray:
@@ -171,10 +194,22 @@ class LanguageModel:
         for at, codes in by_length(words):
             for i in range(0, len(at), 4096):
                 part = slice(i, i + 4096)
-                out[at[part]] = np.log(forward(pieces.matches(codes[part]), self.prob)[:, -1])
+                out[at[part]] = np.log(forward(pieces.matches(codes[:, part]), self.prob)[:, -1])
         return out
 
 
+def joined(frames: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Batches put together to ``least`` rows or more: words are worked through by length, a few at a time cost the most."""
+    kept: list[pd.DataFrame] = []
+    for frame in frames:
+        kept.append(frame)
+        if sum(map(len, kept)) >= least:
+            yield pd.concat(kept)
+            kept = []
+    if kept:
+        yield pd.concat(kept)
+
+
 def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, word, n) over all rows; tasks hold at most ``COUNTER_LIMIT`` distinct words before they pass them on."""
 
@@ -208,22 +243,22 @@ def train(
     seen = {r[0] for r in counts.select("lang").distinct().collect()}
     languages = sorted(set(shares) & seen)
     size = vocabulary(path).size
-    prob = np.vstack([np.full((size, len(languages)), 1.0 / size), np.zeros((1, len(languages)))])
+    prob = np.full((size, len(languages)), 1.0 / size)
     column = {lang: i for i, lang in enumerate(languages)}
 
     for _ in range(rounds if languages else 0):
 
         def step(frames: Iterator[pd.DataFrame], prob=prob) -> Iterator[pd.DataFrame]:
             pieces = vocabulary(path)
-            total = np.zeros((size + 1, len(languages)))
-            for frame in frames:
+            total = np.zeros((size, len(languages)))
+            for frame in joined(frames, STEP_ROWS):
                 for lang, part in frame.groupby("lang"):
                     i = column[lang]
                     words, n = part["word"].tolist(), part["n"].to_numpy(dtype=float)
                     for at, codes in by_length(words):
                         for j in range(0, len(at), 4096):
                             cut = slice(j, j + 4096)
-                            total[:, i] += expected(pieces.matches(codes[cut]), prob[:, [i]], n[at[cut]])
+                            total[:, i] += expected(pieces.matches(codes[:, cut]), prob[:, [i]], n[at[cut]])
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece.astype(np.int32), "lang": lang.astype(np.int32), "n": total[piece, lang]})
 
@@ -231,42 +266,60 @@ def train(
         fresh = np.full((size, len(languages)), smoothing)
         for piece, lang, n in sums.collect():  # one row per piece and language at most
             fresh[piece, lang] += n
-        prob = np.vstack([fresh / fresh.sum(axis=0), np.zeros((1, len(languages)))])
+        prob = fresh / fresh.sum(axis=0)
     total = sum(shares[x] for x in languages)
     prior = np.log(np.array([shares[x] / total for x in languages]))
     return LanguageModel(languages, prior, prob, path)
 
 
+class Places(dict):
+    """Places of words in a table; a word that has none gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        return at
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+
+
 class KnownWords:
     """Log probabilities of the words met so far, in two generations of at most ``limit`` words."""
 
     def __init__(self, model: LanguageModel, limit: int = CACHE_LIMIT):
         self.model, self.limit = model, limit
-        self.row: dict[str, int] = {}
+        self.row = Places()
         self.table = np.empty((1024, len(model.languages)))
-        self.older: dict[str, int] = {}
+        self.older = Places()
         self.older_table = self.table
 
-    def learn(self, words: list[str]) -> None:
-        """Make sure that all of ``words`` are in the table."""
-        fresh = [w for w in dict.fromkeys(words) if w not in self.row]
-        if fresh and len(self.row) + len(fresh) > self.limit:
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Make sure that all of ``words`` are in the table; their places there."""
+        known = len(self.row)
+        places = self.row.of(words)
+        if known < len(self.row) > self.limit and known:
+            while len(self.row) > known:
+                self.row.popitem()  # the last ones first
             self.older, self.older_table = self.row, self.table
-            self.row, self.table = {}, np.empty((1024, len(self.model.languages)))
-            fresh = list(dict.fromkeys(words))
-        end = len(self.row) + len(fresh)
+            self.row, self.table, known = Places(), np.empty((1024, len(self.model.languages))), 0
+            places = self.row.of(words)
+        end = len(self.row)
         if end > len(self.table):
             grown = np.empty((max(end, 2 * len(self.table)), self.table.shape[1]))
-            grown[: len(self.row)] = self.table[: len(self.row)]
+            grown[:known] = self.table[:known]
             self.table = grown
-        unknown = [w for w in fresh if w not in self.older]
-        passed = [w for w in fresh if w in self.older]
-        for part, values in ((passed, self.older_table[[self.older[w] for w in passed]]), (unknown, self.model.log_probs(unknown))):
-            self.table[len(self.row) : len(self.row) + len(part)] = values
-            self.row.update(zip(part, range(len(self.row), len(self.row) + len(part)), strict=True))
+        fresh = list(islice(self.row, known, None))
+        old = np.array([self.older.get(w, -1) for w in fresh], dtype=np.int64)
+        passed, unknown = np.flatnonzero(old >= 0), np.flatnonzero(old < 0)
+        self.table[known + passed] = self.older_table[old[passed]]
+        self.table[known + unknown] = self.model.log_probs([fresh[i] for i in unknown])
+        return places
 
     def total(self, words: list[str]) -> np.ndarray:
-        return self.table[np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+        return self.summed(self.row.of(words))
+
+    def summed(self, places: np.ndarray) -> np.ndarray:
+        return self.table[places].sum(axis=0)
 
 
 def predict(
@@ -294,10 +347,11 @@ def predict(
                 length += len(t or "")
                 if length >= SLICE_CHARS or end == len(texts):
                     words = [words_of(t) for t in texts[first:end]] if model.languages else []
-                    known.learn([w for ws in words for w in ws])
-                    for i, ws in enumerate(words, start=first):
+                    places = known.learn(list(chain.from_iterable(words)))
+                    ends = np.cumsum([len(ws) for ws in words])
+                    for i, ws, stop in zip(range(first, end), words, ends, strict=False):
                         if ws:
-                            total = model.prior + known.total(ws)
+                            total = model.prior + known.summed(places[stop - len(ws) : stop])
                             best[i] = total.argmax()
                             share[i] = 1.0 / np.exp(total - total[best[i]]).sum()
                     first, length = end, 0

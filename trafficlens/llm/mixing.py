@@ -86,7 +86,8 @@ def schedule(
     still count one by one.
     """
     spark = docs.sparkSession
-    slim = docs.select(*key, F.col(source_col).alias("__source"), size.alias("size"))
+    # written: the bounds of the ranges are drawn from all rows first, and texts would be read and counted twice
+    slim = saved(docs.select(*key, F.col(source_col).alias("__source"), size.alias("size")), "mix-sizes")
     order = [F.col("__source").asc_nulls_last(), F.xxhash64(F.lit(seed), *key), *key]
     placed = with_prefix(in_order(slim, order, "mix-order"), {"start": F.col("size")})
 

@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.common import in_order, saved, with_made, with_prefix
-from trafficlens.llm.tokens import default_path, encoded
+from trafficlens.llm.tokens import Encoder, default_path, encoder
 from trafficlens.llm.worker_memory import tidy
 
+REPEAT_CHARS = 1 << 25
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -148,16 +149,31 @@ def places(windows: list[tuple[tuple[int, ...], int]], bins: int) -> dict[int, t
 
 
 def pieces(docs: DataFrame, window: int, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """Cut every document's ids into full windows and a rest."""
+    """Cut every document's ids into full windows and a rest.
+
+    A mix repeats documents: what became of a text is remembered in a task, for texts of at most ``REPEAT_CHARS`` together.
+    """
+
+    def parts_of(ids: bytes) -> list[tuple[int, int, int, int]]:
+        total = len(ids) // 4
+        cuts = [(start, ids[4 * start : 4 * (start + window)]) for start in range(0, total, window)]
+        return [(start, len(part) // 4, zlib.crc32(part), total) for start, part in cuts]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids in encoded(batches, tokenizer, "text", end_id):
-            rows = []
-            for doc, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                total = len(x) // 4
-                for start in range(0, total, window):
-                    part = x[4 * start : 4 * (start + window)]
-                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), total))
+        enc, end = encoder(tokenizer), Encoder.pack([end_id])
+        known: dict[str | None, list[tuple[int, int, int, int]]] = {}
+        chars = 0
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            fresh = [t for t in dict.fromkeys(texts) if t not in known]
+            chars += sum(len(t or "") for t in fresh)
+            if chars > REPEAT_CHARS:
+                known, fresh = {}, list(dict.fromkeys(texts))
+                chars = sum(len(t or "") for t in fresh)
+            for t in fresh:
+                known[t] = parts_of(enc.encode(t, end))
+            enc.trim()
+            rows = [(doc, *part) for doc, t in zip(batch.column("doc_id").to_pylist(), texts, strict=True) for part in known[t]]
             columns = [pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
